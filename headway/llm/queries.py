@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import mixing, ogg, sharding, tokens
+from headway.llm import minhash, mixing, ogg, sharding, tokens
 from headway.llm.common import table
 
 #: Bytes of text that a shard may hold.
@@ -15,6 +15,10 @@ def op1_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.describe_ogg(ogg.store_ogg(table(spark, sf_dir, "documents")))
 
@@ -31,6 +35,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_ogg_media": op4_ogg_media,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
