@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import minhash, mixing, ogg, sharding, tokens
+from headway.llm import decontam, minhash, mixing, ogg, sharding, tokens
 from headway.llm.common import table
 
 #: Bytes of text that a shard may hold.
@@ -19,6 +19,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.describe_ogg(ogg.store_ogg(table(spark, sf_dir, "documents")))
 
@@ -36,12 +40,35 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
     "op4_ogg_media": op4_ogg_media,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
 }
 
+#: Position-wise comparison of words, with a join on the concatenated words under each mask.
+_LEAKS = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+m AS (SELECT unnest([1, 2]) AS m, unnest([[1, 2, 4, 5, 7, 9], [1, 3, 6, 7, 8, 9]]) AS o),
+dp AS (SELECT doc_id, unnest(range(0, len(w) - 8)) AS p FROM d),
+bp AS (SELECT item_id, unnest(range(0, len(w) - 8)) AS p FROM b),
+ds AS (SELECT doc_id, p, m, array_to_string([w[p + o[1]], w[p + o[2]], w[p + o[3]], w[p + o[4]], w[p + o[5]], w[p + o[6]]], ' ') AS k FROM dp JOIN d USING (doc_id), m),
+bs AS (SELECT item_id, p, m, array_to_string([w[p + o[1]], w[p + o[2]], w[p + o[3]], w[p + o[4]], w[p + o[5]], w[p + o[6]]], ' ') AS k FROM bp JOIN b USING (item_id), m),
+hit AS (SELECT DISTINCT doc_id, item_id, ds.p AS dp, bs.p AS ip FROM ds JOIN bs USING (m, k)),
+side AS (
+  SELECT doc_id, item_id, dp - ip AS shift, least(len(b.w), 24) AS n,
+         least(greatest(ip - floor((least(len(b.w), 24) - 9) / 2)::BIGINT, 0), len(b.w) - least(len(b.w), 24)) AS first,
+         d.w AS dw, b.w AS bw
+  FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
+cmp AS (SELECT doc_id, item_id, n, shift + first AS doc_word, len(list_filter(range(0, n), lambda i: shift + first + i >= 0 AND dw[shift + first + i + 1] = bw[first + i + 1])) AS matched FROM side)
+SELECT doc_id, item_id, matched::BIGINT AS matched, n::BIGINT AS compared, doc_word::BIGINT AS doc_word
+FROM cmp WHERE matched >= 0.75 * n
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, n DESC, doc_word) = 1
+"""
+
 ORACLES = {
+    "op3_spaced_seed_decontamination": _LEAKS,
     "op1_extendible_sharding": f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
