@@ -11,8 +11,10 @@ at least 3/4, and linked documents form groups.
    values of each, and only those are listed.  Values of passages that many documents share fall at the end of
    the order; a class that shares too few values with any other drops out at once.
 3. Lists of up to ``small`` classes give their pairs.  In a longer list all members meet one pivot; after linking,
-   only members of different groups have to meet, first through further pivots, and at last each with each.  So a
-   group of thousands of near copies costs a few comparisons a member, and no link between groups is lost.
+   only lists with members of different groups go on, through one more pivot, so a group of thousands of near
+   copies costs a few comparisons a member.  Members still apart, mostly texts that share one long passage, get
+   sketches of 1,024 values, for most texts the whole set, and with that sharp bound are listed anew; what is left
+   even then is compared in blocks inside its list, so no link is lost.
 4. The sketch of the union estimates the similarity and drops pairs more than five standard deviations below 3/4.
 5. What is left is confirmed on the full shingle sets of the whole texts.
 """
@@ -33,6 +35,10 @@ from headway.llm.components import components
 
 K = 64
 LEAST_SHARED = 28
+#: The second look at members of long lists: complete sets up to this size, and the bound that one borderline pair in
+#: a hundred million would miss.
+DEEP_K = 1024
+DEEP_SHARED = 690
 SHINGLE = 5
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 # Odd multipliers of the words in a shingle.
@@ -40,10 +46,10 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class _WordHashes(dict):
-    """Hash of each word; forgets all at a million entries, so that memory stays bounded."""
+    """Hash of each word; forgets all at 200,000 entries, so that memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -175,61 +181,115 @@ def listed(classes: DataFrame, k: int, least_shared: int) -> DataFrame:
     return rare.join(lengths, "v")
 
 
-def link(docs: DataFrame, classes: DataFrame, *, k: int = K, least_shared: int = LEAST_SHARED, small: int = 8, pivots: int = 4) -> DataFrame:
-    """``node, component`` of the classes that have links."""
-    lists = store(listed(classes, k, least_shared), "dedup-members")
-    short = lists.filter(F.col("m") <= small)
-    other = short.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
-    pairs = short.join(other, "v").filter((F.col("rep") < F.col("rep2")) & _comparable()).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    long = store(lists.filter(F.col("m") > small), "dedup-long")
-    any_long = not long.isEmpty()
-
-    def with_pivot(members: DataFrame, r: int) -> DataFrame:
-        """Pairs of each member with its list's pivot of round r."""
-        first = members.groupBy("v").agg(F.min(F.struct(F.xxhash64("rep", F.lit(r)) if r else F.lit(0).cast("long"), *[F.col(c) for c in members.columns if c != "v"])).alias("p"))
-        met = members.join(first.select("v", F.col("p.rep").alias("rep2"), F.col("p.n").alias("n2"), *([F.col("p.component").alias("component2")] if "component" in members.columns else [])), "v")
-        met = met.filter((F.col("rep") != F.col("rep2")) & _comparable() & (F.col("component") != F.col("component2") if "component" in members.columns else F.lit(True)))
-        return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-
-    if any_long:
-        pairs = pairs.union(with_pivot(long, 0))
-    tried = store(_estimate(pairs.distinct(), classes, k), "dedup-candidates")
-    # First each class with its most similar partner; most of the other pairs are then inside one group.
-    best = tried.groupBy("b").agg(F.max(F.struct("est", "a")).alias("_")).select(F.col("_.a").alias("a"), "b")
-    links = store(_confirm(best, docs), "dedup-links")
-    groups = components(links)
-
-    def apart(p: DataFrame) -> DataFrame:
-        g = groups
-        p = p.join(g.select(F.col("node").alias("a"), F.col("component").alias("ga")), "a", "left").join(g.select(F.col("node").alias("b"), F.col("component").alias("gb")), "b", "left")
-        return p.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-
-    def add(p: DataFrame) -> None:
-        nonlocal links, groups
-        new = store(_confirm(p, docs), "dedup-links")
-        if not new.isEmpty():
-            links = links.union(new)
-            groups = components(links)
-
-    rest = store(apart(tried), "dedup-rest")
-    if not rest.isEmpty():
-        add(rest)
-    for r in range(1, pivots + 1):
-        if not any_long:
-            break
-        g = groups.withColumnRenamed("node", "rep")
-        members = long.join(g, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = members.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
-        members = members.join(mixed, "v", "left_semi")
-        if r < pivots:
-            new = with_pivot(members, r)
-        else:
-            theirs = members.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-            new = members.join(theirs, (members["v"] == theirs["v"]) & (F.col("rep") < F.col("rep2")) & (F.col("component") != F.col("component2")) & _comparable()).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        new = store(_estimate(new.distinct(), classes, k), "dedup-candidates")
+def _dense(members: DataFrame, classes: DataFrame, k: int, least_shared: int, block: int = 256) -> DataFrame:
+    """Pairs ``a, b`` of lists whose members are still in different groups, compared block by block.
+
+    A list is cut into blocks by a hash, and each pair of blocks is one bounded group that counts shared values as
+    a matrix product; a row leaves it only for a pair that shares enough.  Lists with the same members are compared
+    once.
+    """
+    mark = members.groupBy("v").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
+    once = mark.groupBy("m", "mark").agg(F.min("v").alias("v")).withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")).drop("mark", "m")
+    rows = members.join(once, "v").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("v", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "n", "component")
+    rows = rows.join(classes.select("rep", "sketch"), "rep")
+
+    def compare(key, pdf):
+        pdf = pdf.drop_duplicates("rep").sort_values("rep")
+        sizes = pdf["sketch"].map(len).to_numpy()
+        _, col, times = np.unique(np.concatenate(pdf["sketch"].to_list()), return_inverse=True, return_counts=True)
+        often = np.flatnonzero(times > 1)
+        place = np.full(len(times), -1)
+        place[often] = np.arange(len(often))
+        at, row = place[col], np.repeat(np.arange(len(pdf)), sizes)
+        has = np.zeros((len(pdf), len(often)), np.float32)
+        has[row[at >= 0], at[at >= 0]] = 1
+        shared = (has @ has.T).astype(np.int64)
+        n, group, side = pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf["i"].to_numpy()
+        full = (n < k)[:, None] & (n < k)[None, :]
+        enough = np.where(full, 100 * shared >= 75 * (n[:, None] + n[None, :] - shared), shared >= least_shared)
+        cross = (group[:, None] != group[None, :]) & (4 * np.minimum(n[:, None], n[None, :]) >= 3 * np.maximum(n[:, None], n[None, :]))
+        if key[1] != key[2]:
+            cross &= side[:, None] != side[None, :]
+        x, y = np.nonzero(np.triu(enough & cross, 1))
+        rep = pdf["rep"].to_numpy()
+        return pdf.iloc[:0][["rep"]].assign(b=0).rename(columns={"rep": "a"}) if not len(x) else type(pdf)({"a": rep[x], "b": rep[y]})
+
+    kind = members.schema["rep"].dataType.simpleString()
+    return rows.groupBy("v", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+
+class _Links:
+    """Confirmed links and the groups they make so far."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs = docs
+        kind = classes.schema["rep"].dataType.simpleString()
+        self.links = classes.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
+        self.groups = classes.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+
+    def add(self, pairs: DataFrame) -> None:
+        new = store(_confirm(pairs, self.docs), "dedup-links")
         if not new.isEmpty():
-            add(new)
-    return groups
+            self.links = store(self.links.union(new), "dedup-links")
+            self.groups = components(self.links)
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose ends are in different groups."""
+        of = lambda n: self.groups.select(F.col("node").alias(n), F.col("component").alias(f"g{n}"))
+        met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return met.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).drop("ga", "gb")
+
+    def search(self, classes: DataFrame, k: int, least_shared: int, *, small: int, pivots: int) -> tuple[DataFrame, bool]:
+        """Finds the links within ``classes`` but for those between members of long lists that the pivots left in
+        different groups; returns these members (``v, rep, n, component``) and whether there are any."""
+        lists = store(listed(classes, k, least_shared), "dedup-members")
+        short = lists.filter(F.col("m") <= small)
+        other = short.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
+        pairs = short.join(other, "v").filter((F.col("rep") < F.col("rep2")) & _comparable()).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+        long = lists.filter(F.col("m") > small).drop("m")
+        any_long = not long.isEmpty()
+        for r in range(pivots + 1):
+            mixed = None
+            if any_long:
+                mine = long.join(self.groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+                open_lists = mine.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
+                mixed = store(mine.join(open_lists, "v", "left_semi"), "dedup-mixed")
+                if r == pivots:
+                    return mixed, not mixed.isEmpty()
+                order = F.xxhash64("rep", F.lit(r)) if r else F.col("rep")
+                first = mixed.groupBy("v").agg(F.min(F.struct(order.alias("o"), "rep", "n", "component")).alias("p"))
+                met = mixed.join(first, "v").filter((F.col("component") != F.col("p.component")) & _comparable("n", "p.n"))
+                met = met.select(F.least("rep", F.col("p.rep")).alias("a"), F.greatest("rep", F.col("p.rep")).alias("b"))
+                pairs = pairs.union(met) if r == 0 else met
+            elif r:
+                return long.withColumn("component", F.col("rep")), False
+            tried = store(_estimate(self.apart(pairs.distinct()), classes, k), "dedup-candidates")
+            if tried.isEmpty():
+                continue
+            # First each class with its most similar partner; most of the other pairs are then inside one group.
+            self.add(tried.groupBy("b").agg(F.max(F.struct("est", "a")).alias("_")).select(F.col("_.a").alias("a"), "b"))
+            rest = store(self.apart(tried), "dedup-rest")
+            if not rest.isEmpty():
+                self.add(rest)
+        return long.withColumn("component", F.col("rep")), False
+
+
+def link(docs: DataFrame, classes: DataFrame, *, k: int = K, least_shared: int = LEAST_SHARED, deep_k: int = DEEP_K, deep_shared: int = DEEP_SHARED, small: int = 8, pivots: int = 2) -> DataFrame:
+    """``node, component`` of the classes that have links."""
+    found = _Links(docs, classes)
+    left, any_left = found.search(classes, k, least_shared, small=small, pivots=pivots)
+    if any_left:
+        ids = left.select(F.col("rep").alias("doc_id")).distinct()
+        deep = sketches(docs.join(ids, "doc_id", "left_semi"), deep_k).filter("n_shingles > 0")
+        deep = store(deep.groupBy(F.col("doc_id").alias("rep"), "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "dedup-deep")
+        left, any_left = found.search(deep, deep_k, deep_shared, small=small, pivots=pivots)
+        if any_left:
+            more = store(_estimate(_dense(left, deep, deep_k, deep_shared), deep, deep_k), "dedup-candidates")
+            if not more.isEmpty():
+                found.add(more)
+    return found.groups
 
 
 def near_duplicates(docs: DataFrame, *, k: int = K, least_shared: int = LEAST_SHARED) -> DataFrame:
