@@ -82,4 +82,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` without leaks; rows without a doc_id cannot be named by a leak and stay."""
-    return docs.join(leaks(docs, benchmark, **params).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    # stored, so that Spark knows how few they are before it decides how to join
+    found = store(leaks(docs, benchmark, **params).select("doc_id").distinct(), "decontam-leaks")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

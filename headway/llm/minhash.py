@@ -308,3 +308,13 @@ def near_duplicates(docs: DataFrame, *, k: int = K, least_shared: int = LEAST_SH
     out = base.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(where, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each group, with all its columns: the one with the group's smallest doc_id.
+
+    Of several rows with that doc_id one stays.  Rows without a doc_id stay.
+    """
+    kept = store(near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dedup-kept")
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id IS NULL"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.llm.common import byte_length, store
@@ -78,3 +78,10 @@ def shard(docs: DataFrame, limit_bytes: int, *, key: str = "doc_id", text: str =
     """
     rows = store(docs.select(F.col(key).alias("doc_id"), byte_length(F.col(text)).alias("n_bytes"), hash_bits(F.col(key)).alias("h")), "shard-rows")
     return assign(rows, directory(rows, limit_bytes)).select(F.col("doc_id").alias(key), "n_bytes", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
+
+
+def sharded_rows(docs: DataFrame, limit_bytes: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``shard, depth, shard_bytes, shard_docs``; the directory is built from narrow rows."""
+    rows = store(docs.select(byte_length(F.col(text)).alias("n_bytes"), hash_bits(F.col(key)).alias("h")), "shard-rows")
+    placed = assign(docs.withColumn("h", hash_bits(F.col(key))), directory(rows, limit_bytes))
+    return placed.select(*docs.columns, "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
