@@ -181,19 +181,22 @@ def listed(classes: DataFrame, k: int, least_shared: int) -> DataFrame:
     return rare.join(lengths, "v")
 
 
-def _dense(members: DataFrame, classes: DataFrame, k: int, least_shared: int, block: int = 256) -> DataFrame:
+def _dense(members: DataFrame, classes: DataFrame, k: int, least_shared: int, block: int = 512) -> DataFrame:
     """Pairs ``a, b`` of lists whose members are still in different groups, compared block by block.
 
-    A list is cut into blocks by a hash, and each pair of blocks is one bounded group that counts shared values as
-    a matrix product; a row leaves it only for a pair that shares enough.  Lists with the same members are compared
-    once.
+    Lists that have members in common form a cluster.  A cluster is cut into blocks by a hash, and each pair of
+    blocks is one bounded group that counts shared values as a matrix product; a row leaves it only for a pair that
+    shares enough.
     """
-    mark = members.groupBy("v").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark"))
-    once = mark.groupBy("m", "mark").agg(F.min("v").alias("v")).withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int")).drop("mark", "m")
-    rows = members.join(once, "v").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("blocks")).cast("int"))
+    heads = members.groupBy("v").agg(F.min("rep").alias("head"))
+    stars = members.join(heads, "v").filter("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    clusters = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("v"))
+    sizes = clusters.groupBy("v").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    rows = members.select("rep", "n", "component").distinct().join(clusters, "rep").join(sizes, "v")
+    rows = rows.withColumn("i", F.pmod(F.xxhash64("rep", F.lit(17)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("v", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "n", "component")
-    rows = rows.join(classes.select("rep", "sketch"), "rep")
+    rows = rows.join(classes.select("rep", F.col("n_shingles").alias("n"), "sketch"), ["rep", "n"])
 
     def compare(key, pdf):
         pdf = pdf.drop_duplicates("rep").sort_values("rep")

@@ -94,3 +94,20 @@ def test_hash_sets():
     assert len(minhash.shingle_set("a b c d e a b c d e")) == 5
     assert np.array_equal(minhash.shingle_set("A b"), minhash.shingle_set("a  B\n"))
     assert len(minhash.shingle_set("")) == len(minhash.shingle_set(None)) == 0
+
+
+def test_blocks_find_what_long_lists_leave(spark, make_docs):
+    rng = random.Random(9)
+    passage = words(rng, 80)
+    texts = [" ".join(words(rng, 10) + passage + words(rng, 12)) for _ in range(60)]  # four fifths shared: apart
+    texts += [t.replace(t.split()[3], "changed") for t in texts[:20]]
+    rows = list(enumerate(texts))
+    docs = make_docs(rows)
+    want = brute(rows)
+    assert sorted(tuple(r) for r in minhash.near_duplicates(docs).collect()) == want
+    classes = minhash.sketches(docs, 64).select(minhash.F.col("doc_id").alias("rep"), "n_shingles", "sketch")
+    members = classes.select(minhash.F.lit(1).alias("v"), "rep", minhash.F.col("n_shingles").alias("n"), minhash.F.col("rep").alias("component"))
+    deep = minhash.sketches(docs, 1024).select(minhash.F.col("doc_id").alias("rep"), "n_shingles", "sketch")
+    pairs = {tuple(sorted((r.a, r.b))) for r in minhash._dense(members, deep, 1024, 690, block=16).collect()}
+    sets = [shingles(t) for t in texts]
+    assert pairs == {(a, b) for b in range(80) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
