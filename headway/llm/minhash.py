@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -216,8 +217,14 @@ def _dense(members: DataFrame, classes: DataFrame, k: int, least_shared: int, bl
         if key[1] != key[2]:
             cross &= side[:, None] != side[None, :]
         x, y = np.nonzero(np.triu(enough & cross, 1))
+        # Where both sets are complete the pair is a link, and one link joins two groups; the rest still need a look.
+        sure = full[x, y]
+        ends = np.sort(np.stack([pd.factorize(group)[0][x], pd.factorize(group)[0][y]], 1), axis=1)
+        once = np.unique(ends[sure], axis=0, return_index=True)[1] if sure.any() else np.empty(0, int)
+        keep = np.concatenate([np.flatnonzero(sure)[once], np.flatnonzero(~sure)])
+        x, y = x[keep], y[keep]
         rep = pdf["rep"].to_numpy()
-        return pdf.iloc[:0][["rep"]].assign(b=0).rename(columns={"rep": "a"}) if not len(x) else type(pdf)({"a": rep[x], "b": rep[y]})
+        return pd.DataFrame({"a": rep[x], "b": rep[y]})
 
     kind = members.schema["rep"].dataType.simpleString()
     return rows.groupBy("v", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct()

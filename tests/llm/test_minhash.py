@@ -110,4 +110,8 @@ def test_blocks_find_what_long_lists_leave(spark, make_docs):
     deep = minhash.sketches(docs, 1024).select(minhash.F.col("doc_id").alias("rep"), "n_shingles", "sketch")
     pairs = {tuple(sorted((r.a, r.b))) for r in minhash._dense(members, deep, 1024, 690, block=16).collect()}
     sets = [shingles(t) for t in texts]
-    assert pairs == {(a, b) for b in range(80) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    true = {(a, b) for b in range(80) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert pairs == true  # every member is a group of its own here
+    merged = members.withColumn("component", minhash.F.when(minhash.F.col("rep") < 60, minhash.F.lit(0)).otherwise(minhash.F.lit(1)))
+    few = minhash._dense(merged, deep, 1024, 690, block=1000).collect()
+    assert len(few) == 1 and tuple(sorted((few[0].a, few[0].b))) in true
