@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import decontam, minhash, mixing, ogg, sharding, tokens, toxicity
+from headway.llm import decontam, minhash, mixing, ogg, pages, sharding, tokens, toxicity
 from headway.llm.common import table
 
 #: Bytes of text that a shard may hold.
@@ -27,6 +27,10 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.describe_ogg(ogg.store_ogg(table(spark, sf_dir, "documents")))
 
 
+def op5_site_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
     "op4_ogg_media": op4_ogg_media,
+    "op5_site_style_tree_text": op5_site_style_tree_text,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
