@@ -128,7 +128,7 @@ SELECT p.shape_id AS trip_id, p.seq AS coordinate_id, (h.seq IS NOT NULL)::INT A
     "trip_results_without_hvac": f"{duck('stop_times', 'paths', 'edges')}, {_CHOICE} SELECT trip_id, vehicle, block_id, round(energy_used, 4) AS energy_used, round({_MPGE('energy_used')}, 4) AS mpge FROM tr",
     "kwh_per_mile_by_scenario": f"{duck('weather', 'stop_times', 'paths', 'edges')}, {_CHOICE}, {_HVAC} SELECT scenario, round(avg((energy_used + kwh) / miles), 4) AS kwh_per_mile FROM tr LEFT JOIN iv USING (trip_id) WHERE energy_unit = 'kWh' AND miles > 0 GROUP BY 1",
     "stop_penalty_energy": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY} SELECT shape_id, vehicle, round(sum(used + CASE WHEN (shape_id + edge_id) % 3 = 0 THEN 0.5 * mass_kg * pow(speed_mph * 0.44704, 2) / 3.6e6 / CASE WHEN kind = 'bev' THEN 1 ELSE 33.7 * 1.136 END ELSE 0 END), 4) AS energy_used FROM el GROUP BY 1, 2",
-    "soc_trace": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY}, r AS (SELECT *, sum(used) OVER (PARTITION BY shape_id, vehicle ORDER BY seq) AS run FROM el WHERE kind = 'bev') SELECT shape_id, seq, round(run, 4) AS trip_energy, round(100 - 100 * run / battery_kwh, 3) AS trip_soc FROM r",
+    "soc_trace": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY}, r AS (SELECT *, sum(used) OVER (PARTITION BY shape_id, vehicle ORDER BY seq) AS run FROM el WHERE kind = 'bev') SELECT shape_id, seq, round(run, 3) AS trip_energy, round(100 - 100 * run / battery_kwh, 3) AS trip_soc FROM r",
     "turn_delay": f"""{duck("paths", "edges")}, h AS (SELECT shape_id, seq, heading - lag(heading) OVER (PARTITION BY shape_id ORDER BY seq) AS d FROM paths JOIN edges USING (edge_id)),
 k AS (SELECT shape_id, seq, CASE WHEN d >= 180 THEN d - 360 WHEN d < -180 THEN d + 360 ELSE d END AS d FROM h)
 SELECT shape_id, seq, (CASE WHEN d IS NULL OR abs(d) <= 20 THEN 0 WHEN abs(d) > 160 THEN 9.5 WHEN d > 0 THEN CASE WHEN d <= 45 THEN 0.5 WHEN d <= 135 THEN 1 ELSE 1.5 END ELSE CASE WHEN d >= -45 THEN 1 WHEN d >= -135 THEN 2.5 ELSE 3.5 END END)::DOUBLE AS delay_s FROM k""",

@@ -267,7 +267,7 @@ def stop_penalty_energy(s, d):
 @query
 def soc_trace(s, d):
     t = energy.charge_trace(energy.edge_energy(p.shared(s, d, "paths"), p.shared(s, d, "edges"), en.vehicle_catalog(s)))
-    return t.select("shape_id", "seq", _r("trip_energy", 4).alias("trip_energy"), _r("trip_soc", 3).alias("trip_soc"))
+    return t.select("shape_id", "seq", _r("trip_energy", 3).alias("trip_energy"), _r("trip_soc", 3).alias("trip_soc"))
 
 
 @query
