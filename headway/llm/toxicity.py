@@ -80,6 +80,8 @@ def _bags(texts: list[str], buckets: int, least_texts: int) -> list[tuple[np.nda
         for w in found:
             s = known.get(w)
             if s is None:
+                if len(known) >= 50_000:
+                    known.clear()
                 s = known[w] = subwords(w, buckets)
             ids += s
             vals += [1 / len(s)] * len(s)
@@ -130,7 +132,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 24_000_000) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_chars: int = 16_000_000) -> DataFrame:
     """``text, toxic``: at most ``max_rows`` labelled rows outside the held-out fold, and ``max_chars`` of their text.
 
     Rows are taken in the order of a hash of their id.  A document labelled twice counts with its larger label;
@@ -144,7 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, m
     return sized.withColumn("upto", F.sum("chars").over(upto)).filter(F.col("upto") <= max_chars).orderBy("h", "doc_id", "text").select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 24_000_000, **params) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_chars: int = 16_000_000, **params) -> Model:
     rows = training_rows(docs, labels, max_rows=max_rows, max_chars=max_chars).collect()
     return fit([r.text or "" for r in rows], [int(r.toxic) for r in rows], **params)
 
