@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import decontam, minhash, mixing, ogg, pages, sharding, tokens, toxicity
+from headway.llm import decontam, licenses, minhash, mixing, ogg, pages, secrets, sharding, tokens, toxicity
 from headway.llm.common import table
 
 #: Bytes of text that a shard may hold.
@@ -31,6 +31,15 @@ def op5_site_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(table(spark, sf_dir, "pages"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -52,6 +61,8 @@ QUERIES = {
     "op3_spaced_seed_decontamination": op3_spaced_seed_decontamination,
     "op4_ogg_media": op4_ogg_media,
     "op5_site_style_tree_text": op5_site_style_tree_text,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_license_scan": op7_license_scan,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
