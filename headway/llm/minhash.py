@@ -47,10 +47,10 @@ _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 
 
 class _WordHashes(dict):
-    """Hash of each word; forgets all at 200,000 entries, so that memory stays bounded."""
+    """Hash of each word; forgets all at 100,000 entries, so that memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -56,7 +56,7 @@ class Scorer:
         self.seen: dict[str, float] = {}
 
     def _word(self, word: str) -> float:
-        if len(self.seen) >= 500_000:
+        if len(self.seen) >= 100_000:
             self.seen.clear()
         s = self.seen[word] = float(self.each[subwords(word, len(self.each))].mean())
         return s
@@ -147,8 +147,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, m
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_chars: int = 16_000_000, **params) -> Model:
-    rows = training_rows(docs, labels, max_rows=max_rows, max_chars=max_chars).collect()
-    return fit([r.text or "" for r in rows], [int(r.toxic) for r in rows], **params)
+    """Fits in one task, as the sample is bounded; only the model, whose size is fixed, comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += [t or "" for t in b.column(0).to_pylist()]
+            toxic += [int(t) for t in b.column(1).to_pylist()]
+        m = fit(texts, toxic, **params)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.embeddings, m.weights, m.bias)], names=["e", "w", "b"])
+
+    rows = training_rows(docs, labels, max_rows=max_rows, max_chars=max_chars).coalesce(1)
+    r = rows.mapInArrow(run, "e binary, w binary, b binary").first()
+    if r is None:
+        return fit([], [], **params)
+    w = np.frombuffer(r.w, np.float32).reshape(-1, 2)
+    return Model(np.frombuffer(r.e, np.float32).reshape(-1, len(w)), w, np.frombuffer(r.b, np.float32))
 
 
 def score(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame:
