@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def hms(seconds: Column) -> Column:
     """``HH:MM:SS`` with unbounded hours, truncated seconds and a leading minus before midnight; null gives ''."""
     s = F.abs(seconds).cast("long")
-    text = F.format_string("%02d:%02d:%02d", F.expr("1L") * F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
-    return F.coalesce(F.concat(F.when((seconds < 0) & (s > 0), F.lit("-")).otherwise(F.lit("")), text), F.lit(""))
+    text = F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60)))
+    sign = F.when((seconds < 0) & (s > 0), F.lit("-")).otherwise(F.lit(""))
+    return F.when(seconds.isNull(), F.lit("")).otherwise(F.concat(sign, text))
 
 
 def parse_hms(text: Column) -> Column:
