@@ -55,33 +55,50 @@ def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, rounds: i
     f, a = WGS84_FLATTENING, MERCATOR_M
     b = a * (1 - f)
     u1, u2 = F.atan(F.lit(1 - f) * F.tan(F.radians(lat1))), F.atan(F.lit(1 - f) * F.tan(F.radians(lat2)))
-    su1, cu1, su2, cu2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-    length = F.radians(lon2 - lon1)
-
-    def parts(lam: Column):
-        sin_sigma = F.sqrt(F.pow(cu2 * F.sin(lam), 2) + F.pow(cu1 * su2 - su1 * cu2 * F.cos(lam), 2))
-        cos_sigma = su1 * su2 + cu1 * cu2 * F.cos(lam)
-        sigma = F.atan2(sin_sigma, cos_sigma)
-        sin_alpha = F.when(sin_sigma == 0, F.lit(0.0)).otherwise(cu1 * cu2 * F.sin(lam) / F.when(sin_sigma == 0, F.lit(1.0)).otherwise(sin_sigma))
-        cos2_alpha = F.lit(1.0) - sin_alpha * sin_alpha
-        cos_2m = F.when(cos2_alpha == 0, F.lit(0.0)).otherwise(cos_sigma - 2 * su1 * su2 / F.when(cos2_alpha == 0, F.lit(1.0)).otherwise(cos2_alpha))
-        return sin_sigma, cos_sigma, sigma, sin_alpha, cos2_alpha, cos_2m
-
-    def step(lam: Column, _: Column) -> Column:
-        sin_sigma, cos_sigma, sigma, sin_alpha, cos2_alpha, cos_2m = parts(lam)
-        c = F.lit(f / 16) * cos2_alpha * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - 3 * cos2_alpha))
-        return length + (F.lit(1.0) - c) * F.lit(f) * sin_alpha * (sigma + c * sin_sigma * (cos_2m + c * cos_sigma * (2 * cos_2m * cos_2m - 1)))
-
-    def finish(lam: Column) -> Column:
-        sin_sigma, cos_sigma, sigma, _, cos2_alpha, cos_2m = parts(lam)
-        uu = cos2_alpha * F.lit((a * a - b * b) / (b * b))
-        big_a = F.lit(1.0) + uu / 16384 * (F.lit(4096.0) + uu * (F.lit(-768.0) + uu * (F.lit(320.0) - 175 * uu)))
-        big_b = uu / 1024 * (F.lit(256.0) + uu * (F.lit(-128.0) + uu * (F.lit(74.0) - 47 * uu)))
-        m2 = cos_2m * cos_2m
-        turn = big_b * sin_sigma * (cos_2m + big_b / 4 * (cos_sigma * (2 * m2 - 1) - big_b / 6 * cos_2m * (4 * sin_sigma * sin_sigma - 3) * (4 * m2 - 3)))
-        return F.lit(b) * big_a * (sigma - turn)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), length, step, finish)
+    fixed = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), F.radians(lon2 - lon1).alias("l"))
+
+    def over(x: Column, y: Column) -> Column:
+        return F.when(y == 0, F.lit(0.0)).otherwise(x / F.when(y == 0, F.lit(1.0)).otherwise(y))
+
+    def angles(k: Column, lam: Column, then) -> Column:
+        """Binds sin and cos of sigma, then what follows from them."""
+        ss = F.sqrt(F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2))
+        one = F.struct(ss.alias("ss"), (k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)).alias("cs"))
+
+        def two(x: Column) -> Column:
+            sa = over(k["c1"] * k["c2"] * F.sin(lam), x["ss"])
+            return _let(F.struct(F.atan2(x["ss"], x["cs"]).alias("sigma"), sa.alias("sa"), (F.lit(1.0) - sa * sa).alias("ca")), lambda y: three(x, y))
+
+        def three(x: Column, y: Column) -> Column:
+            return _let(x["cs"] - over(2 * k["s1"] * k["s2"], y["ca"]), lambda cm: then(x["ss"], x["cs"], y["sigma"], y["sa"], y["ca"], F.when(y["ca"] == 0, F.lit(0.0)).otherwise(cm)))
+
+        return _let(one, two)
+
+    def step(k: Column, lam: Column) -> Column:
+        def then(ss, cs, sigma, sa, ca, cm):
+            c = F.lit(f / 16) * ca * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - 3 * ca))
+            return _let(c, lambda c: k["l"] + (F.lit(1.0) - c) * F.lit(f) * sa * (sigma + c * ss * (cm + c * cs * (2 * cm * cm - 1))))
+
+        return angles(k, lam, then)
+
+    def finish(k: Column, lam: Column) -> Column:
+        def then(ss, cs, sigma, sa, ca, cm):
+            return _let(ca * F.lit((a * a - b * b) / (b * b)), lambda q: metres(ss, cs, sigma, cm, q))
+
+        return angles(k, lam, then)
+
+    def metres(ss, cs, sigma, cm, q) -> Column:
+        big_a = F.lit(1.0) + q / 16384 * (F.lit(4096.0) + q * (F.lit(-768.0) + q * (F.lit(320.0) - 175 * q)))
+        big_b = q / 1024 * (F.lit(256.0) + q * (F.lit(-128.0) + q * (F.lit(74.0) - 47 * q)))
+        turn = lambda w: w * ss * (cm + w / 4 * (cs * (2 * cm * cm - 1) - w / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
+        return F.lit(b) * big_a * (sigma - _let(big_b, turn))
+
+    return _let(fixed, lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k["l"], lambda lam, _: step(k, lam), lambda lam: finish(k, lam)))
+
+
+def _let(value: Column, then) -> Column:
+    """Names a value, so that an expression which uses it often does not contain it as often."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def inside(x: Column, y: Column, ring: Column) -> Column:
