@@ -251,7 +251,7 @@ class _Links:
         met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return met.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).drop("ga", "gb")
 
-    def search(self, classes: DataFrame, k: int, least_shared: int, *, small: int, pivots: int) -> tuple[DataFrame, bool]:
+    def search(self, classes: DataFrame, k: int, least_shared: int, *, small: int, pivots: int, best_first: bool = False) -> tuple[DataFrame, bool]:
         """Finds the links within ``classes`` but for those between members of long lists that the pivots left in
         different groups; returns these members (``v, rep, n, component``) and whether there are any."""
         lists = store(listed(classes, k, least_shared), "dedup-members")
@@ -278,18 +278,20 @@ class _Links:
             tried = store(_estimate(self.apart(pairs.distinct()), classes, k), "dedup-candidates")
             if tried.isEmpty():
                 continue
-            # First each class with its most similar partner; most of the other pairs are then inside one group.
-            self.add(tried.groupBy("b").agg(F.max(F.struct("est", "a")).alias("_")).select(F.col("_.a").alias("a"), "b"))
-            rest = store(self.apart(tried), "dedup-rest")
-            if not rest.isEmpty():
-                self.add(rest)
+            if best_first and r == 0:
+                # First each class with its most similar partner; most of the other pairs are then inside one group.
+                self.add(tried.groupBy("b").agg(F.max(F.struct("est", "a")).alias("_")).select(F.col("_.a").alias("a"), "b"))
+                tried = store(self.apart(tried), "dedup-rest")
+                if tried.isEmpty():
+                    continue
+            self.add(tried)
         return long.withColumn("component", F.col("rep")), False
 
 
-def link(docs: DataFrame, classes: DataFrame, *, k: int = K, least_shared: int = LEAST_SHARED, deep_k: int = DEEP_K, deep_shared: int = DEEP_SHARED, small: int = 8, pivots: int = 2) -> DataFrame:
+def link(docs: DataFrame, classes: DataFrame, *, k: int = K, least_shared: int = LEAST_SHARED, deep_k: int = DEEP_K, deep_shared: int = DEEP_SHARED, small: int = 8, pivots: int = 1) -> DataFrame:
     """``node, component`` of the classes that have links."""
     found = _Links(docs, classes)
-    left, any_left = found.search(classes, k, least_shared, small=small, pivots=pivots)
+    left, any_left = found.search(classes, k, least_shared, small=small, pivots=pivots, best_first=True)
     if any_left:
         ids = left.select(F.col("rep").alias("doc_id")).distinct()
         deep = sketches(docs.join(ids, "doc_id", "left_semi"), deep_k).filter("n_shingles > 0")
