@@ -12,6 +12,7 @@ from headway.functions import energy as en
 from headway.functions import geo
 from headway.operators import deadhead, energy, routing, service, shapes, spatial, thermal
 from headway.sources import files, gtfs
+from headway.sources.staging import settle
 
 Matcher = Callable[[DataFrame], DataFrame]
 
@@ -78,6 +79,7 @@ class Predictor:
     def _append(self, trips: DataFrame, legs: DataFrame, prefix: str, count_from: str) -> None:
         """Adds deadhead trips that have a leg, with their stops, shapes and times."""
         f = self._loaded()
+        legs = settle(legs, "legs")
         lines, mapping = deadhead.deadhead_shapes(legs, self._router())
         trips = trips.drop("shape_id").join(mapping, "trip_id").join(deadhead.leg_times(legs), "trip_id")
         if "trip_count" in f.trips.columns:
@@ -92,14 +94,14 @@ class Predictor:
 
     def prepare_mid_block(self) -> tuple[DataFrame, DataFrame]:
         f = self._loaded()
-        t = deadhead.midblock_trips(f.trips, f.stop_times)
+        t = settle(deadhead.midblock_trips(f.trips, f.stop_times), "mid-trips")
         return t, deadhead.midblock_legs(t, f.stop_times, f.stops)
 
     def prepare_depot(self) -> tuple[DataFrame, DataFrame]:
         f = self._loaded()
         if self.depot_path is None:
             raise ValueError("a depot file is needed for depot deadheads")
-        t = deadhead.depot_trips(f.trips, f.stop_times)
+        t = settle(deadhead.depot_trips(f.trips, f.stop_times), "depot-trips")
         placed = deadhead.assign_depots(deadhead.block_ends(f.trips, f.stop_times, f.stops), files.read_depots(self.spark, self.depot_path))
         return t, deadhead.depot_legs(t, placed)
 
@@ -111,6 +113,8 @@ class Predictor:
             self._append(*mid, "mid_block_deadhead_", "from_trip")
         if dep:
             self._append(*dep, "depot_deadhead_", "service_trip")
+        f = self._loaded()
+        self.feed = f.with_tables(**{n: settle(getattr(f, n), n) for n in ("trips", "shapes", "stop_times", "stops")})
         return self
 
     def trace(self) -> DataFrame:
@@ -131,7 +135,7 @@ class Predictor:
         if set(wanted) - known:
             raise ValueError(f"unknown vehicle models {sorted(set(wanted) - known)}; known are {sorted(known)}")
         catalog = catalog.filter(F.col("vehicle").isin(wanted))
-        links = self.match()
+        links = settle(self.match(), "links")
         per_shape = energy.path_energy(links, self.edges, catalog)
         extra = None
         if hvac:
