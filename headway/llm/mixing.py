@@ -3,10 +3,10 @@
 1. Sources get targets: their share of the budget by weight, never over ``max_epochs`` times their size; what is
    cut off is shared among the others by weight until no source is above its bound.
 2. Within each source the documents are shuffled by a hash and laid end to end; the line is cut into blocks of
-   equally many words.  Positions come from two prefix sums, one over hash ranges and one inside each range, so no
+   equally many words, at least ``LEAST_BLOCKS`` of them where the source has as many words.  Positions come from two prefix sums, one over hash ranges and one inside each range, so no
    source has to pass through one task.
-3. Slot i of the schedule is the point frac((i + 1/2) * golden ratio), mapped through the cumulative targets to a
-   source.  The slots of a source are ranked; rank r plays block r modulo the source's blocks.  A slot that would
+3. Slot i of the schedule is the point frac((i + 1/2) * golden ratio), mapped to a source through the cumulative
+   numbers of slots that the targets need, with some to spare for each source.  The slots of a source are ranked; rank r plays block r modulo the source's blocks.  A slot that would
    pass the source's target is cut there, and later slots of that source are left out.
 4. A document has taken the words it shares with the played blocks.
 
@@ -27,6 +27,10 @@ WEIGHTS = (5, 2, 1)
 GOLDEN = 0.6180339887498949
 #: Cells of the unit interval by which points meet sources.
 CELLS = 4096
+#: A source smaller than this many of the largest blocks gets smaller ones.
+LEAST_BLOCKS = 64
+#: Slots to spare for each source: more than the points of an interval stray from its share (below 0.7 ln n + 3 for this sequence).
+SPARE_SLOTS = 20
 
 
 def _running(by: list[str], order: list, upto: int):
@@ -71,36 +75,45 @@ def place(docs: DataFrame, rows: int, rows_per_range: int = 20_000) -> DataFrame
     return d.join(ranges, _same("source", "_s") & (F.col("_range") == F.col("_r"))).withColumn("start", F.col("_base") + F.col("_in")).drop("_range", "_base", "_in", "_s", "_r")
 
 
-def schedule(targets: DataFrame, block_words: int, total: float, n_sources: int) -> DataFrame:
+def blocked(targets: DataFrame, block_words: int) -> DataFrame:
+    """Adds ``block_words``, the words of the source's blocks, and ``slots``, those laid so that it reaches its target."""
+    size, words = F.greatest("source_size", F.lit(1)), F.floor("target")
+    t = targets.withColumn("block_words", F.least(F.lit(block_words).cast("long"), F.ceil(size / F.lit(LEAST_BLOCKS))))
+    epochs = F.floor(words / size)
+    need = epochs * F.ceil(size / F.col("block_words")) + F.ceil((words - epochs * size) / F.col("block_words"))
+    return t.withColumn("slots", F.when(words > 0, F.ceil(need * F.lit(1.02)) + SPARE_SLOTS).otherwise(0))
+
+
+def schedule(targets: DataFrame, n: int) -> DataFrame:
     """``slot, source, block, cut``: the slots in play, each with its source's block and the words it plays of it.
 
+    ``targets`` comes from ``blocked``, and ``n`` is the sum of its slots; those beyond the targets are left out.
     A point meets the sources of its cell of the unit interval by an equi-join.  Ranks within a source come from
     counts by range of slots and row numbers inside a range.
     """
-    share = targets.filter(F.col("target") > 0).withColumn("_hi", F.sum("target").over(_running([], [F.col("source").asc_nulls_last()], 0)) / F.lit(float(total or 1)))
-    share = share.withColumn("_lo", F.col("_hi") - F.col("target") / F.lit(float(total or 1)))
-    share = share.withColumn("_cell", F.explode(F.sequence(F.floor(F.greatest(F.col("_lo"), F.lit(0.0)) * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))))
-    # A few slots more than the budget holds, so that each source reaches its target; the rest are left out below.
-    n = int(total / block_words * 1.02) + 8 * n_sources if total else 0
+    upto = lambda last: F.coalesce(F.sum("slots").over(_running([], [F.col("source").asc_nulls_last()], last)), F.lit(0)) / F.lit(float(n or 1))
+    share = targets.filter(F.col("slots") > 0).withColumn("_lo", upto(-1)).withColumn("_hi", upto(0))
+    share = share.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * CELLS), F.least(F.floor(F.col("_hi") * CELLS), F.lit(CELLS - 1)))))
     slots = share.sparkSession.range(n).withColumn("_x", F.pmod((F.col("id") + F.lit(0.5)) * F.lit(GOLDEN), F.lit(1.0)))
     slots = slots.withColumn("_c", F.floor(F.col("_x") * CELLS)).withColumn("_range", F.expr("id div 16384"))
-    hits = slots.join(share, (F.col("_c") == F.col("_cell")) & (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("id", "_range", "source", "source_size", "target")
+    hits = slots.join(share, (F.col("_c") == F.col("_cell")) & (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("id", "_range", "source", "source_size", "target", "block_words")
     counts = hits.groupBy("source", "_range").agg(F.count("*").alias("_n"))
     counts = counts.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(_running(["source"], ["_range"], -1)), F.lit(0)).alias("_base"))
     hits = hits.withColumn("_in", F.row_number().over(Window.partitionBy("source", "_range").orderBy("id")) - 1)
     hits = hits.join(counts, _same("source", "_s") & (F.col("_range") == F.col("_r"))).withColumn("_rank", F.col("_base") + F.col("_in"))
-    blocks = F.ceil(F.col("source_size") / F.lit(block_words))
-    hits = hits.withColumn("block", F.pmod(F.col("_rank"), blocks)).withColumn("_before", F.floor(F.col("_rank") / blocks) * F.col("source_size") + F.col("block") * F.lit(block_words))
-    cut = F.least(F.lit(block_words).cast("long"), F.floor(F.col("target")) - F.col("_before"), F.col("source_size") - F.col("block") * F.lit(block_words))
+    b = F.col("block_words")
+    blocks = F.ceil(F.col("source_size") / b)
+    hits = hits.withColumn("block", F.pmod(F.col("_rank"), blocks)).withColumn("_before", F.floor(F.col("_rank") / blocks) * F.col("source_size") + F.col("block") * b)
+    cut = F.least(b, F.floor(F.col("target")) - F.col("_before"), F.col("source_size") - F.col("block") * b)
     return hits.withColumn("cut", cut).filter("cut > 0").select(F.col("id").alias("slot"), "source", "block", "cut")
 
 
 def mix(docs: DataFrame, *, budget: float = 1.5, weights=WEIGHTS, max_epochs: float = 2.0, block_words: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents with ``taken`` and ``begun``, schedule in play order).
 
-    ``begun`` counts the plays that hold the document's first word.  Without ``block_words`` a block is a
-    ten-thousandth of the mean target, from 16 to 65,536 words, so the schedule's length does not grow with the
-    input beyond what the largest block gives.
+    ``begun`` counts the plays that hold the document's first word.  ``block_words`` is the largest
+    block; without it, it is a ten-thousandth of the mean target, from 16 to 65,536 words, so the schedule's length
+    does not grow with the input beyond what the largest block gives.  Small sources have smaller blocks.
     """
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     tie = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -108,15 +121,17 @@ def mix(docs: DataFrame, *, budget: float = 1.5, weights=WEIGHTS, max_epochs: fl
     targets = store(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), budget, weights, max_epochs).coalesce(1), "mix-targets")
     total, n_sources = targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
     block_words = block_words or int(min(max(total / max(n_sources, 1) / 10_000, 16), 65_536))
-    plays = store(schedule(targets, block_words, total, n_sources), "mix-schedule")
+    targets = store(blocked(targets, block_words).coalesce(1), "mix-blocks")
+    plays = store(schedule(targets, targets.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0]), "mix-schedule")
     by_block = plays.groupBy("source", "block").agg(F.collect_list("cut").alias("cuts")).withColumnsRenamed({"source": "_s", "block": "_b"})
-    b = F.lit(block_words)
-    placed = place(base.filter("size > 0"), base.count())
-    parts = placed.withColumn("_block", F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))))
+    b = F.col("block_words")
+    blocks = targets.select(F.col("source").alias("_t"), "block_words")
+    placed = place(base.filter("size > 0"), base.count()).join(blocks, _same("source", "_t"))
+    parts = placed.withColumn("_block", F.explode(F.sequence(F.expr("start div block_words"), F.expr("(start + size - 1) div block_words"))))
     parts = parts.withColumn("_from", F.greatest(F.col("start") - F.col("_block") * b, F.lit(0))).withColumn("_to", F.least(F.col("start") + F.col("size") - F.col("_block") * b, b))
     met = parts.join(by_block, _same("source", "_s") & (F.col("_block") == F.col("_b")), "left")
     words = F.expr("aggregate(cuts, 0L, (a, c) -> a + greatest(least(c, _to) - _from, 0L))")
-    begun = F.expr("if(_block = start div %d, size(filter(cuts, c -> c > _from)), 0)" % block_words)
+    begun = F.expr("if(_block = start div block_words, size(filter(cuts, c -> c > _from)), 0)")
     taken = met.groupBy("doc_id", "source", "start", "size").agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken"), F.sum(F.when(F.col("cuts").isNotNull(), begun).otherwise(0)).cast("long").alias("begun"))
     none = base.filter("size = 0").select("doc_id", "source", F.lit(0).cast("long").alias("start"), "size", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("begun"))
     t = targets.withColumnRenamed("source", "_s")

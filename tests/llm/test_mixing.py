@@ -50,3 +50,14 @@ def test_empty_table(spark, make_docs):
 def test_only_empty_texts(spark, make_docs):
     rows = [(1, "", "a"), (2, None, None)]
     check(make_docs(rows), rows)
+
+
+def test_small_sources_of_skewed_tables_reach_their_targets(spark, make_docs):
+    rows = [(i, "w " * 20_000, "hot") for i in range(60)]
+    rows += [(1000 + i, "a b c d e", "tiny") for i in range(8)] + [(2000 + i, "x " * 70, "small") for i in range(10)] + [(3000, "y z", None), (3001, "q", "one")]
+    rows += [(4000 + 100 * k + i, "v " * 13, f"t{k}") for k in range(9) for i in range(7)]
+    check(make_docs(rows), rows)
+    many = mixing.source_targets(spark.createDataFrame([("hot", 80_000_000), ("a", 100), ("b", 1500), ("c", 70_000)], "source string, source_size long"))
+    t = mixing.blocked(many, 662)
+    plays = mixing.schedule(t, t.agg({"slots": "sum"}).first()[0]).groupBy("source").agg({"cut": "sum"}).collect()
+    assert dict(plays) == {r.source: int(r.target) for r in many.collect()}
