@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
 Texts become lower-case words of letters and digits.  Each mask takes some positions of a short window and ignores
-the others, so a window still hits when ignored words were substituted.  Benchmark windows are hashed under every
-mask; training windows are hashed alike and joined with them.  Around each hit the two texts are laid side by side
-and the words that agree are counted over ``window`` words of the item (the whole item if it is shorter); an item
-leaks when at least ``share`` of them agree.  The work is linear in the training text: its windows are never
+the others, so a window still hits when ignored words were substituted; wherever ``share`` of the words agree, one does.  Benchmark windows are hashed under every
+mask; training windows are hashed alike and joined with them.  At each hit the two texts are laid side by side and
+the words that agree are counted over each ``window`` words of the item around it (the whole item if it is shorter);
+an item leaks when at least ``share`` of them agree somewhere.  The work is linear in the training text: its windows are never
 grouped or shuffled, only the few that hit a benchmark hash go on.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from headway.llm.common import store
 
 #: 1: the word counts, 0: it is ignored.
-MASKS = ("110110101", "101001111")
+#: The set is complete: if at least 75 % of the 9 to 24 words of a window agree, one of the masks fits somewhere into those that do.
+MASKS = ("110111", "11010011", "11111", "111001001", "100101011")
 #: Above this many bytes of benchmark seeds, with their items, nothing is broadcast, and Spark shuffles the windows.
 BROADCAST_BYTES = 128 << 20
 
@@ -49,6 +50,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
     either side have no leaks; repeated rows give one row; an empty table gives an empty result.  Items of fewer
     words than the longest mask count only where all their words appear in a row.  Other columns are ignored.
     """
+    if not 0 < window <= 32:
+        raise ValueError("window must be 1 to 32 words")
     span = max(map(len, MASKS))
     items = benchmark.select("item_id", words(F.col("text")).alias("iw")).filter(F.size("iw") > 0)
     # At most span - 1 numbers come to the driver.
@@ -72,10 +75,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
     met = met.select("doc_id", "seed", "dp", low.alias("low"), F.slice("dw", low + 1, F.lit(2 * window + span)).alias("near"))
     met = met.join(at_hand(seeds), "seed")
     size = F.least(F.size("iw"), F.lit(window))
-    first = F.least(F.greatest(F.col("ip") - F.floor((size - span) / 2).cast("int"), F.lit(0)), F.size("iw") - size)
-    met = met.withColumn("compared", size).withColumn("first", first).withColumn("doc_word", F.col("dp") - F.col("ip") + F.col("first"))
-    same = F.size(F.filter(F.sequence(F.lit(0), F.col("compared") - 1), lambda i: F.coalesce(F.when(F.col("doc_word") + i >= 0, F.get("near", F.greatest(F.col("doc_word") + i - F.col("low"), F.lit(0)))) == F.get("iw", F.col("first") + i), F.lit(False))))
-    found = met.withColumn("matched", same).filter((F.col("matched") >= F.col("compared") * F.lit(share)) & ((F.col("compared") >= span) | (F.col("matched") == F.col("compared"))))
+    # The words that agree, from the first to the last window of the item that holds the hit, as bits; the last word is bit 0.
+    low_i, high_i = F.greatest(F.col("ip") - size + 1, F.lit(0)), F.least(F.col("ip") + size, F.size("iw"))
+    met = met.withColumn("compared", size).withColumn("from", low_i).withColumn("upto", high_i).withColumn("shift", F.col("dp") - F.col("ip"))
+    same = lambda i: F.coalesce(F.when(F.col("shift") + i >= 0, F.get("near", F.greatest(F.col("shift") + i - F.col("low"), F.lit(0)))) == F.get("iw", i), F.lit(False))
+    met = met.withColumn("bits", F.aggregate(F.sequence("from", F.col("upto") - 1), F.lit(0).cast("long"), lambda acc, i: acc * 2 + same(i).cast("long")))
+    # Of the windows of an item the one with the most words that agree, then the first.
+    last = F.col("upto") - F.col("from") - F.col("compared")
+    counts = [F.when(last >= k, F.expr(f"bit_count(shiftright(bits, upto - from - compared - {k}) & (shiftleft(1L, compared) - 1)) * 64 + 63 - {k}")) for k in range(window)]
+    met = met.withColumn("_most", F.greatest(*counts)) if window > 1 else met.withColumn("_most", counts[0])
+    met = met.withColumn("matched", F.expr("_most div 64").cast("int")).withColumn("doc_word", F.col("shift") + F.col("from") + 63 - F.pmod("_most", F.lit(64)))
+    found = met.filter((F.col("matched") >= F.col("compared") * F.lit(share)) & ((F.col("compared") >= span) | (F.col("matched") == F.col("compared"))))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched"), F.col("compared"), (-F.col("doc_word")).alias("d"))).alias("_"))
     return best.select("doc_id", "item_id", F.col("_.matched").cast("long").alias("matched"), F.col("_.compared").cast("long").alias("compared"), (-F.col("_.d")).cast("long").alias("doc_word"))
 

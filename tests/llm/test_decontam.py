@@ -80,3 +80,25 @@ def test_empty_tables(spark, make_docs):
     assert decontam.leaks(docs, none).count() == 0
     assert decontam.decontaminate(docs, none).count() == 1
     assert decontam.leaks(docs.filter("false"), spark.createDataFrame([(1, "a b c d e f g h i j")], ITEM)).count() == 0
+
+
+def test_all_that_agrees_in_three_quarters_is_found(spark, make_docs):
+    """Against every window of every shift, without masks."""
+    rng = random.Random(8)
+    items, docs, want = [], [], set()
+    for i in range(120):
+        n = rng.choice([9, 12, 14, 16, 20, 24, 40])
+        item = [f"i{i}x{k}" for k in range(n)]
+        v = list(item)
+        if i % 6 == 0:
+            v[3::4] = ["other"] * len(v[3::4])
+        else:
+            for k in rng.sample(range(n), rng.choice([n // 4, n // 4 + 1])):
+                v[k] = "other"
+        w = min(n, 24)
+        if any(sum(a == b for a, b in zip(item[f : f + w], v[f : f + w])) >= 0.75 * w for f in range(n - w + 1)):
+            want.add((i, i))
+        items.append((i, " ".join(item)))
+        docs.append((i, " ".join([f"d{k}" for k in range(i % 50)] + v + ["end"] * (i % 7))))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(make_docs(docs), spark.createDataFrame(items, ITEM)).collect()}
+    assert got == want and 40 < len(want) < 120
