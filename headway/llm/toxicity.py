@@ -15,13 +15,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
 BUCKETS = 1 << 17
 #: Shorter texts are averaged as if filled up to this many words that say nothing.
 LEAST_WORDS = 40
+#: Training takes longer texts by their distinct words.
+LONG_TEXT = 2_000
 
 
 def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
@@ -132,21 +134,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_chars: int = 16_000_000) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 24_000_000) -> DataFrame:
     """``text, toxic``: at most ``max_rows`` labelled rows outside the held-out fold, and ``max_chars`` of their text.
 
-    Rows are taken in the order of a hash of their id.  A document labelled twice counts with its larger label;
-    null labels and labels without a document are left out.
+    Rows are taken in the order of a hash of their id.  A long text is given by its distinct words, which are all that
+    training looks at.  A row that does not fit into what is left of ``max_chars`` is skipped, those after it are not.
+    A document labelled twice counts with its larger label; null labels and labels without a document are left out.
     """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # max_rows rows of three numbers
-    upto = Window.orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    sized = texts.withColumn("chars", F.coalesce(F.length("text"), F.lit(0)))
-    return sized.withColumn("upto", F.sum("chars").over(upto)).filter(F.col("upto") <= max_chars).orderBy("h", "doc_id", "text").select("text", "toxic")
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "h", "toxic", "text")  # max_rows rows of three numbers
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [t if t is None or len(t) <= LONG_TEXT else " ".join(words(t)) for t in (t.as_py() for t in b.column(3))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cut, pa.string())], names=b.schema.names)
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = max_chars
+        for b in batches:
+            keep = []
+            for t in b.column(3):
+                n = len(t.as_py() or "")
+                keep.append(n <= left)
+                left -= n if keep[-1] else 0
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    # sorted in the task that takes them; a global sort would send sampled texts to the driver
+    one = texts.mapInArrow(short, texts.schema).repartition(1).sortWithinPartitions("h", "doc_id", "text")
+    return one.mapInArrow(fitting, texts.schema).select("text", "toxic")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_chars: int = 16_000_000, **params) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 24_000_000, **params) -> Model:
     """Fits in one task, as the sample is bounded; only the model, whose size is fixed, comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 5000, max_chars
         m = fit(texts, toxic, **params)
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.embeddings, m.weights, m.bias)], names=["e", "w", "b"])
 
-    rows = training_rows(docs, labels, max_rows=max_rows, max_chars=max_chars).coalesce(1)
+    rows = training_rows(docs, labels, max_rows=max_rows, max_chars=max_chars)
     r = rows.mapInArrow(run, "e binary, w binary, b binary").first()
     if r is None:
         return fit([], [], **params)

@@ -59,3 +59,14 @@ def test_edges(spark, make_docs):
     assert toxicity.score(make_docs(rows).filter("false"), a).count() == 0
     empty = toxicity.train(make_docs(docs), lab.filter("false"))
     assert all(r.score == 0.5 for r in toxicity.score(make_docs(rows), empty).collect())
+
+
+def test_a_huge_row_does_not_end_the_sample(spark, make_docs):
+    docs, labels, _ = corpus(300)
+    lab = spark.createDataFrame(labels, LABELS)
+    ids = {t: i for i, t in docs}
+    before = [ids[r.text] for r in toxicity.training_rows(make_docs(docs), lab).collect()]
+    huge = {before[0]: " ".join(f"w{k}" for k in range(20_000)), before[1]: "nitwit Nitwit of " * 20_000}
+    changed = make_docs([(i, huge.get(i, t)) for i, t in docs])
+    got = [r.text for r in toxicity.training_rows(changed, lab, max_chars=100_000).collect()]
+    assert got[0] == "nitwit of" and [ids[t] for t in got[1:]] == before[2:]
