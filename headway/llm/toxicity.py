@@ -1,41 +1,106 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its character 3- to 5-grams and of itself, hashed into ``buckets``; a text is
-the mean of its distinct words; a linear softmax over two classes gives the score.  Misspelt words that were never seen share
-most of their n-grams with seen ones.  Training uses a bounded sample of labelled rows; scoring reads every whole
-text and is one pass without a shuffle.
+A word is the mean of the vectors of its character 3- to 5-grams and of itself, hashed into ``buckets``; a stretch of
+words is the mean of its words; a linear softmax over two classes gives the stretch's score, and a text scores as its
+worst stretch, so that a short passage in a long text is not averaged away.  Misspelt words that were never seen
+share most of their n-grams with seen ones.
+
+Training uses a bounded sample of labelled rows: in each epoch every text is given by the stretch that the model so
+far holds for its worst, and embeddings and softmax are fitted to those together.  Scoring reads every whole text in
+one pass without a shuffle: the words of an Arrow batch are told apart once, each distinct word is looked up once,
+and stretches are sums over arrays.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WORD = re.compile(r"[^\W_]+")
+from headway.llm.common import released, slices
+
+#: Fixed value: what separates words; letters and digits make them.
+_BREAK = r"[^\pL\pN]+"
 BUCKETS = 1 << 17
-#: Shorter texts are averaged as if filled up to this many words that say nothing.
-LEAST_WORDS = 40
-#: Training takes longer texts by their distinct words.
+#: Words by which a stretch moves on; a stretch holds twice as many, which is about a phrase.
+STRIDE = 2
+#: Shorter stretches are averaged as if filled up to this many words that say nothing.
+LEAST_WORDS = 4
+#: Training takes texts of more characters by their words, each once, which is all that it looks at.
 LONG_TEXT = 2_000
+GRAMS = (3, 4, 5)
+# Odd multipliers of the characters in an n-gram, and of those in a word.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def subwords(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Buckets of a lower-cased word and of its n-grams with marked ends; the repeats of an n-gram count."""
-    marked = f"<{word}>"
-    grams = [marked, *(marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1))]
-    return [xxhash.xxh32_intdigest(g.encode("utf-8", "surrogatepass")) & (buckets - 1) for g in grams]
-
-
-def words(text: str | None) -> list[str]:
-    """The distinct words of a text in order of code points; a word that is repeated a thousand times says no more than once."""
-    return sorted(set(_WORD.findall((text or "").lower())))
+@dataclass
+class Words:
+    """The words of some texts: the distinct ones, and for each text a run of codes into them."""
+
+    distinct: pa.Array
+    codes: np.ndarray
+    lengths: np.ndarray  # codes of each text
+
+
+def words(texts: pa.Array) -> Words:
+    """The lower-cased words of texts, each where it first stands in its text: a word that is repeated a thousand times
+    says no more than once.  Null has none."""
+    parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), _BREAK)
+    flat = pc.list_flatten(parts)
+    real = pc.not_equal(flat, "")  # a text that begins or ends with a mark has an empty piece there
+    owner = pc.list_parent_indices(parts).filter(real).to_numpy()
+    coded = flat.filter(real).dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    first = np.unique((owner.astype(np.int64) << 32) | codes, return_index=True)[1]
+    first.sort()
+    return Words(coded.dictionary, codes[first], np.bincount(owner[first], minlength=len(texts)))
+
+
+def _gathered(texts: list[str | None], step: int = 256) -> Words:
+    """The words of many texts, taken a few texts at a time: what is held at once is their codes."""
+    known: dict[str, int] = {}
+    codes, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for k in range(0, len(texts), step):
+        w = words(pa.array(texts[k : k + step], pa.string()))
+        codes.append(np.array([known.setdefault(x, len(known)) for x in w.distinct.to_pylist()], np.int64)[w.codes].astype(np.int32))
+        lengths.append(w.lengths)
+    return Words(pa.array(list(known), pa.string()), np.concatenate(codes), np.concatenate(lengths))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def subwords(distinct: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each piece, its word) in order of words: every word itself and its n-grams, with marked ends; the
+    repeats of an n-gram count."""
+    if not len(distinct):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    sizes = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+    char = np.frombuffer("".join(f"<{w}>" for w in distinct.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
+    owner = np.repeat(np.arange(len(sizes)), sizes + 2)
+    place = np.arange(len(char)) - starts[owner]
+    pieces, of = [np.add.reduceat(_mix(char + _STEP * (place.astype(np.uint64) + np.uint64(1))), starts)], [np.arange(len(sizes))]
+    for n in GRAMS:
+        if len(char) < n:
+            continue
+        inside = np.flatnonzero(owner[n - 1 :] == owner[: len(char) - n + 1])
+        h = np.full(len(inside), n, np.uint64)
+        for k in range(n):
+            h += char[inside + k] * _ODD[k]
+        pieces.append(h)
+        of.append(owner[inside])
+    piece, of = np.concatenate(pieces), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return (_mix(piece[order]) & np.uint64(buckets - 1)).astype(np.int64), of[order]
 
 
 @dataclass
@@ -50,83 +115,103 @@ class Model:
         return self.embeddings @ (self.weights[:, 1] - self.weights[:, 0]), float(self.bias[1] - self.bias[0])
 
 
+def _stretches(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words in it, first block, text) of each stretch; a text of up to two blocks of words is one."""
+    blocks = -(-lengths // STRIDE)
+    n = np.maximum(blocks - 1, np.minimum(blocks, 1))
+    text = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    first = (np.cumsum(lengths) - lengths)[text] + k * STRIDE
+    size = np.minimum(lengths[text] - k * STRIDE, 2 * STRIDE)
+    return first, size, (np.cumsum(blocks) - blocks)[text] + k, text
+
+
+def _worst(w: Words, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(largest mean contribution, its first word, its number of words) of each text; ``each``: contribution of a distinct word.
+
+    Sums run over one block of one text at a time, so equal texts get equal values whatever lies beside them.
+    """
+    top, at, many = np.zeros(len(w.lengths)), np.zeros(len(w.lengths), np.int64), np.zeros(len(w.lengths), np.int64)
+    if not len(w.codes):
+        return top, at, many
+    first, size, block, text = _stretches(w.lengths)
+    blocks = -(-w.lengths // STRIDE)
+    owner = np.repeat(np.arange(len(blocks)), blocks)
+    starts = (np.cumsum(w.lengths) - w.lengths)[owner] + (np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]) * STRIDE
+    sums = np.append(np.add.reduceat(each[w.codes], starts), 0.0)
+    mean = (sums[block] + np.where(size > STRIDE, sums[block + 1], 0.0)) / np.maximum(size, LEAST_WORDS)
+    heads = np.flatnonzero(np.diff(text, prepend=-1))
+    have = text[heads]
+    best = np.maximum.reduceat(mean, heads)
+    pick = np.flatnonzero(mean == np.repeat(best, np.diff(np.append(heads, len(text)))))
+    pick = pick[np.diff(text[pick], prepend=-1) != 0]  # the first of several
+    top[have], at[have], many[have] = best, first[pick], size[pick]
+    return top, at, many
+
+
 class Scorer:
-    """Scores texts; words' contributions are remembered, up to a bound."""
+    """Scores arrays of texts."""
 
     def __init__(self, model: Model):
         self.each, self.bias = model.log_odds()
-        self.seen: dict[str, float] = {}
-
-    def _word(self, word: str) -> float:
-        if len(self.seen) >= 100_000:
-            self.seen.clear()
-        s = self.seen[word] = float(self.each[subwords(word, len(self.each))].mean())
-        return s
-
-    def score(self, text: str | None) -> float:
-        found = words(text)
-        z = self.bias
-        if found:
-            seen = self.seen
-            z += sum([seen[w] if w in seen else self._word(w) for w in found]) / max(len(found), LEAST_WORDS)
-        return 1 / (1 + float(np.exp(-np.clip(z, -60, 60))))
-
-
-def _bags(texts: list[str], buckets: int, least_texts: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, weights) of each text, without buckets that fewer than ``least_texts`` texts have: they could only be learnt by heart."""
-    known: dict[str, list[int]] = {}
-    out = []
-    for text in texts:
-        found = words(text)
-        ids, vals = [], []
-        for w in found:
-            s = known.get(w)
-            if s is None:
-                if len(known) >= 50_000:
-                    known.clear()
-                s = known[w] = subwords(w, buckets)
-            ids += s
-            vals += [1 / len(s)] * len(s)
-        at, where = np.unique(np.array(ids, np.int64), return_inverse=True)
-        out.append((at.astype(np.int32), (np.bincount(where, vals, len(at)) / max(len(found), LEAST_WORDS)).astype(np.float32)))
-    common = np.bincount(np.concatenate([b[0] for b in out]), minlength=buckets) >= least_texts if out else None
-    return [(at[common[at]], val[common[at]]) for at, val in out]
-
-
-def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int = 4, epochs: int = 12, batch: int = 128, rate: float = 0.8, decay: float = 1e-7, floor: float = 1e-4, positive: float = 3.0, least_texts: int = 5, seed: int = 7) -> Model:
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        w = words(texts)
+        piece, of = subwords(w.distinct, len(self.each))
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        each = np.add.reduceat(self.each[piece], heads) / np.diff(np.append(heads, len(of))) if len(of) else np.empty(0)
+        z = self.bias + _worst(w, each)[0]
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int = 4, epochs: int = 14, batch: int = 128, rate: float = 0.5, decay: float = 1e-7, floor: float = 1e-4, positive: float = 2.0, least_share: float = 1 / 300, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax by Adam on shuffled batches; the same data give the same model."""
     rng = np.random.default_rng(seed)
     emb = np.zeros((buckets, dim), np.float32)  # what was never seen says nothing
-    w = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
-    b = np.zeros(2, np.float32)
-    bags, y = _bags(texts, buckets, least_texts), np.array(labels, np.int64)
-    params = [emb, w, b]
+    soft = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
+    bias = np.zeros(2, np.float32)
+    w, y = _gathered(texts), np.array(labels, np.int64)
+    piece, of = subwords(w.distinct, buckets)
+    weight = (1 / np.bincount(of, minlength=len(w.distinct)))[of].astype(np.float32) if len(of) else np.empty(0, np.float32)
+    # Pieces that too few texts have could only be learnt by heart.
+    texts_of_word = np.bincount(w.codes, minlength=len(w.distinct))
+    common = np.bincount(piece, texts_of_word[of], buckets) >= max(4, least_share * len(texts)) if len(of) else np.zeros(buckets, bool)
+    keep = common[piece] if len(of) else np.empty(0, bool)
+    piece, of, weight = piece[keep], of[keep], weight[keep]
+    ends = np.searchsorted(of, np.arange(len(w.distinct) + 1))
+    params = [emb, soft, bias]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    if bags:  # few rows take more epochs, up to the same number of steps
-        epochs = max(epochs, -(-400 * batch // len(bags)) if len(bags) < 400 * batch // epochs else epochs)
-    for epoch in range(epochs if bags else 0):
+    n = len(y)
+    if n:  # few rows take more epochs, up to the same number of steps
+        epochs = max(epochs, -(-400 * batch // n) if n * epochs < 400 * batch else epochs)
+    for epoch in range(epochs if n else 0):
         step = rate * (1 - epoch / epochs)
-        order = rng.permutation(len(bags))
-        for k in range(0, len(order), batch):
+        value = emb @ (soft[:, 1] - soft[:, 0])
+        each = np.bincount(of, value[piece] * weight, len(w.distinct)) if len(of) else np.zeros(len(w.distinct))
+        _, first, size = _worst(w, each)
+        order = rng.permutation(n)
+        for k in range(0, n, batch):
             idx = order[k : k + batch]
-            sizes = np.array([len(bags[i][0]) for i in idx])
-            rows = np.repeat(np.arange(len(idx)), sizes)
-            at = np.concatenate([bags[i][0] for i in idx])
-            val = np.concatenate([bags[i][1] for i in idx])
-            x = np.stack([np.bincount(rows, emb[at, d] * val, len(idx)) for d in range(dim)], 1)
-            z = x @ w + b
+            at = np.repeat(first[idx] - (np.cumsum(size[idx]) - size[idx]), size[idx]) + np.arange(size[idx].sum())
+            rows, code = np.repeat(np.arange(len(idx)), size[idx]), w.codes[at]
+            many = ends[code + 1] - ends[code]
+            p_at = np.repeat(ends[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            rows, where = np.repeat(rows, many), piece[p_at]
+            val = weight[p_at] / np.maximum(size[idx], LEAST_WORDS)[rows]
+            x = np.stack([np.bincount(rows, emb[where, d] * val, len(idx)) for d in range(dim)], 1)
+            z = x @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(idx)), y[idx]] -= 1
             p *= np.where(y[idx] == 1, positive, 1.0)[:, None] / len(idx)
-            back = p @ w.T
-            grads = [np.stack([np.bincount(at, back[rows, d] * val, buckets) for d in range(dim)], 1) + decay * emb, x.T @ p, p.sum(0)]
+            back = p @ soft.T
+            grads = [np.stack([np.bincount(where, back[rows, d] * val, buckets) for d in range(dim)], 1) + decay * emb, x.T @ p, p.sum(0)]
             t += 1
             for j, g in enumerate(grads):
                 m[j] = 0.9 * m[j] + 0.1 * g
                 v[j] = 0.999 * v[j] + 0.001 * g * g
                 params[j] -= (step * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + floor)).astype(np.float32)
-    return Model(emb, w, b)
+    return Model(emb, soft, bias)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -137,32 +222,38 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 24_000_000) -> DataFrame:
     """``text, toxic``: at most ``max_rows`` labelled rows outside the held-out fold, and ``max_chars`` of their text.
 
-    Rows are taken in the order of a hash of their id.  A long text is given by its distinct words, which are all that
-    training looks at.  A row that does not fit into what is left of ``max_chars`` is skipped, those after it are not.
-    A document labelled twice counts with its larger label; null labels and labels without a document are left out.
+    Documents are taken in the order of a hash of their id, each once: of several rows with one doc_id the one whose
+    text has the smallest hash.  A long text is given by its words, each where it first stands.  A row that does not fit into what is left of ``max_chars`` is skipped, those after
+    it are not.  A document labelled twice counts with its larger label; null labels and labels without a document
+    are left out.
     """
     usable = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "h", "toxic", "text")  # max_rows rows of three numbers
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cut = [t if t is None or len(t) <= LONG_TEXT else " ".join(words(t)) for t in (t.as_py() for t in b.column(3))]
+        for b in (part for whole in batches for part in slices(whole, 3)):
+            w = words(b.column(3))
+            distinct, ends = w.distinct.to_pylist(), np.cumsum(w.lengths)
+            cut = [t if t is None or len(t) <= LONG_TEXT else " ".join(distinct[c] for c in w.codes[z - n : z]) for t, z, n in zip(b.column(3).to_pylist(), ends, w.lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cut, pa.string())], names=b.schema.names)
 
+    texts = texts.mapInArrow(released(short), texts.schema)
+    # partial aggregation leaves one text of each document on each side of the shuffle, however often it is repeated
+    one = texts.groupBy("doc_id", "h", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("k"), "text")).alias("t")).select("doc_id", "h", "toxic", F.col("t.text").alias("text"))
+
     def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = max_chars
         for b in batches:
             keep = []
-            for t in b.column(3):
-                n = len(t.as_py() or "")
+            for n in pc.fill_null(pc.utf8_length(b.column(3)), 0).to_pylist():
                 keep.append(n <= left)
                 left -= n if keep[-1] else 0
             yield b.filter(pa.array(keep, pa.bool_()))
 
     # sorted in the task that takes them; a global sort would send sampled texts to the driver
-    one = texts.mapInArrow(short, texts.schema).repartition(1).sortWithinPartitions("h", "doc_id", "text")
-    return one.mapInArrow(fitting, texts.schema).select("text", "toxic")
+    sample = one.repartition(1).sortWithinPartitions("h", "doc_id")
+    return sample.mapInArrow(fitting, one.schema).select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars: int = 24_000_000, **params) -> Model:
@@ -171,13 +262,13 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, max_chars
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = [], []
         for b in batches:
-            texts += [t or "" for t in b.column(0).to_pylist()]
+            texts += b.column(0).to_pylist()
             toxic += [int(t) for t in b.column(1).to_pylist()]
         m = fit(texts, toxic, **params)
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.embeddings, m.weights, m.bias)], names=["e", "w", "b"])
 
     rows = training_rows(docs, labels, max_rows=max_rows, max_chars=max_chars)
-    r = rows.mapInArrow(run, "e binary, w binary, b binary").first()
+    r = rows.mapInArrow(released(run), "e binary, w binary, b binary").first()
     if r is None:
         return fit([], [], **params)
     w = np.frombuffer(r.w, np.float32).reshape(-1, 2)
@@ -190,26 +281,25 @@ def score(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame
     Texts without words (null, empty, only marks) get the score of the bias alone.  Repeated rows score alike;
     other columns are ignored; an empty table gives an empty result.
     """
-    small = Model(model.embeddings.astype(np.float32), model.weights, model.bias)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(small)
-        for b in batches:
-            scores = [scorer.score(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        scorer = Scorer(model)
+        for b in (part for whole in batches for part in slices(whole, 2)):
+            s = scorer.score(b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     narrow = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return narrow.mapInArrow(released(run), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model, *, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with all their columns and without a shuffle."""
-    small = Model(model.embeddings.astype(np.float32), model.weights, model.bias)
+    """The rows of ``docs`` whose score is below the threshold, with all their columns, whatever these are called, and
+    without a shuffle.  Null and empty texts stay, repeated rows share their fate, an empty table stays empty."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(small)
-        for b in batches:
-            yield b.filter(pa.array([scorer.score(t.as_py()) < threshold for t in b.column(at)], pa.bool_()))
+        scorer = Scorer(model)
+        for b in (part for whole in batches for part in slices(whole, at)):
+            yield b.filter(pa.array(scorer.score(b.column(at)) < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

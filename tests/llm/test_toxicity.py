@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from headway.llm import toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -34,7 +35,42 @@ def test_held_out_rows_and_misspellings(spark, make_docs):
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in out.values())
     rng, s = random.Random(4), toxicity.Scorer(model)
     clean = " ".join(rng.choice(vocab) for _ in range(40))
-    assert s.score(clean + " blokhead dunderheaad nitwitt") > 0.7 > s.score(clean)
+    toxic, same = s.score(pa.array([clean + " blokhead dunderheaad nitwitt", clean]))
+    assert toxic > 0.7 > same
+    # a short passage in a long text is not averaged away, and repeats add nothing
+    long = " ".join(rng.choice(vocab) for _ in range(30_000))
+    assert s.score(pa.array([long + " blockhead nitwit dunderhead " + long]))[0] > 0.7
+    assert s.score(pa.array([clean + " " + clean.split()[-1]]))[0] == s.score(pa.array([clean]))[0]
+
+
+def plain_score(model, text):
+    """The same model, word by word and stretch by stretch."""
+    import re
+
+    seq = list(dict.fromkeys(w for w in re.findall(r"[^\W_]+", (text or "").lower())))
+    each, bias = model.log_odds()
+    value = [float(np.mean(each[toxicity.subwords(pa.array([w]))[0]])) for w in seq]
+    s, most = toxicity.STRIDE, []
+    for k in range(0, max(len(seq) - s, 1), s):
+        part = value[k : k + 2 * s]
+        most.append(sum(part) / max(len(part), toxicity.LEAST_WORDS))
+    return 1 / (1 + np.exp(-(bias + (max(most) if seq else 0.0))))
+
+
+def test_scores_equal_a_plain_scorer(spark, make_docs):
+    docs, labels, _ = corpus(200)
+    model = toxicity.train(make_docs(docs), spark.createDataFrame(labels, LABELS))
+    rows = docs[:40] + [(900, "One"), (901, "one two three"), (902, "one two, three_four. one"), (903, None), (904, "??"), (905, "Über ÜBER straße 12")]
+    got = {r.doc_id: r.score for r in toxicity.score(make_docs(rows), model).collect()}
+    assert all(abs(got[i] - plain_score(model, t)) < 1e-6 for i, t in rows)
+
+
+def test_one_row_of_a_document_is_taken(spark, make_docs):
+    docs, labels, _ = corpus(60)
+    lab = spark.createDataFrame(labels, LABELS)
+    once = [r.text for r in toxicity.training_rows(make_docs(docs), lab, max_rows=10).collect()]
+    again = [r.text for r in toxicity.training_rows(make_docs(docs * 30), lab, max_rows=10).collect()]
+    assert once == again and len(once) == 10
 
 
 def test_training_never_sees_the_held_out_fold(spark, make_docs):
