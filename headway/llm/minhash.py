@@ -11,10 +11,10 @@ at least 3/4, and linked documents form groups.
    values of each, and only those are listed.  Values of passages that many documents share fall at the end of
    the order; a class that shares too few values with any other drops out at once.
 3. Lists of up to ``small`` classes give their pairs.  In a longer list all members meet one pivot; after linking,
-   only lists with members of different groups go on, through one more pivot, so a group of thousands of near
-   copies costs a few comparisons a member.  Members still apart, mostly texts that share one long passage, get
-   sketches of 1,024 values, for most texts the whole set, and with that sharp bound are listed anew; what is left
-   even then is compared in blocks inside its list, so no link is lost.
+   only lists with members of different groups go on, so a group of thousands of near copies costs a comparison a
+   member.  Members still apart, mostly texts that share one long passage, get sketches of 1,024 values, for most
+   texts the whole set, and with that sharp bound are listed anew; what still stands in long lists of different
+   groups is compared in blocks inside its cluster of lists, so no link is lost.
 4. The sketch of the union estimates the similarity and drops pairs more than five standard deviations below 3/4.
 5. What is left is confirmed on the full shingle sets of the whole texts.
 """
@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.llm.common import store
+from headway.llm.common import drop, may_be_among, released, slices, store
 from headway.llm.components import components
 
 K = 64
@@ -41,65 +41,100 @@ LEAST_SHARED = 28
 DEEP_K = 1024
 DEEP_SHARED = 690
 SHINGLE = 5
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Bytes of text that are hashed at once.
+PIECE = 1 << 20
+_LOWER = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
+_GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 # Odd multipliers of the words in a shingle.
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
-class _WordHashes(dict):
-    """Hash of each word; forgets all at 100,000 entries, so that memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 100_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles.
+def _word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of ``raw``; no word goes across one of ``bounds``."""
+    inside = ~_GAP[raw]
+    head = inside.copy()
+    head[1:] &= ~inside[:-1]
+    at = bounds[bounds < len(raw)]
+    head[at] = inside[at]
+    heads, full = np.flatnonzero(head), np.flatnonzero(inside)
+    if not len(heads):
+        return np.empty(0, np.uint64), heads
+    begin = np.searchsorted(full, heads)
+    place = full - np.repeat(heads, np.diff(np.append(begin, len(full))))
+    each = _mix(_LOWER[raw[full]].astype(np.uint64) + _ODD[0] * (place.astype(np.uint64) + np.uint64(1)))
+    return _mix(np.add.reduceat(each, begin)), heads
+
+
+def _words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between ``bounds``, and where each stretch of them ends; long texts go by pieces."""
+    if len(raw) <= 2 * PIECE:
+        h, heads = _word_hashes(raw, bounds)
+        return h, np.searchsorted(heads, bounds[1:])
+    out, ends, n = [], [], 0
+    for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+        while a < z:
+            cut = min(a + PIECE, z)
+            gap = np.flatnonzero(_GAP[raw[cut : min(cut + PIECE, z)]])
+            while cut < z and not len(gap):
+                cut = min(cut + PIECE, z)
+                gap = np.flatnonzero(_GAP[raw[cut : min(cut + PIECE, z)]])
+            cut += int(gap[0]) if len(gap) else 0
+            out.append(_word_hashes(raw[a:cut], np.zeros(1, np.int64))[0])
+            n += len(out[-1])
+            a = cut
+        ends.append(n)
+    return np.concatenate(out), np.array(ends)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles.
 
     Only A-Z are lower-cased, words end at ASCII white space; a text of fewer than five words is one shingle, one
-    without words has none.
+    without words (or null) has none.
     """
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    if len(h) < SHINGLE:
-        return _mix((h * _ODD[: len(h)]).sum(keepdims=True) + np.uint64(len(h)))
-    total = h[: len(h) - SHINGLE + 1] * _ODD[0]
-    for i in range(1, SHINGLE):
-        total += h[i : len(h) - SHINGLE + 1 + i] * _ODD[i]
-    return np.unique(_mix(total))
+    data = pc.fill_null(texts, "").cast(pa.large_binary())
+    _, offsets, raw = data.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw else np.empty(0, np.uint8)
+    h, ends = _words(raw, bounds - bounds[0])
+    n = max(len(h) - SHINGLE + 1, 0)
+    total = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        total += h[i : n + i] * _ODD[i]
+    total = _mix(total)
+    out, a = [], 0
+    for z in ends:
+        if z - a >= SHINGLE:
+            out.append(np.unique(total[a : z - SHINGLE + 1]))
+        elif z > a:
+            out.append(_mix((h[a:z] * _ODD[: z - a]).sum(keepdims=True) + np.uint64(z - a)))
+        else:
+            out.append(np.empty(0, np.uint64))
+        a = z
+    return out
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """``doc_id, n_shingles, digest, sketch``; the digest stands for the whole set, the sketch is its k smallest values."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1, PIECE)):
             sizes, digests, kept = [], [], []
-            for text in b.column(1):
-                s = shingle_set(text.as_py())
+            for s in shingle_sets(b.column(1)):
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                kept.append(s[:k].view(np.int64))
+                kept.append(s[:k].view(np.int64).copy())  # a view would keep the whole set
             ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
-            values = pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "n_shingles", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(kept), pa.int64()))], names=["doc_id", "n_shingles", "digest", "sketch"])
 
     narrow = docs.select("doc_id", "text")
-    return narrow.mapInArrow(sketch, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, sketch array<long>")
+    return narrow.mapInArrow(released(sketch), f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, sketch array<long>")
 
 
 def similar_enough(shared: int, union: int) -> bool:
@@ -107,12 +142,18 @@ def similar_enough(shared: int, union: int) -> bool:
     return union > 0 and 100 * shared >= 75 * union
 
 
+def _met(pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
+    """``a, b`` with ``column`` of both.  The last shuffle goes by ``b``: many pairs share one pivot ``a``."""
+    x, y = (what.select(F.col("rep").alias(n), F.col(column).alias(f"_{n}")) for n in "ab")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "_a", "_b")
+
+
 def _estimate(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """``a, b, est`` of the pairs whose estimated similarity does not rule them out."""
+    """``a, b`` of the pairs whose estimated similarity does not rule them out."""
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, est = [], []
+            keep = []
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = x.values.to_numpy().view(np.uint64), y.values.to_numpy().view(np.uint64)
                 both = np.concatenate([x, y])
@@ -120,50 +161,39 @@ def _estimate(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
                 twice = both[1:] == both[:-1]
                 union = len(both) - int(twice.sum())
                 if len(x) < k and len(y) < k:
-                    j, floor = int(twice.sum()) / union, 0.75  # both sketches are the full sets
-                    ok = similar_enough(int(twice.sum()), union)
+                    ok = similar_enough(int(twice.sum()), union)  # both sketches are the full sets
                 else:
                     # the k smallest of the union, and how many of them both retain
                     first = np.concatenate([[True], ~twice])
                     upto = int(np.searchsorted(np.cumsum(first), min(k, union), side="right"))
                     size = min(k, union)
-                    j = int(twice[: max(upto - 1, 0)].sum()) / size
-                    floor = 0.75 - 5 * (0.1875 / size) ** 0.5
-                    ok = j >= floor
+                    ok = int(twice[: max(upto - 1, 0)].sum()) / size >= 0.75 - 5 * (0.1875 / size) ** 0.5
                 if ok:
                     keep.append(i)
-                    est.append(j)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32())), pa.array(est, pa.float64())], names=["a", "b", "est"])
+            at = pa.array(keep, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    x, y = (classes.select(F.col("rep").alias(n), F.col("sketch").alias(f"s{n}")) for n in "ab")
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "sa", "sb").mapInArrow(estimate, f"a {kind}, b {kind}, est double")
+    return _met(pairs, classes, "sketch").mapInArrow(released(estimate), f"a {kind}, b {kind}")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough; a text crosses the network once for each pair it is in."""
+def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough; ``texts`` has ``rep, text``."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, have = None, np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in (part for whole in batches for half in slices(whole, 2, PIECE) for part in slices(half, 3, PIECE)):
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x = x.as_py()
-                if x != last:
-                    last, have = x, shingle_set(x)
-                other = shingle_set(y.as_py())
-                shared = len(np.intersect1d(have, other, assume_unique=True))
-                if similar_enough(shared, len(have) + len(other) - shared):
+            left = batch.column(2).dictionary_encode()  # a text that meets many is hashed once
+            have = shingle_sets(left.dictionary)
+            for i, (code, other) in enumerate(zip(left.indices.to_pylist(), shingle_sets(batch.column(3)), strict=True)):
+                shared = len(np.intersect1d(have[code], other, assume_unique=True))
+                if similar_enough(shared, len(have[code]) + len(other) - shared):
                     keep.append(i)
             at = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    x, y = (texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"t{n}")) for n in "ab")
-    met = pairs.select("a", "b").join(y, "b").join(x, "a")
-    return met.select("a", "b", "ta", "tb").mapInArrow(confirm, f"a {kind}, b {kind}").distinct()
+    return _met(pairs, texts, "text").mapInArrow(released(confirm), f"a {kind}, b {kind}").distinct()
 
 
 def _comparable(x: str = "n", y: str = "n2"):
@@ -171,15 +201,43 @@ def _comparable(x: str = "n", y: str = "n2"):
     return 4 * F.least(F.col(x), F.col(y)) >= 3 * F.greatest(F.col(x), F.col(y))
 
 
-def listed(classes: DataFrame, k: int, least_shared: int) -> DataFrame:
-    """``v, rep, n, m``: the inverted lists of each class's rarest values; ``m`` is the length of the list."""
+def listed(classes: DataFrame, least_shared: int) -> DataFrame:
+    """``v, rep, n, m``: the inverted lists of each class's rarest values; ``m`` is the length of the list.  Stored."""
     postings = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("sketch").alias("v"))
     live = postings.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     shared = postings.join(live, "v").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
     rare = shared.withColumn("vs", F.expr(f"slice(vs, 1, greatest(size(vs) - least({least_shared}, cast(ceil(n * 0.75D) as int)) + 1, 0))")).filter(F.size("vs") > 0)
     rare = store(rare.select("rep", "n", F.explode("vs.v").alias("v")), "dedup-lists")
     lengths = rare.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
-    return rare.join(lengths, "v")
+    out = store(rare.join(lengths, "v"), "dedup-members")
+    drop(rare)
+    return out
+
+
+def _shared_counts(sketches: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
+    """How many values each two sketches share.  Values of few sketches are counted pair by pair, the others by
+    matrix products over ``chunk`` of them at a time, so memory is that of the result and one chunk."""
+    n = len(sketches)
+    _, code, times = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(x) for x in sketches])[np.argsort(code, kind="stable")]
+    starts = np.cumsum(times) - times
+    shared = np.zeros(n * n, np.int64)
+    few = 6
+    for c in range(2, few + 1):
+        at = starts[times == c]
+        for i in range(c):
+            for j in range(i + 1, c):
+                x, y = row[at + i], row[at + j]
+                shared += np.bincount(np.minimum(x, y) * n + np.maximum(x, y), minlength=n * n)
+    shared = shared.reshape(n, n)
+    shared = shared + shared.T
+    often = np.flatnonzero(times > few)
+    for k in range(0, len(often), chunk):
+        part = often[k : k + chunk]
+        has = np.zeros((n, len(part)), np.float32)
+        has[row[np.concatenate([np.arange(starts[v], starts[v] + times[v]) for v in part])], np.repeat(np.arange(len(part)), times[part])] = 1
+        shared += (has @ has.T).astype(np.int64)
+    return shared
 
 
 def _dense(members: DataFrame, classes: DataFrame, k: int, least_shared: int, block: int = 512) -> DataFrame:
@@ -201,15 +259,7 @@ def _dense(members: DataFrame, classes: DataFrame, k: int, least_shared: int, bl
 
     def compare(key, pdf):
         pdf = pdf.drop_duplicates("rep").sort_values("rep")
-        sizes = pdf["sketch"].map(len).to_numpy()
-        _, col, times = np.unique(np.concatenate(pdf["sketch"].to_list()), return_inverse=True, return_counts=True)
-        often = np.flatnonzero(times > 1)
-        place = np.full(len(times), -1)
-        place[often] = np.arange(len(often))
-        at, row = place[col], np.repeat(np.arange(len(pdf)), sizes)
-        has = np.zeros((len(pdf), len(often)), np.float32)
-        has[row[at >= 0], at[at >= 0]] = 1
-        shared = (has @ has.T).astype(np.int64)
+        shared = _shared_counts(pdf["sketch"].to_list())
         n, group, side = pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf["i"].to_numpy()
         full = (n < k)[:, None] & (n < k)[None, :]
         enough = np.where(full, 100 * shared >= 75 * (n[:, None] + n[None, :] - shared), shared >= least_shared)
@@ -231,76 +281,75 @@ def _dense(members: DataFrame, classes: DataFrame, k: int, least_shared: int, bl
 
 
 class _Links:
-    """Confirmed links and the groups they make so far."""
+    """The groups that confirmed links make so far."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs = docs
-        kind = classes.schema["rep"].dataType.simpleString()
-        self.links = classes.sparkSession.createDataFrame([], f"a {kind}, b {kind}")
-        self.groups = classes.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    def __init__(self, texts: DataFrame, kind: str):
+        self.texts = texts
+        self.groups = texts.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+        self.any = False
 
-    def add(self, pairs: DataFrame) -> None:
-        new = store(_confirm(pairs, self.docs), "dedup-links")
+    def add(self, tried: DataFrame) -> None:
+        tried = store(tried.select("a", "b"), "dedup-candidates")  # stored, so that Spark knows how few they are
+        new = store(_confirm(tried, self.texts), "dedup-links")
         if not new.isEmpty():
-            self.links = store(self.links.union(new), "dedup-links")
-            self.groups = components(self.links)
+            # a group so far is a star around its component
+            self.groups = components(new.union(self.groups.select("node", "component")) if self.any else new)
+            self.any = True
+        drop(tried, new)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are in different groups."""
+        if not self.any:
+            return pairs
         of = lambda n: self.groups.select(F.col("node").alias(n), F.col("component").alias(f"g{n}"))
         met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return met.filter(F.coalesce("ga", "a") != F.coalesce("gb", "b")).drop("ga", "gb")
 
-    def search(self, classes: DataFrame, k: int, least_shared: int, *, small: int, pivots: int, best_first: bool = False) -> tuple[DataFrame, bool]:
-        """Finds the links within ``classes`` but for those between members of long lists that the pivots left in
-        different groups; returns these members (``v, rep, n, component``) and whether there are any."""
-        lists = store(listed(classes, k, least_shared), "dedup-members")
-        short = lists.filter(F.col("m") <= small)
-        other = short.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
-        pairs = short.join(other, "v").filter((F.col("rep") < F.col("rep2")) & _comparable()).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-        long = lists.filter(F.col("m") > small).drop("m")
-        any_long = not long.isEmpty()
-        for r in range(pivots + 1):
-            mixed = None
-            if any_long:
-                mine = long.join(self.groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-                open_lists = mine.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
-                mixed = store(mine.join(open_lists, "v", "left_semi"), "dedup-mixed")
-                if r == pivots:
-                    return mixed, not mixed.isEmpty()
-                order = F.xxhash64("rep", F.lit(r)) if r else F.col("rep")
-                first = mixed.groupBy("v").agg(F.min(F.struct(order.alias("o"), "rep", "n", "component")).alias("p"))
-                met = mixed.join(first, "v").filter((F.col("component") != F.col("p.component")) & _comparable("n", "p.n"))
-                met = met.select(F.least("rep", F.col("p.rep")).alias("a"), F.greatest("rep", F.col("p.rep")).alias("b"))
-                pairs = pairs.union(met) if r == 0 else met
-            elif r:
-                return long.withColumn("component", F.col("rep")), False
-            tried = store(_estimate(self.apart(pairs.distinct()), classes, k), "dedup-candidates")
-            if tried.isEmpty():
-                continue
-            if best_first and r == 0:
-                # First each class with its most similar partner; most of the other pairs are then inside one group.
-                self.add(tried.groupBy("b").agg(F.max(F.struct("est", "a")).alias("_")).select(F.col("_.a").alias("a"), "b"))
-                tried = store(self.apart(tried), "dedup-rest")
-                if tried.isEmpty():
-                    continue
-            self.add(tried)
-        return long.withColumn("component", F.col("rep")), False
-
-
-def link(docs: DataFrame, classes: DataFrame, *, k: int = K, least_shared: int = LEAST_SHARED, deep_k: int = DEEP_K, deep_shared: int = DEEP_SHARED, small: int = 8, pivots: int = 1) -> DataFrame:
+    def mixed(self, lists: DataFrame) -> DataFrame:
+        """The members (``v, rep, n, component``) of lists that have members of different groups.  Stored."""
+        mine = lists.select("v", "rep", "n").join(self.groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_lists = mine.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("v")
+        return store(mine.join(open_lists, "v", "left_semi"), "dedup-mixed")
+
+
+def _short_pairs(lists: DataFrame, small: int) -> DataFrame:
+    """``a, b``: all pairs of lists of at most ``small`` members."""
+    short = lists.filter(F.col("m") <= small)
+    other = short.select("v", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
+    return short.join(other, "v").filter((F.col("rep") < F.col("rep2")) & _comparable()).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+
+def _pivot_pairs(lists: DataFrame) -> DataFrame:
+    """``a, b``: each member with the smallest of its list."""
+    first = lists.groupBy("v").agg(F.min(F.struct("rep", "n")).alias("p"))
+    met = lists.join(first, "v").filter((F.col("rep") != F.col("p.rep")) & _comparable("n", "p.n"))
+    return met.select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
+
+
+def link(docs: DataFrame, classes: DataFrame, *, k: int = K, least_shared: int = LEAST_SHARED, deep_k: int = DEEP_K, deep_shared: int = DEEP_SHARED, small: int = 8) -> DataFrame:
     """``node, component`` of the classes that have links."""
-    found = _Links(docs, classes)
-    left, any_left = found.search(classes, k, least_shared, small=small, pivots=pivots, best_first=True)
-    if any_left:
-        ids = left.select(F.col("rep").alias("doc_id")).distinct()
-        deep = sketches(docs.join(ids, "doc_id", "left_semi"), deep_k).filter("n_shingles > 0")
+    lists = listed(classes, least_shared)
+    # From here on only classes that share a rare value with another matter: their sketches and texts are taken out once.
+    ids = store(lists.select("rep").distinct(), "dedup-live")
+    live = store(may_be_among(classes.select("rep", "n_shingles", "sketch"), "rep", ids, "rep").join(ids, "rep", "left_semi"), "dedup-live")
+    texts = may_be_among(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", ids, "rep").join(ids, "rep", "left_semi")
+    texts = store(texts.dropDuplicates(["rep", "text"]), "dedup-texts")
+    found = _Links(texts, classes.schema["rep"].dataType.simpleString())
+    long = lists.filter(F.col("m") > small)
+    found.add(_estimate(_short_pairs(lists, small).union(_pivot_pairs(long)).distinct(), live, k))
+    left = found.mixed(long)
+    if not left.isEmpty():
+        of_left = left.select(F.col("rep").alias("doc_id")).distinct()
+        deep = sketches(texts.withColumnRenamed("rep", "doc_id").join(of_left, "doc_id", "left_semi"), deep_k).filter("n_shingles > 0")
         deep = store(deep.groupBy(F.col("doc_id").alias("rep"), "digest").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "dedup-deep")
-        left, any_left = found.search(deep, deep_k, deep_shared, small=small, pivots=pivots)
-        if any_left:
-            more = store(_estimate(_dense(left, deep, deep_k, deep_shared), deep, deep_k), "dedup-candidates")
-            if not more.isEmpty():
-                found.add(more)
+        more = listed(deep, deep_shared)
+        rest = found.mixed(more.filter(F.col("m") > small))
+        pairs = found.apart(_short_pairs(more, small))
+        if not rest.isEmpty():
+            pairs = pairs.union(_dense(rest, deep, deep_k, deep_shared))
+        found.add(_estimate(pairs.distinct(), deep, deep_k))
+        drop(deep, more, rest)
+    drop(lists, ids, live, texts, left)
     return found.groups
 
 
@@ -323,10 +372,19 @@ def near_duplicates(docs: DataFrame, *, k: int = K, least_shared: int = LEAST_SH
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: the one with the group's smallest doc_id.
+    """One document of each group, with all its columns, whatever these are called: the one with the group's smallest
+    doc_id.
 
-    Of several rows with that doc_id one stays.  Rows without a doc_id stay.
+    Of several rows with that doc_id the one whose text, then whose row has the smallest hash stays, so reruns agree.
+    Rows without a doc_id stay, null and empty texts are documents of their own, an empty table stays empty.  Only
+    rows that are removed or share their doc_id are shuffled; the others pass.
     """
-    kept = store(near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "dedup-kept")
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    found = store(near_duplicates(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")), "dedup-kept")
+    touched = store(found.filter("NOT kept OR n > 1").select(F.col("doc_id").alias("_id"), "kept"), "dedup-touched")
+    drop(found)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_id"))
+    passing = may_be_among(rows, "_id", touched, "_id", inside=False)
+    looked = may_be_among(rows, "_id", touched, "_id").join(touched, "_id", "left").filter("kept IS NULL OR kept")
+    order: list[Column] = [F.xxhash64("_row.text"), F.xxhash64(F.to_json("_row"))]
+    one = looked.withColumn("_n", F.when(F.col("kept"), F.row_number().over(Window.partitionBy("_id").orderBy(*order))).otherwise(1)).filter("_n = 1")
+    return passing.select("_row.*").unionByName(one.select("_row.*"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from headway.llm import minhash
 from headway.llm.components import components
 
@@ -90,10 +91,35 @@ def test_components_of_paths_and_stars(spark):
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 60 for i in range(100, 150)) and got[60] == 60
 
 
-def test_hash_sets():
-    assert len(minhash.shingle_set("a b c d e a b c d e")) == 5
-    assert np.array_equal(minhash.shingle_set("A b"), minhash.shingle_set("a  B\n"))
-    assert len(minhash.shingle_set("")) == len(minhash.shingle_set(None)) == 0
+def test_hash_sets(monkeypatch):
+    texts = ["a b c d e a b c d e", "A b", "a  B\n", "", None, "e a b c d", "x" * 5000, " lead and trail ", "Ä b"]
+    sets = minhash.shingle_sets(pa.array(texts))
+    assert [len(x) for x in sets] == [len(shingles(t)) for t in texts]
+    assert np.array_equal(sets[1], sets[2]) and not np.array_equal(sets[1], sets[8])
+    assert set(sets[5]) < set(sets[0])
+    # a slice of an array, and a text that is hashed in pieces, give the same
+    assert all(map(np.array_equal, minhash.shingle_sets(pa.array(texts)[3:]), sets[3:]))
+    rng = random.Random(1)
+    long = " ".join(words(rng, 3000)) + " " + "y" * 4000 + " tail"
+    whole = minhash.shingle_sets(pa.array(["a b", long, "c"]))
+    monkeypatch.setattr(minhash, "PIECE", 500)
+    assert all(map(np.array_equal, minhash.shingle_sets(pa.array(["a b", long, "c"])), whole))
+    assert len(whole[1]) == len(shingles(long))
+
+
+def test_shared_counts():
+    rng = random.Random(2)
+    sets = [np.unique([rng.randrange(150) for _ in range(rng.randrange(40))]).astype(np.int64) for _ in range(40)]
+    got = minhash._shared_counts(sets, chunk=7)
+    assert all(got[i, j] == len(set(sets[i]) & set(sets[j])) for i in range(40) for j in range(i))
+
+
+def test_the_kept_row_of_a_repeated_id_is_always_the_same(spark, make_docs):
+    rows = [(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (2, "one two three four five six"), (3, None), (None, "x"), (None, "x"), (4, "other words " * 9)]
+    df = make_docs(rows).selectExpr("*", "7 as _id", "8 as kept", "9 as _row")
+    got = [sorted(map(str, minhash.without_near_duplicates(df.repartition(n)).collect())) for n in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 5
+    assert minhash.without_near_duplicates(df).columns == df.columns
 
 
 def test_blocks_find_what_long_lists_leave(spark, make_docs):
