@@ -68,24 +68,31 @@ QUERIES = {
     "op10_source_mixing": op10_source_mixing,
 }
 
-#: Position-wise comparison of words, with a join on the concatenated words under each mask.
-_LEAKS = """
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-m AS (SELECT unnest([1, 2]) AS m, unnest([[1, 2, 4, 5, 7, 9], [1, 3, 6, 7, 8, 9]]) AS o),
-dp AS (SELECT doc_id, unnest(range(0, len(w) - 8)) AS p FROM d),
-bp AS (SELECT item_id, unnest(range(0, len(w) - 8)) AS p FROM b),
-ds AS (SELECT doc_id, p, m, array_to_string([w[p + o[1]], w[p + o[2]], w[p + o[3]], w[p + o[4]], w[p + o[5]], w[p + o[6]]], ' ') AS k FROM dp JOIN d USING (doc_id), m),
-bs AS (SELECT item_id, p, m, array_to_string([w[p + o[1]], w[p + o[2]], w[p + o[3]], w[p + o[4]], w[p + o[5]], w[p + o[6]]], ' ') AS k FROM bp JOIN b USING (item_id), m),
-hit AS (SELECT DISTINCT doc_id, item_id, ds.p AS dp, bs.p AS ip FROM ds JOIN bs USING (m, k)),
-side AS (
-  SELECT doc_id, item_id, dp - ip AS shift, least(len(b.w), 24) AS n,
-         least(greatest(ip - floor((least(len(b.w), 24) - 9) / 2)::BIGINT, 0), len(b.w) - least(len(b.w), 24)) AS first,
-         d.w AS dw, b.w AS bw
-  FROM hit JOIN d USING (doc_id) JOIN b USING (item_id)),
-cmp AS (SELECT doc_id, item_id, n, shift + first AS doc_word, len(list_filter(range(0, n), lambda i: shift + first + i >= 0 AND dw[shift + first + i + 1] = bw[first + i + 1])) AS matched FROM side)
+def _places(mask: str) -> str:
+    return "[" + ", ".join(str(i + 1) for i, c in enumerate(mask) if c == "1") + "]"
+
+
+#: Position-wise comparison of words, with a join on the concatenated words under each mask; every window of the item
+#: that holds a hit is looked at.
+_SPAN = max(map(len, decontam.MASKS))
+_LEAKS = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS w FROM benchmark),
+masks AS (
+  SELECT {_SPAN} AS least, unnest([{", ".join(map(_places, decontam.MASKS))}]) AS places, unnest([{", ".join(str(len(m)) for m in decontam.MASKS)}]) AS size
+  UNION ALL SELECT DISTINCT 0, range(1, len(w) + 1), len(w) FROM b WHERE len(w) BETWEEN 1 AND {_SPAN} - 1),
+bs AS (
+  SELECT item_id, p, least, size, list_transform(places, lambda o: w[p + o]) AS k
+  FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS p FROM b, masks WHERE CASE WHEN least = 0 THEN len(w) = size ELSE len(w) >= least END)),
+ds AS (SELECT doc_id, p, least, size, list_transform(places, lambda o: w[p + o]) AS k FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS p FROM d, masks WHERE len(w) >= size)),
+hit AS (SELECT DISTINCT doc_id, item_id, ds.p - bs.p AS shift, bs.p AS ip FROM ds JOIN bs USING (least, size, k)),
+wide AS (SELECT doc_id, item_id, shift, least(len(b.w), 24) AS n, ip, len(b.w) AS total FROM hit JOIN b USING (item_id)),
+side AS (SELECT DISTINCT doc_id, item_id, shift, n, unnest(range(greatest(ip - n + 1, 0), least(ip, total - n) + 1)) AS first FROM wide),
+cmp AS (
+  SELECT doc_id, item_id, n, shift + first AS doc_word, len(list_filter(range(0, n), lambda i: shift + first + i >= 0 AND d.w[shift + first + i + 1] = b.w[first + i + 1])) AS matched
+  FROM side JOIN d USING (doc_id) JOIN b USING (item_id))
 SELECT doc_id, item_id, matched::BIGINT AS matched, n::BIGINT AS compared, doc_word::BIGINT AS doc_word
-FROM cmp WHERE matched >= 0.75 * n
+FROM cmp WHERE matched >= 0.75 * n AND (n >= {_SPAN} OR matched = n)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, n DESC, doc_word) = 1
 """
 
