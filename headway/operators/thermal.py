@@ -47,7 +47,8 @@ def hourly_power(weather: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def power_by_scenario(power: DataFrame) -> DataFrame:
-    """One row per scenario with its 24 hourly powers as an array; an hour without data is null."""
+    """One row per scenario with its 24 hourly powers as an array; an hour without data is null, and so is the energy of
+    a trip that touches it."""
     m = power.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("hour", "power_kw"))).alias("m"))
     return m.select("scenario", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.element_at("m", h)).alias("kw"))
 
@@ -55,18 +56,35 @@ def power_by_scenario(power: DataFrame) -> DataFrame:
 def integral_kwh(start_h: Column, end_h: Column, kw: Column) -> Column:
     """Trapezoids of 0.01 h from start, end excluded, over power that is linear between hours and repeats daily.
 
-    The sum runs inside the row, so a trip stays one row.
+    Inside one hour the power of grid point k is a + b * k, so a run of points k0..k1 adds n * a + b * (k0 + ... + k1)
+    in closed form; the two ends of the grid count half.  A trip costs a term for each hour it touches.
     """
-    n = F.greatest(F.ceil((end_h - start_h) / F.lit(STEP_H)).cast("int"), F.lit(0))
+    n = F.greatest(F.ceil((end_h - start_h) / F.lit(STEP_H)).cast("long"), F.lit(0))
+    last = n - 1
+    first_hour = F.floor(start_h)
+    last_hour = F.floor(start_h + F.lit(STEP_H) * last)
+    power = lambda h: F.get(kw, F.pmod(h, F.lit(24)).cast("int"))
+
+    def reaches(h: Column) -> Column:
+        """The first grid point at or after an hour; the division may be off by a rounding, the comparison is what counts."""
+        k = F.ceil((h - start_h) / F.lit(STEP_H))
+        before = F.when(start_h + F.lit(STEP_H) * (k - 1) >= h, k - 1).otherwise(k)
+        return F.when(start_h + F.lit(STEP_H) * before < h, before + 1).otherwise(before)
+
+    def run(h: Column) -> Column:
+        k0 = F.greatest(reaches(h), F.lit(0))
+        k1 = F.least(reaches(h + 1) - 1, last)
+        count = F.greatest(k1 - k0 + 1, F.lit(0))
+        slope = power(h + 1) - power(h)
+        return count * (power(h) + slope * (start_h - h)) + slope * F.lit(STEP_H) * (k0 + k1) * count / 2
 
     def at(k: Column) -> Column:
         t = start_h + F.lit(STEP_H) * k
         h = F.floor(t)
-        lo, hi = F.pmod(h, F.lit(24)).cast("int"), F.pmod(h + 1, F.lit(24)).cast("int")
-        return F.get(kw, lo) * (F.lit(1.0) - (t - h)) + F.get(kw, hi) * (t - h)
+        return power(h) + (power(h + 1) - power(h)) * (t - h)
 
-    add = lambda s, k: s + at(k) * F.when((k == 0) | (k == n - 1), F.lit(STEP_H / 2)).otherwise(F.lit(STEP_H))
-    return F.when(n > 1, F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0.0), add)).otherwise(F.lit(0.0))
+    total = F.aggregate(F.sequence(first_hour, last_hour), F.lit(0.0), lambda s, h: s + run(h))
+    return F.when(n > 1, F.lit(STEP_H) * (total - (at(F.lit(0)) + at(last)) / 2)).otherwise(F.lit(0.0))
 
 
 def trip_hvac(spans: DataFrame, power: DataFrame) -> DataFrame:

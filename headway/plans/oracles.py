@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from headway.functions import energy as en
+from headway.functions.geo import ALBERS
 from headway.operators.thermal import CURVE
 from headway.plans.projection import COUNTIES, duck
 
@@ -67,12 +70,32 @@ _HOURLY = f"{_DAYS}, hx AS (SELECT scenario, hour(ts) AS hour, round_even(temp_c
 _HVAC = f"""{_HOURLY}, sp AS (SELECT trip_id, min(arrival_s) / 3600.0::DOUBLE AS s, max(arrival_s) / 3600.0::DOUBLE AS e FROM stop_times GROUP BY 1),
 nn AS (SELECT *, greatest(ceil((e - s) / 0.01::DOUBLE), 0)::BIGINT AS n FROM sp),
 gr AS (SELECT trip_id, n, i, s + 0.01::DOUBLE * i AS t FROM nn, unnest(range(0, greatest(n, 1))) u(i)),
-iv AS (SELECT trip_id, a.scenario, sum(CASE WHEN n < 2 THEN 0 ELSE (a.kw * (1 - (t - floor(t))) + b.kw * (t - floor(t))) * CASE WHEN i IN (0, n - 1) THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END END) AS kwh
-  FROM gr JOIN hp a ON a.hour = floor(t)::BIGINT % 24 JOIN hp b ON b.hour = (floor(t)::BIGINT + 1) % 24 AND b.scenario = a.scenario GROUP BY ALL)"""
+hh AS (SELECT scenario, hour, kw FROM (SELECT * FROM (SELECT DISTINCT scenario FROM hp) CROSS JOIN range(0, 24) h(hour)) LEFT JOIN hp USING (scenario, hour)),
+gv AS (SELECT trip_id, a.scenario, CASE WHEN n < 2 THEN 0 ELSE (a.kw * (1 - (t - floor(t))) + b.kw * (t - floor(t))) * CASE WHEN i IN (0, n - 1) THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END END AS kwh
+  FROM gr JOIN hh a ON a.hour = floor(t)::BIGINT % 24 JOIN hh b ON b.hour = (floor(t)::BIGINT + 1) % 24 AND b.scenario = a.scenario),
+iv AS (SELECT trip_id, scenario, CASE WHEN count(*) = count(kwh) THEN sum(kwh) END AS kwh FROM gv GROUP BY ALL)"""
 _CHOICE = f"{_VEHICLES}, {_ENERGY}, {_TRIPS}, tr AS (SELECT t.*, en.vehicle, energy_unit, gge_per_unit, energy_used, miles FROM trips t JOIN en ON en.shape_id::VARCHAR = t.service_id)"
 _MPGE = lambda e: f"CASE WHEN {e} * gge_per_unit > 0 THEN miles / ({e} * gge_per_unit) END"
 _INSIDE = " UNION ALL ".join(f"SELECT stop_id, '{i}' AS county_id FROM stops WHERE stop_lon > {x0} AND stop_lon < {x1} AND stop_lat > {y0} AND stop_lat < {y1}" for i, x0, y0, x1, y1 in COUNTIES)
 
+
+def _albers(lat: str, lon: str) -> tuple[str, str]:
+    """Coordinates on the equal-area plane, from the projection's definition."""
+    south, north, lat0 = (math.radians(ALBERS[k]) for k in ("south", "north", "lat0"))
+    n = (math.sin(south) + math.sin(north)) / 2
+    c = math.cos(south) ** 2 + 2 * n * math.sin(south)
+    r = f"({ALBERS['radius'] / n!r}::DOUBLE * sqrt({c!r}::DOUBLE - {2 * n!r}::DOUBLE * sin(radians({lat}))))"
+    t = f"({n!r}::DOUBLE * radians(({lon}) - ({ALBERS['lon0']})))"
+    return f"({r} * sin({t}))", f"({ALBERS['radius'] * math.sqrt(c - 2 * n * math.sin(lat0)) / n!r}::DOUBLE - {r} * cos({t}))"
+
+
+_CORNERS = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+_SIDES = ", ".join(f"('{i}', {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for i, *box in COUNTIES for k in range(4) for a, b in [(_CORNERS(*box)[k], _CORNERS(*box)[(k + 1) % 4])])
+_SNAP = f"""inner_stops AS ({_INSIDE}), lone AS (SELECT stop_id, {_albers("stop_lat", "stop_lon")[0]} AS x, {_albers("stop_lat", "stop_lon")[1]} AS y FROM stops WHERE stop_id NOT IN (SELECT stop_id FROM inner_stops)),
+sd AS (SELECT county_id, {_albers("a2", "a1")[0]} AS x1, {_albers("a2", "a1")[1]} AS y1, {_albers("b2", "b1")[0]} AS x2, {_albers("b2", "b1")[1]} AS y2 FROM (VALUES {_SIDES}) t(county_id, a1, a2, b1, b2)),
+pk AS (SELECT *, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)), 0), 1) AS k FROM lone, sd),
+snapped AS (SELECT county_id, sqrt(pow(x - x1 - k * (x2 - x1), 2) + pow(y - y1 - k * (y2 - y1), 2)) AS dist FROM pk QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY dist, county_id) = 1)"""
+
 ORACLES = {
     "path_energy_mpge": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY} SELECT shape_id, vehicle, round(energy_used, 4) AS energy_used, round(miles, 4) AS miles, round({_MPGE('energy_used')}, 4) AS mpge FROM en",
     "trip_times": f"{duck('stop_times')}, s AS (SELECT trip_id, min(arrival_s) AS a, max(arrival_s) AS z FROM stop_times GROUP BY 1) SELECT trip_id, {_HMS('a')} AS start_time, {_HMS('z')} AS end_time, round((z - a) / 60, 4) AS trip_duration_minutes FROM s",
@@ -118,6 +141,7 @@ round(avg(seg), 4) AS kilometers, round(avg(seg / 30 * 3600) / 60, 3) AS travel_
 pr AS (SELECT m.shape_id, sid, seq, (slat - lat) * (slat - lat) + (slon - lon) * (slon - lon) AS d FROM m JOIN pts USING (shape_id)),
 h AS (SELECT DISTINCT shape_id, seq FROM (SELECT *, min(d) OVER (PARTITION BY shape_id, sid) AS lo FROM pr) WHERE d = lo)
 SELECT p.shape_id AS trip_id, p.seq AS coordinate_id, (h.seq IS NOT NULL)::INT AS with_stop FROM pts p LEFT JOIN h ON h.shape_id = p.shape_id AND h.seq = p.seq""",
+    "county_snap_3km": f"{duck('stops')}, {_SNAP} SELECT county_id FROM inner_stops UNION SELECT county_id FROM snapped WHERE dist <= 3000",
     "county_intersect": f"{duck('stops')} {_INSIDE}",
     "bounding_box": f"{duck('stop_times', 'stops')}, {_PTS} SELECT round(min(lon) - 0.05, 6) AS min_lon, round(min(lat) - 0.05, 6) AS min_lat, round(max(lon) + 0.05, 6) AS max_lon, round(max(lat) + 0.05, 6) AS max_lat FROM pts",
     "power_curve": f"WITH g AS (SELECT i AS tenths, i / 10.0::DOUBLE AS x FROM range(-1000, 1001) t(i)) SELECT tenths, round({_POWER}, 6) AS power_kw FROM g",
