@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,7 +92,7 @@ def slices(batch: pa.RecordBatch, text: int, most: int = 4 << 20) -> Iterator[pa
     if not batch.num_rows:
         return
     column = batch.column(text)
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     part = (np.cumsum(size) - size) // most
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):

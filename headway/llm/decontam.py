@@ -48,7 +48,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
 
     Of several places the one with the most agreeing words counts, then the first one.  Null and empty texts on
     either side have no leaks; repeated rows give one row; an empty table gives an empty result.  Items of fewer
-    words than the longest mask count only where all their words appear in a row.  Other columns are ignored.
+    words than the longest mask count only where all their words appear in a row.  Rows without a doc_id count as one
+    document whose id is null.  Other columns are ignored.
     """
     if not 0 < window <= 32:
         raise ValueError("window must be 1 to 32 words")
@@ -57,7 +58,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
     # At most span - 1 numbers come to the driver.
     short = sorted(r[0] for r in items.filter(F.size("iw") < span).select(F.size("iw")).distinct().collect())
     if items.isEmpty():
-        return docs.select("doc_id").crossJoin(items.select("item_id")).limit(0).select("doc_id", "item_id", *[F.lit(0).cast("long").alias(c) for c in ("matched", "compared", "doc_word")])
+        kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, matched long, compared long, doc_word long"
+        return docs.sparkSession.createDataFrame([], kinds)
     # An item shorter than the longest mask is met by a mask of its own length that takes all words.
     own = {len(MASKS) + k: "1" * n for k, n in enumerate(short)}
     masks = dict(enumerate(MASKS))

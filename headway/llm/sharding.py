@@ -81,7 +81,14 @@ def shard(docs: DataFrame, limit_bytes: int, *, key: str = "doc_id", text: str =
 
 
 def sharded_rows(docs: DataFrame, limit_bytes: int, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``shard, depth, shard_bytes, shard_docs``; the directory is built from narrow rows."""
+    """All columns of ``docs`` with ``shard, depth, shard_bytes, shard_docs``; the directory is built from narrow rows.
+
+    Nulls, repeated rows and empty tables are treated as by ``shard``.  A column of ``docs`` that has one of the four
+    names gives way to it; all others keep their names and values.
+    """
     rows = store(docs.select(byte_length(F.col(text)).alias("n_bytes"), hash_bits(F.col(key)).alias("h")), "shard-rows")
-    placed = assign(docs.withColumn("h", hash_bits(F.col(key))), directory(rows, limit_bytes))
-    return placed.select(*docs.columns, "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")
+    added = ["shard", "depth", "shard_bytes", "shard_docs"]
+    kept = [c for c in docs.columns if c not in added]
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), hash_bits(F.col(key)).alias("h"))
+    placed = assign(wrapped, directory(rows, limit_bytes))
+    return placed.select("_row.*", "shard", F.col("depth").cast("long").alias("depth"), "shard_bytes", "shard_docs")

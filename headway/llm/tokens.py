@@ -8,6 +8,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from headway.llm.common import slices
+
 #: One blank between two visible characters.  The piece vocabulary never continues a piece over a blank,
 #: and each encoded part gets the same leading blank mark that the blank would have become.
 _BOUNDARY = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
@@ -30,11 +32,11 @@ def split_text(text: str, limit: int) -> list[str]:
 
 
 def balanced(parts: list[tuple[int, str]], batch_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Group (row, part) into batches of about ``batch_bytes`` characters each."""
+    """Group (row, part) into batches of about ``batch_bytes`` bytes of UTF-8 each."""
     batch, size = [], 0
     for part in parts:
         batch.append(part)
-        size += len(part[1])
+        size += len(part[1].encode())
         if size >= batch_bytes:
             yield batch
             batch, size = [], 0
@@ -62,7 +64,7 @@ def count_tokens(
     The tokenizer file (sentencepiece ``.model`` or tokenizers ``.json``) is read once on the driver and travels
     with the task, so executors need no copy of it; its size is that of a vocabulary, whatever the input.
     Null and empty texts count 0 bytes and 0 tokens.  Repeated rows give repeated results, other columns are
-    ignored.  Only one Arrow batch is in memory at a time, and each call of the library gets ``batch_bytes``.
+    ignored.  Only one part of an Arrow batch is worked on at a time, and each call of the library gets ``batch_bytes``.
     """
     with open(model_path, "rb") as f:
         model = f.read()
@@ -83,7 +85,7 @@ def count_tokens(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splits, lengths = encoder()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             texts = b.column(1)
             n_bytes, n_tokens = [0] * len(texts), [0] * len(texts)
             parts = []

@@ -37,3 +37,11 @@ def test_deep_splits_take_further_rounds(spark, make_docs, monkeypatch):
 
 def test_empty_table(spark, make_docs):
     assert rows_of(make_docs([(1, "a")]).filter("false"), 10) == []
+
+
+def test_columns_with_clashing_names_keep_their_values(spark, make_docs):
+    df = make_docs([(i, "x" * i) for i in range(20)] + [(None, None)]).selectExpr("*", "doc_id * 2 as h", "7 as _cell", "'mine' as shard", "8 as cell_depth", "9 as _row")
+    out = sharding.sharded_rows(df, 50)
+    rows = out.collect()
+    assert len(rows) == 21 and out.columns.count("shard") == 1
+    assert all(r.h == (None if r.doc_id is None else r.doc_id * 2) and r._cell == 7 and r.cell_depth == 8 and r._row == 9 and r.shard != "mine" for r in rows)
