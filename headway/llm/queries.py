@@ -32,7 +32,8 @@ def op5_site_style_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.labelled_findings(spark), secrets.dictionary(docs)))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
