@@ -66,17 +66,17 @@ def assign_depots(ends: DataFrame, depots: DataFrame, max_depots: int = 100_000)
     The depots' coordinates are gathered into one array of checked size, so each block finds its depot without a
     row per pair.
     """
-    listed = depots.agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "lat", "lon"))).alias("depots"))
-    if listed.first()["n"] > max_depots:
+    if depots.count() > max_depots:
         raise ValueError(f"more than {max_depots} depots: they are meant to be a small table")
+    dx, dy = geo.mercator(F.col("lat"), F.col("lon"))
+    listed = depots.agg(F.sort_array(F.collect_list(F.struct("idx", "lat", "lon", dx.alias("x"), dy.alias("y")))).alias("depots"))
     ax, ay = geo.mercator(F.col("a_lat"), F.col("a_lon"))
     zx, zy = geo.mercator(F.col("z_lat"), F.col("z_lon"))
-    e = ends.join(F.broadcast(listed.select("depots")))
+    e = ends.join(F.broadcast(listed))  # at most max_depots depots
     e = e.withColumns({"_ax": ax, "_ay": ay, "_zx": zx, "_zy": zy})
 
     def total(d: Column) -> Column:
-        x, y = geo.mercator(d["lat"], d["lon"])
-        way = geo.planar(F.col("_ax"), F.col("_ay"), x, y) + geo.planar(F.col("_zx"), F.col("_zy"), x, y)
+        way = geo.planar(F.col("_ax"), F.col("_ay"), d["x"], d["y"]) + geo.planar(F.col("_zx"), F.col("_zy"), d["x"], d["y"])
         return F.struct(F.round(way, 3).alias("total"), d["idx"].alias("idx"), d["lat"].alias("lat"), d["lon"].alias("lon"), way.alias("way"))
 
     e = e.withColumn("_best", F.array_min(F.transform("depots", total)))
@@ -119,7 +119,7 @@ def od_key() -> Column:
 
 def unique_ods(legs: DataFrame, order: str = "trip_id") -> DataFrame:
     """One representative per key of ends rounded to three decimals, the first by ``order``, with its length."""
-    keyed = legs.withColumn("od_key", od_key())
+    keyed = legs if "od_key" in legs.columns else legs.withColumn("od_key", od_key())
     r = keyed.groupBy("od_key").agg(F.min_by(F.struct("o_lat", "o_lon", "d_lat", "d_lon"), order).alias("r"), F.count("*").alias("n_legs")).select("od_key", "n_legs", "r.*")
     return r.withColumn("distance_m", geo.haversine_km(F.col("o_lat"), F.col("o_lon"), F.col("d_lat"), F.col("d_lon")) * 1000)
 
@@ -133,8 +133,14 @@ def straight_shapes(ods: DataFrame) -> DataFrame:
 
 def deadhead_shapes(legs: DataFrame, router=None, min_distance_m: float = 200.0) -> tuple[DataFrame, DataFrame]:
     """(shapes, trip_id with shape_id).  ``router`` maps ODs to routed shapes; what it leaves out gets a straight line."""
+    if "trip_type" in legs.columns:
+        # ways from and to depots have shapes of their own, so that none is shared with a way between trips
+        side = F.when(F.col("trip_type") == "pull-out", F.lit("from_depot_")).when(F.col("trip_type") == "pull-in", F.lit("to_depot_")).otherwise(F.lit(""))
+        legs = legs.withColumn("od_key", F.concat(side, od_key()))
+    else:
+        legs = legs.withColumn("od_key", od_key())
     ods = unique_ods(legs)
-    mapping = legs.select("trip_id", od_key().alias("shape_id"))
+    mapping = legs.select("trip_id", F.col("od_key").alias("shape_id"))
     if router is None:
         return straight_shapes(ods), mapping
     routed = router(ods.filter(F.col("distance_m") >= min_distance_m))

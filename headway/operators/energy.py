@@ -32,6 +32,20 @@ def edge_energy(paths: DataFrame, edges: DataFrame, vehicles: DataFrame, stop_ed
     return p.withColumn("edge_energy", F.coalesce(used, F.lit(0.0))).drop("_stop")
 
 
+def path_energy_with_stops(paths: DataFrame, edges: DataFrame, vehicles: DataFrame, stop_edges: DataFrame) -> DataFrame:
+    """As path_energy, with the energy lost in stops at ``stop_edges`` (shape_id, edge_id)."""
+    links = edge_energy(paths.select("shape_id", "edge_id"), edges.select("edge_id", "miles", "speed_mph", "grade"), vehicles, stop_edges)
+    return links.groupBy("shape_id", "vehicle", "energy_unit", "gge_per_unit").agg(F.sum("edge_energy").alias("energy_used"), F.coalesce(F.sum("miles"), F.lit(0.0)).alias("miles"))
+
+
+def charge_left(shape_energy: DataFrame, vehicles: DataFrame, start_soc: float = 100.0) -> DataFrame:
+    """Adds trip_soc, the charge of battery vehicles at the end of a path, and in_reach, whether it stays above zero;
+    null and true for others."""
+    v = vehicles.select("vehicle", "kind", "battery_kwh")
+    left = F.when(F.col("kind") == "bev", en.state_of_charge(F.lit(start_soc), F.col("energy_used"), F.col("battery_kwh")))
+    return shape_energy.join(F.broadcast(v), "vehicle").withColumn("trip_soc", left).withColumn("in_reach", F.coalesce(left > 0, F.lit(True))).drop("kind", "battery_kwh")
+
+
 def charge_trace(links: DataFrame, start_soc: float = 100.0) -> DataFrame:
     """Adds trip_energy (running) and trip_soc to links of battery vehicles (shape_id, seq, vehicle, edge_energy)."""
     w = Window.partitionBy("shape_id", "vehicle").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -83,6 +83,22 @@ def match_nearest(trace: DataFrame, nearest: DataFrame) -> DataFrame:
     return p.filter("_prev IS NULL OR _prev <> edge_id").select("shape_id", F.row_number().over(w).alias("seq"), "edge_id")
 
 
+def nearest_of_path(trace: DataFrame, path: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each point of a trace (shape_id, second, ...) with the nearest edge of its own shape's path, ties to the earlier
+    one; pairs are those within one shape.  Adds edge_id, miles and speed_mph."""
+    from pyspark.sql import functions as F
+
+    from headway.functions import geo
+
+    (x1, y1), (x2, y2) = geo.mercator(F.col("lat1"), F.col("lon1")), geo.mercator(F.col("lat2"), F.col("lon2"))
+    along = path.select("shape_id", "seq", "edge_id").join(edges.select("edge_id", "miles", "speed_mph", x1.alias("_x1"), y1.alias("_y1"), x2.alias("_x2"), y2.alias("_y2")), "edge_id")
+    x, y = geo.mercator(F.col("lat"), F.col("lon"))
+    met = trace.withColumn("_x", x).withColumn("_y", y).join(along, "shape_id")
+    met = met.withColumn("_d", geo.segment_distance(F.col("_x"), F.col("_y"), F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2")))
+    best = met.groupBy("shape_id", "second").agg(F.min(F.struct("_d", "seq", "edge_id", "miles", "speed_mph")).alias("b"))
+    return trace.join(best.select("shape_id", "second", "b.edge_id", "b.miles", "b.speed_mph"), ["shape_id", "second"])
+
+
 def match_lcss(trace: DataFrame, vertices: DataFrame, edges: DataFrame, *, epsilon_m: float = 50.0, similarity: float = 0.9, cuts: int = 10, max_edges: int = MAX_EDGES) -> DataFrame:
     """Path edges by longest common subsequence with a shortest path between the trace's ends.
 

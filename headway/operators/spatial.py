@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import geo
+from headway.sources.staging import settle
 
 
 def _cells(x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column, cell: float) -> Column:
@@ -18,16 +19,18 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell_m: float = 500.0, rou
     """Adds edge_id and distance (Web-Mercator metres) of the nearest edge to points (point_id, x, y).
 
     ``edges``: edge_id, x1, y1, x2, y2.  Points meet the edges of their cell widened by its size; those whose
-    nearest edge so far lies beyond what the cell can prove go on with cells of double size.  Ties go to the lowest
+    nearest edge so far lies beyond what the cell can prove go on with cells of eight times the size; each round is written
+    down, so none is computed again.  Points without coordinates have no edge.  Ties go to the lowest
     edge_id.
     """
-    found, rest, cell = None, points, cell_m
+    found, rest, cell = None, points.filter("x IS NOT NULL AND y IS NOT NULL"), cell_m
     for _ in range(rounds):
         r = F.lit(cell)
         boxes = edges.withColumn("c", F.explode(_cells(F.least("x1", "x2") - r, F.greatest("x1", "x2") + r, F.least("y1", "y2") - r, F.greatest("y1", "y2") + r, cell)))
         here = rest.withColumn("c", F.struct(F.floor(F.col("x") / r).alias("i"), F.floor(F.col("y") / r).alias("j")))
         met = here.join(boxes, "c").withColumn("distance", geo.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
         best = met.groupBy("point_id").agg(F.min(F.struct("distance", "edge_id")).alias("b")).filter(F.col("b.distance") <= r).select("point_id", "b.edge_id", "b.distance")
+        best = settle(best, "nearest")
         found = best if found is None else found.unionByName(best)
         rest = rest.join(best, "point_id", "left_anti")
         cell *= 8

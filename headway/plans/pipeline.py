@@ -127,7 +127,32 @@ class Predictor:
             raise RuntimeError("a road network or a matcher is needed")
         return routing.match_lcss(self.trace(), self.vertices, self.edges)
 
-    def predict(self, hvac: bool = False) -> Predictor:
+    def _placed_edges(self) -> DataFrame:
+        """Edges with the coordinates of their ends (lat1, lon1, lat2, lon2)."""
+        if "lat1" in self.edges.columns:
+            return self.edges
+        end = lambda k, n: self.vertices.select(F.col("vertex_id").alias(k), F.col("lat").alias(f"lat{n}"), F.col("lon").alias(f"lon{n}"))
+        return self.edges.join(end("src", 1), "src").join(end("dst", 2), "dst")
+
+    def link_level_inputs(self) -> DataFrame:
+        """Trips' matched links with where and when each begins and ends: (trip_id, shape_id, road_id, ...).
+
+        Points of the trace take the edge that the matcher gave their shape and that is nearest to them in sequence,
+        times follow from the distance travelled between a trip's first and last stop.
+        """
+        f = self._loaded()
+        trace = settle(self.trace(), "trace")
+        near = routing.nearest_of_path(trace, settle(self.match(), "links"), self._placed_edges())
+        spans = service.trip_spans(service.only(f.stop_times, f.trips, "trip_id"))
+        pts = f.trips.select("trip_id", "shape_id").join(spans, "trip_id").join(near, "shape_id")
+        timed = shapes.point_timestamps(pts)
+        step = F.lit(1.0) / F.lit(3600.0)
+        timed = timed.withColumns({"road_id": F.col("edge_id"), "seq": F.col("second"), "kilometers": F.col("miles") / F.lit(en.MI_PER_KM), "travel_time": F.col("miles") / F.col("speed_mph") / step})
+        return shapes.aggregate_links(timed)
+
+    def predict(self, hvac: bool = False, *, stop_penalty: bool = False, start_soc: float | None = None) -> Predictor:
+        """Trip and link results of the wanted vehicles.  With ``stop_penalty`` stops at a shape's edges cost energy,
+        with ``start_soc`` trips get the charge left at their end and whether the battery suffices."""
         f = self._loaded()
         catalog = self.vehicles if self.vehicles is not None else en.vehicle_catalog(self.spark)
         known = {r.vehicle for r in catalog.select("vehicle").collect()}
@@ -136,7 +161,13 @@ class Predictor:
             raise ValueError(f"unknown vehicle models {sorted(set(wanted) - known)}; known are {sorted(known)}")
         catalog = catalog.filter(F.col("vehicle").isin(wanted))
         links = settle(self.match(), "links")
-        per_shape = energy.path_energy(links, self.edges, catalog)
+        if stop_penalty:
+            at = stop_edges(f, self._placed_edges()).join(f.trips.select("trip_id", "shape_id"), "trip_id").select("shape_id", "edge_id").distinct()
+            per_shape = energy.path_energy_with_stops(links, self.edges, catalog, at)
+        else:
+            per_shape = energy.path_energy(links, self.edges, catalog)
+        if start_soc is not None:
+            per_shape = energy.charge_left(per_shape, catalog, start_soc)
         extra = None
         if hvac:
             if self.weather is None or self.counties is None:

@@ -67,6 +67,28 @@ def test_run(predictor):
     assert saved.count() == len(rows)
 
 
+def test_link_level_inputs(predictor):
+    predictor.load().filter_trips("2024-01-03", ["1"]).add_trip_times()
+    rows = predictor.link_level_inputs().collect()
+    path = {(r.shape_id, r.edge_id) for r in predictor.match().collect()}
+    assert {r.trip_id for r in rows} == {"A", "B"} and all((r.shape_id, r.road_id) in path for r in rows)
+    a = sorted((r for r in rows if r.trip_id == "A"), key=lambda r: r.start_timestamp_s)
+    assert a[0].start_timestamp_s == 8 * 3600 and a[-1].end_timestamp_s == 8 * 3600 + 1800
+    assert all(x.end_timestamp_s <= y.start_timestamp_s for x, y in zip(a, a[1:])) and all(r.kilometers > 0 and r.travel_time_minutes > 0 for r in rows)
+
+
+def test_stops_cost_energy_and_charge_is_left(predictor):
+    p = predictor.load().filter_trips("2024-01-03", ["1"]).add_trip_times()
+    key = lambda r: (r.trip_id, r.vehicle)
+    plain = {key(r): r for r in p.predict().trip_predictions().collect()}
+    stops = {key(r): r for r in p.predict(stop_penalty=True, start_soc=80.0).trip_predictions().collect()}
+    assert plain.keys() == stops.keys() and all(stops[k].energy_used >= plain[k].energy_used - 1e-9 for k in plain)
+    bus = stops["A", "Transit_Bus_Battery_Electric"]
+    assert abs(bus.trip_soc - (80 - 100 * bus.energy_used / 440.0)) < 1e-9 and bus.in_reach
+    assert stops["A", "Transit_Bus_Diesel"].trip_soc is None and stops["A", "Transit_Bus_Diesel"].in_reach
+    assert not any(r.in_reach for r in p.predict(start_soc=0.0).trip_predictions("Transit_Bus_Battery_Electric").collect())
+
+
 def test_errors(spark, predictor):
     with pytest.raises(RuntimeError):
         predictor.add_trip_times()

@@ -139,3 +139,31 @@ def test_trip_results_columns(spark):
     r = energy.trip_results(per_shape, trips)
     assert {round(x.mpge, 6) for x in r.collect()} == {10.0} and r.count() == 2
     assert not {"service_id", "route_short_name", "route_type"} & set(r.columns) and {"trip_id", "energy_used", "miles", "mpge", "energy_unit"} <= set(r.columns)
+
+
+def test_ways_from_and_to_depots_share_no_shape(spark):
+    kind = "trip_id string, trip_type string, o_lat double, o_lon double, d_lat double, d_lon double"
+    same = (40.0, -105.0, 40.00001, -105.00001)
+    legs = spark.createDataFrame([("a", "pull-out", *same), ("b", "pull-in", *same), ("c", "pull-in", *same)], kind)
+    shapes_, mapping = deadhead.deadhead_shapes(legs)
+    by_trip = dict(mapping.select("trip_id", "shape_id").collect())
+    assert by_trip["a"].startswith("from_depot_") and by_trip["b"] == by_trip["c"] and by_trip["b"].startswith("to_depot_")
+    assert sorted((r.shape_id, r.shape_pt_sequence) for r in shapes_.collect()) == sorted((x, k) for x in {*by_trip.values()} for k in (1, 2))
+    between, _ = deadhead.deadhead_shapes(legs.drop("trip_type"))
+    assert {r.shape_id for r in between.collect()}.isdisjoint(by_trip.values())
+
+
+def test_energy_lost_in_stops(spark):
+    from headway.functions import energy as en
+
+    paths = spark.createDataFrame([("s", 1, 10), ("s", 2, 11), ("t", 1, 10)], "shape_id string, seq int, edge_id long")
+    edges = spark.createDataFrame([(10, 1.0, 30.0, 0.0), (11, 2.0, 20.0, 0.01)], "edge_id long, miles double, speed_mph double, grade double")
+    at = spark.createDataFrame([("s", 11), ("s", 11)], "shape_id string, edge_id long")
+    v = en.vehicle_catalog(spark)
+    plain = {(r.shape_id, r.vehicle): r for r in energy.path_energy(paths, edges, v).collect()}
+    got = {(r.shape_id, r.vehicle): r for r in energy.path_energy_with_stops(paths, edges, v, at).collect()}
+    assert got.keys() == plain.keys() and all(abs(got[k].miles - plain[k].miles) < 1e-9 for k in got)
+    lost = {k: got[k].energy_used - plain[k].energy_used for k in got}
+    kwh = 0.5 * 16_500 * (20 * 0.44704) ** 2 / 3.6e6
+    assert abs(lost["s", "Transit_Bus_Battery_Electric"] - kwh) < 1e-9 and lost["s", "Transit_Bus_Diesel"] > 0
+    assert all(abs(lost[k]) < 1e-9 for k in lost if k[0] == "t")
