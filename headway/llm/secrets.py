@@ -139,7 +139,7 @@ def cut(findings: DataFrame) -> DataFrame:
     return c.withColumn("label", F.when(F.col("candidate") == F.col("value"), F.col("label")).otherwise(F.lit(0.0))).drop("doc_id", "value", "start")
 
 
-def train(findings: DataFrame, words: list[str], *, max_rows: int = 20_000, neighbours: int = 40, trees: int = 20, depth: int = 6, seed: int = 5) -> Forest:
+def train(findings: DataFrame, words: list[str], *, max_rows: int = 20_000, neighbours: int = 16, trees: int = 12, depth: int = 5, seed: int = 5) -> Forest:
     """The forest over FEATURES and the most frequent words beside findings; at most ``max_rows`` findings are used."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
