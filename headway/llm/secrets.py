@@ -104,7 +104,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     rows every time.
 
     Secrets are random hexadecimal, base-64 and known-prefix tokens and short passwords after words that introduce one;
-    false positives are words, identifiers, paths, numbers, repeats, placeholders, names of settings, and digests whose
+    false positives are words, identifiers, paths, hosts, numbers, repeats, placeholders, names of settings, and digests whose
     words say so.
     """
     i = F.col("id")
@@ -129,6 +129,9 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     kind = F.pmod(F.xxhash64("id", F.lit(0)), F.lit(10))
     value = F.when(kind < 4, secret).when(kind < 5, F.substring(h, F.lit(1), F.element_at(F.array(F.lit(32), F.lit(40), F.lit(64)), (i % 3 + 1).cast("int")))).otherwise(noise)
     before = F.when(kind < 4, F.when((i % 9 >= 5) & (i % 9 < 8) & (i % 3 == 0), plain).when((i % 9 < 5) & (i % 4 == 0), said).otherwise(intro)).when(kind < 5, digest).when(kind < 7, intro).otherwise(plain)
+    mail = (kind >= 7) & (i % 9 == 5) & (i % 2 == 0)  # the host of an address
+    value = F.when(mail, F.concat(F.lit("mail"), (i % 10).cast("string"), pick([".example.com", ".sample.org", ".provider.net"], 28))).otherwise(value)
+    before = F.when(mail, F.concat(word(91), F.lit(" "), word(27), pick([".45@", "@", "_7@"], 29))).otherwise(before)
     quote = F.when(before.rlike("\"$"), F.lit("\"")).when(before.rlike("'$"), F.lit("'")).otherwise(F.lit(""))
     return spark.range(0, rows, 1, 1).select(F.concat(before, value, quote, pick([" ", "\n", ", ", " and "], 11), word(94)).alias("text"), value.alias("value"), (kind < 4).cast("double").alias("label"))
 
