@@ -38,6 +38,67 @@ def path_energy_with_stops(paths: DataFrame, edges: DataFrame, vehicles: DataFra
     return links.groupBy("shape_id", "vehicle", "energy_unit", "gge_per_unit").agg(F.sum("edge_energy").alias("energy_used"), F.coalesce(F.sum("miles"), F.lit(0.0)).alias("miles"))
 
 
+#: What a rate is made of; an edge table without one of these cannot be rated.
+FEATURES = ("edge_id", "miles", "speed_mph", "grade")
+#: Bounds of the bins of one vehicle; a larger table of rates is no lookup table.
+MAX_BOUNDS = 10_000
+
+
+def check_features(edges: DataFrame, features: tuple[str, ...] = FEATURES) -> None:
+    missing = [c for c in features if c not in edges.columns]
+    if missing:
+        raise ValueError(f"edges lack {missing}, which energy rates are made of")
+
+
+def linear_rates(edges: DataFrame, vehicles: DataFrame) -> DataFrame:
+    """(edge_id, vehicle, rate) a mile from each vehicle's coefficients; null where it has none."""
+    return edges.select(*FEATURES).join(vehicles.select("vehicle", "rate0", "rate_mph", "rate_grade")).select("edge_id", "vehicle", en.edge_rate(F.col("speed_mph"), F.col("grade")).alias("rate"))
+
+
+def binned_rates(edges: DataFrame, rates: DataFrame) -> DataFrame:
+    """(edge_id, vehicle, rate) a mile from a table of bins (vehicle, speed_from, grade_from, rate).
+
+    An edge falls into the bin with the largest bounds not above its speed and grade, or into the lowest one.  The bins
+    of a vehicle have to be a full grid; edges without speed or grade get no rate, as do those of a bin that is missing.
+    """
+    by = rates.groupBy("vehicle").agg(F.sort_array(F.collect_set("speed_from")).alias("_s"), F.sort_array(F.collect_set("grade_from")).alias("_g"))
+    size = rates.groupBy("vehicle").agg(F.count_distinct("speed_from").alias("s"), F.count_distinct("grade_from").alias("g")).agg(F.max(F.greatest("s", "g"))).first()[0]
+    if size is not None and size > MAX_BOUNDS:
+        raise ValueError(f"{size} bounds of bins for one vehicle; at most {MAX_BOUNDS} are a lookup table")
+    last = lambda bounds, c: F.when(F.col(c).isNotNull(), F.coalesce(F.array_max(F.filter(bounds, lambda b: b <= F.col(c))), F.get(bounds, F.lit(0))))
+    placed = edges.select("edge_id", "speed_mph", "grade").join(by).select("edge_id", "vehicle", last("_s", "speed_mph").alias("speed_from"), last("_g", "grade").alias("grade_from"))
+    return placed.join(rates.select("vehicle", "speed_from", "grade_from", "rate"), ["vehicle", "speed_from", "grade_from"]).select("edge_id", "vehicle", "rate")
+
+
+#: Rate models by name: (edges, table of the model's parameters) to (edge_id, vehicle, rate).  Others can be added.
+RATE_MODELS = {"linear": linear_rates, "binned": binned_rates}
+
+
+def path_energy_by_rate(paths: DataFrame, edges: DataFrame, vehicles: DataFrame, rates: DataFrame, stop_edges: DataFrame | None = None) -> DataFrame:
+    """As path_energy, from rates of edges (edge_id, vehicle, rate) of any model; ``stop_edges`` as in edge_energy.
+
+    Links are counted by (shape, edge) before vehicles multiply them.
+    """
+    links = paths.groupBy("shape_id", "edge_id").agg(F.count("*").alias("_n"))
+    v = vehicles.select("vehicle", "kind", "mass_kg", "energy_unit", "gge_per_unit")
+    p = links.join(edges.select("edge_id", "miles", "speed_mph"), "edge_id").join(rates, "edge_id").join(v, "vehicle")
+    used = F.col("rate") * F.col("miles")
+    if stop_edges is not None:
+        p = p.join(stop_edges.select("shape_id", "edge_id").distinct().withColumn("_stop", F.lit(True)), ["shape_id", "edge_id"], "left")
+        used = used + F.when(F.col("_stop"), en.stop_penalty(F.col("mass_kg"), F.col("speed_mph"), F.col("kind"))).otherwise(F.lit(0.0))
+    total = lambda c: F.coalesce(F.sum(c * F.col("_n")), F.lit(0.0))
+    return p.groupBy("shape_id", "vehicle", "energy_unit", "gge_per_unit").agg(total(used).alias("energy_used"), total(F.col("miles")).alias("miles"))
+
+
+def describe(df: DataFrame, by: list[str], column: str, accuracy: int = 100_000) -> DataFrame:
+    """n, avg, std, min, quartiles and max of a column by group.
+
+    Quartiles come from a sketch of bounded size; up to ``accuracy`` rows a group they are exact values of the column.
+    """
+    at = lambda q, name: F.percentile_approx(column, F.lit(q), F.lit(accuracy)).alias(name)
+    return df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("avg"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), at(0.25, "p25"), at(0.5, "p50"), at(0.75, "p75"), F.max(column).alias("max"))
+
+
 def charge_left(shape_energy: DataFrame, vehicles: DataFrame, start_soc: float = 100.0) -> DataFrame:
     """Adds trip_soc, the charge of battery vehicles at the end of a path, and in_reach, whether it stays above zero;
     null and true for others."""

@@ -1,4 +1,8 @@
-"""Shortest paths and map matching: the two operators that need imperative work, in Arrow-fed pandas functions."""
+"""Shortest paths and map matching.
+
+Networks of a checked size travel with the tasks and are searched in Arrow-fed pandas functions; fastest paths over
+larger ones are found by rounds of joins.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,24 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from headway.functions import geo
+from headway.operators.spatial import nearest_edge
+from headway.sources.staging import forget, settle
 
 MAX_EDGES = 5_000_000
 SHAPE = "shape_id string, shape_pt_sequence int, shape_pt_lat double, shape_pt_lon double, shape_dist_traveled double"
 
 
+def _too_large(edges: DataFrame, max_edges: int) -> bool:
+    return edges.limit(max_edges + 1).count() > max_edges
+
+
 def _network(vertices: DataFrame, edges: DataFrame, max_edges: int):
-    """Arrays of a road network of checked size: it travels with the tasks."""
-    if edges.limit(max_edges + 1).count() > max_edges:
+    """Tables of a road network of checked size: it travels with the tasks."""
+    if _too_large(edges, max_edges):
         raise ValueError(f"the network has more than {max_edges} edges: restrict it to the box of the shapes first")
     v = vertices.select("vertex_id", "lat", "lon").toPandas().sort_values("vertex_id")
     e = edges.select("edge_id", "src", "dst", "miles", "speed_mph").toPandas().sort_values("edge_id")
@@ -31,8 +44,11 @@ def _km(lat1, lon1, lat2, lon2):
 def shortest_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
     """Routed shapes (one row per point) of ODs (od_key, o_lat, o_lon, d_lat, d_lon) by least travel time.
 
-    Ends snap to their nearest vertex.  ODs without a route give no rows; the caller draws a straight line.
+    Ends snap to their nearest vertex.  ODs without a route give no rows; the caller draws a straight line.  A network
+    of more than ``max_edges`` edges is searched by rounds of joins instead (``fastest_paths``).
     """
+    if _too_large(edges, max_edges):
+        return path_shapes(fastest_paths(snapped(ods, vertices), edges), vertices)
     v, e = _network(vertices, edges, max_edges)
     lat, lon = v["lat"].to_numpy(), v["lon"].to_numpy()
     at = {k: i for i, k in enumerate(v["vertex_id"])}
@@ -62,7 +78,7 @@ def shortest_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, max_ed
         for pdf in frames:
             rows = []
             for r in pdf.itertuples():
-                ends = [int(np.argmin((lat - y) ** 2 + (lon - x) ** 2)) for y, x in ((r.o_lat, r.o_lon), (r.d_lat, r.d_lon))] if len(lat) else [0, 0]
+                ends = [int(np.argmin((lat - y) ** 2 + ((lon - x) * np.cos(np.radians(y))) ** 2)) for y, x in ((r.o_lat, r.o_lon), (r.d_lat, r.d_lon))] if len(lat) else [0, 0]
                 path = route(*ends) if len(lat) and ends[0] != ends[1] else []
                 if path:
                     y, x = lat[path], lon[path]
@@ -73,11 +89,59 @@ def shortest_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, max_ed
     return ods.select("od_key", "o_lat", "o_lon", "d_lat", "d_lon").mapInPandas(run, SHAPE)
 
 
+def snapped(ods: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(od_key, o, d): the vertices nearest to the ends of ODs; ODs whose ends lack coordinates or meet in one vertex go."""
+    x, y = geo.mercator(F.col("lat"), F.col("lon"))
+    at = vertices.select(F.col("vertex_id").alias("edge_id"), x.alias("x1"), y.alias("y1"), x.alias("x2"), y.alias("y2"))
+    end = lambda k: ods.select("od_key", F.lit(k).alias("end"), F.col(f"{k}_lat").alias("lat"), F.col(f"{k}_lon").alias("lon"))
+    points = end("o").unionByName(end("d")).select(F.struct("od_key", "end").alias("point_id"), x.alias("x"), y.alias("y"))
+    near = nearest_edge(points, at).select("point_id.*", "edge_id")
+    both = near.groupBy("od_key").agg(F.max(F.when(F.col("end") == "o", F.col("edge_id"))).alias("o"), F.max(F.when(F.col("end") == "d", F.col("edge_id"))).alias("d"))
+    return both.filter("o <> d")
+
+
+def fastest_paths(ods: DataFrame, edges: DataFrame) -> DataFrame:
+    """(od_key, minutes, path) of ODs (od_key, o, d) over a network of any size, all by joins; ``path`` lists vertices.
+
+    One search serves all ODs of an origin.  A round extends the places reached or bettered in the round before by one
+    edge and keeps the least time of each (origin, vertex); the search of an origin stops beyond the time of its
+    slowest destination, once all are reached, and ends when nothing is bettered.  Each round is written down and the
+    one before is removed, so a lost executor costs a part of one round.  Costs have to be positive; edges without a
+    speed or length are not used.  ODs without a route, or with a null end, give no rows; of equally fast paths one
+    with the fewest edges stays, then the one whose vertices are smallest from the start.
+    """
+    roads = edges.filter("miles > 0").withColumn("cost", F.try_divide(60 * F.col("miles"), "speed_mph")).filter("cost > 0").select(F.col("src").alias("vertex"), "dst", "cost")
+    wanted = settle(ods.filter("o IS NOT NULL AND d IS NOT NULL").select("od_key", "o", "d"), "wanted")
+    goals = wanted.select("o", F.col("d").alias("vertex")).distinct()
+    at = F.col("o").cast("long")
+    best = fresh = settle(wanted.select("o").distinct().select("o", at.alias("vertex"), F.lit(0.0).alias("minutes"), F.array(at).alias("path")), "reached")
+    while not fresh.isEmpty():
+        reached = goals.join(best.select("o", "vertex", "minutes"), ["o", "vertex"], "left").groupBy("o")
+        bound = reached.agg(F.when(F.count("minutes") == F.count("*"), F.max("minutes")).alias("bound"))
+        on = fresh.join(bound, "o").filter("bound IS NULL OR minutes < bound").join(roads, "vertex")
+        on = on.select("o", F.col("dst").alias("vertex"), (F.col("minutes") + F.col("cost")).alias("minutes"), F.concat("path", F.array("dst")).alias("path"))
+        known = best.withColumn("_new", F.lit(0)).unionByName(on.withColumn("_new", F.lit(1)))
+        now = known.groupBy("o", "vertex").agg(F.min(F.struct("minutes", "_new", "path")).alias("b"))
+        after = settle(now.select("o", "vertex", "b.*"), "reached")
+        forget(best)
+        best = after.drop("_new")
+        best.stored_at = after.stored_at
+        fresh = after.filter("_new = 1").drop("_new")
+    return wanted.join(best.withColumnRenamed("vertex", "d"), ["o", "d"]).filter("o <> d").select("od_key", "minutes", "path")
+
+
+def path_shapes(paths: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Shapes (one row per vertex) of paths (od_key, path)."""
+    w = Window.partitionBy("shape_id").orderBy("shape_pt_sequence")
+    at = paths.select(F.col("od_key").alias("shape_id"), F.posexplode("path").alias("k", "vertex_id")).join(vertices.select("vertex_id", "lat", "lon"), "vertex_id")
+    at = at.select("shape_id", (F.col("k") + 1).alias("shape_pt_sequence"), F.col("lat").alias("shape_pt_lat"), F.col("lon").alias("shape_pt_lon"))
+    km = geo.haversine_km(F.lag("shape_pt_lat").over(w), F.lag("shape_pt_lon").over(w), F.col("shape_pt_lat"), F.col("shape_pt_lon"))
+    steps = at.withColumn("_km", F.coalesce(km, F.lit(0.0)))
+    return steps.withColumn("shape_dist_traveled", F.sum("_km").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_km")
+
+
 def match_nearest(trace: DataFrame, nearest: DataFrame) -> DataFrame:
     """Path edges (shape_id, seq, edge_id) from each point's nearest edge, runs of one edge counted once: all DataFrame."""
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     w = Window.partitionBy("shape_id").orderBy("second")
     p = trace.join(nearest.select("point_id", "edge_id"), "point_id").withColumn("_prev", F.lag("edge_id").over(w))
     return p.filter("_prev IS NULL OR _prev <> edge_id").select("shape_id", F.row_number().over(w).alias("seq"), "edge_id")
@@ -86,10 +150,6 @@ def match_nearest(trace: DataFrame, nearest: DataFrame) -> DataFrame:
 def nearest_of_path(trace: DataFrame, path: DataFrame, edges: DataFrame) -> DataFrame:
     """Each point of a trace (shape_id, second, ...) with the nearest edge of its own shape's path, ties to the earlier
     one; pairs are those within one shape.  Adds edge_id, miles and speed_mph."""
-    from pyspark.sql import functions as F
-
-    from headway.functions import geo
-
     (x1, y1), (x2, y2) = geo.mercator(F.col("lat1"), F.col("lon1")), geo.mercator(F.col("lat2"), F.col("lon2"))
     along = path.select("shape_id", "seq", "edge_id").join(edges.select("edge_id", "miles", "speed_mph", x1.alias("_x1"), y1.alias("_y1"), x2.alias("_x2"), y2.alias("_y2")), "edge_id")
     x, y = geo.mercator(F.col("lat"), F.col("lon"))
@@ -152,7 +212,7 @@ def match_lcss(trace: DataFrame, vertices: DataFrame, edges: DataFrame, *, epsil
         return int(row[-1])
 
     def match(y, x, left):
-        ends = [int(np.argmin((lat - y[i]) ** 2 + (lon - x[i]) ** 2)) for i in (0, -1)]
+        ends = [int(np.argmin((lat - y[i]) ** 2 + ((lon - x[i]) * np.cos(np.radians(y[i]))) ** 2)) for i in (0, -1)]
         edge_list = path(*ends) if ends[0] != ends[1] else []
         if not edge_list:
             return []

@@ -74,6 +74,11 @@ hh AS (SELECT scenario, hour, kw FROM (SELECT * FROM (SELECT DISTINCT scenario F
 gv AS (SELECT trip_id, a.scenario, CASE WHEN n < 2 THEN 0 ELSE (a.kw * (1 - (t - floor(t))) + b.kw * (t - floor(t))) * CASE WHEN i IN (0, n - 1) THEN 0.005::DOUBLE ELSE 0.01::DOUBLE END END AS kwh
   FROM gr JOIN hh a ON a.hour = floor(t)::BIGINT % 24 JOIN hh b ON b.hour = (floor(t)::BIGINT + 1) % 24 AND b.scenario = a.scenario),
 iv AS (SELECT trip_id, scenario, CASE WHEN count(*) = count(kwh) THEN sum(kwh) END AS kwh FROM gv GROUP BY ALL)"""
+#: The keyed recursion keeps one row per (origin, vertex), that of the least time so far.
+_FASTEST = duck("roads", "ods", "stops").replace("WITH ", "WITH RECURSIVE ", 1) + """, r(o, v, c, p) USING KEY (o, v) AS (SELECT DISTINCT o, o, 0.0::DOUBLE, o::VARCHAR FROM ods
+UNION SELECT n.o, n.v, n.c, n.p FROM (SELECT r.o, dst AS v, min(c + 60 * miles / speed_mph) AS c, arg_min(p || '>' || dst, c + 60 * miles / speed_mph) AS p FROM r JOIN roads ON src = r.v GROUP BY 1, 2) n
+LEFT JOIN recurring.r b ON b.o = n.o AND b.v = n.v WHERE b.c IS NULL OR n.c < b.c)"""
+_STEPS = "st AS (SELECT od_key, generate_subscripts(l, 1) AS k, unnest(l)::BIGINT AS vertex FROM (SELECT od_key, string_split(p, '>') AS l FROM ods JOIN r ON r.o = ods.o AND v = d))"
 _CHOICE = f"{_VEHICLES}, {_ENERGY}, {_TRIPS}, tr AS (SELECT t.*, en.vehicle, energy_unit, gge_per_unit, energy_used, miles FROM trips t JOIN en ON en.shape_id::VARCHAR = t.service_id)"
 _MPGE = lambda e: f"CASE WHEN {e} * gge_per_unit > 0 THEN miles / ({e} * gge_per_unit) END"
 _INSIDE = " UNION ALL ".join(f"SELECT stop_id, '{i}' AS county_id FROM stops WHERE stop_lon > {x0} AND stop_lon < {x1} AND stop_lat > {y0} AND stop_lat < {y1}" for i, x0, y0, x1, y1 in COUNTIES)
@@ -137,7 +142,7 @@ SELECT shape_id, count(*) AS n_points, max(second) AS last_second, round(avg(lat
 round(avg(seg), 4) AS kilometers, round(avg(seg / 30 * 3600) / 60, 3) AS travel_time_minutes FROM tt GROUP BY 1, 2""",
     "stop_nearest_edge": f"{duck('stops', 'edges')}, {_NEAR} SELECT stop_id, round(dist, 2) AS distance FROM nr",
     "trip_stop_edges": f"{duck('stops', 'edges', 'stop_times')}, {_NEAR} SELECT DISTINCT trip_id, edge_id FROM stop_times JOIN nr USING (stop_id)",
-    "stop_flags": f"""{duck("stop_times", "stops")}, {_PTS}, m AS (SELECT shape_id, seq AS sid, lat + 1e-4 AS slat, lon AS slon FROM pts WHERE seq % 3 = 1),
+    "stop_flags": f"""{duck("stop_times", "stops")}, {_PTS}, m AS (SELECT shape_id, seq AS sid, lat + 1e-4 AS slat, lon AS slon FROM pts),
 pr AS (SELECT m.shape_id, sid, seq, (slat - lat) * (slat - lat) + (slon - lon) * (slon - lon) AS d FROM m JOIN pts USING (shape_id)),
 h AS (SELECT DISTINCT shape_id, seq FROM (SELECT *, min(d) OVER (PARTITION BY shape_id, sid) AS lo FROM pr) WHERE d = lo)
 SELECT p.shape_id AS trip_id, p.seq AS coordinate_id, (h.seq IS NOT NULL)::INT AS with_stop FROM pts p LEFT JOIN h ON h.shape_id = p.shape_id AND h.seq = p.seq""",
@@ -151,7 +156,23 @@ SELECT p.shape_id AS trip_id, p.seq AS coordinate_id, (h.seq IS NOT NULL)::INT A
     "hvac_scenarios_fanout": f"{duck('weather', 'stop_times', 'paths', 'edges')}, {_CHOICE}, {_HVAC}, x AS (SELECT tr.*, scenario, energy_used + CASE WHEN energy_unit = 'kWh' THEN kwh ELSE 0 END AS e2 FROM tr LEFT JOIN iv USING (trip_id)) SELECT trip_id, vehicle, scenario, round(e2, 3) AS energy_used, round({_MPGE('e2')}, 3) AS mpge FROM x",
     "trip_results_without_hvac": f"{duck('stop_times', 'paths', 'edges')}, {_CHOICE} SELECT trip_id, vehicle, block_id, round(energy_used, 4) AS energy_used, round({_MPGE('energy_used')}, 4) AS mpge FROM tr",
     "kwh_per_mile_by_scenario": f"{duck('weather', 'stop_times', 'paths', 'edges')}, {_CHOICE}, {_HVAC} SELECT scenario, round(avg((energy_used + kwh) / miles), 4) AS kwh_per_mile FROM tr LEFT JOIN iv USING (trip_id) WHERE energy_unit = 'kWh' AND miles > 0 GROUP BY 1",
-    "stop_penalty_energy": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY} SELECT shape_id, vehicle, round(sum(used + CASE WHEN (shape_id + edge_id) % 3 = 0 THEN 0.5 * mass_kg * pow(speed_mph * 0.44704, 2) / 3.6e6 / CASE WHEN kind = 'bev' THEN 1 ELSE 33.7 * 1.136 END ELSE 0 END), 4) AS energy_used FROM el GROUP BY 1, 2",
+    "stop_penalty_energy": f"""{duck("paths", "edges", "stops")}, {_VEHICLES}, {_ENERGY}, {_NEAR},
+k AS (SELECT shape_id, vehicle, used + CASE WHEN edge_id IN (SELECT edge_id FROM nr) THEN 0.5 * mass_kg * pow(speed_mph * 0.44704, 2) / 3.6e6 / CASE WHEN kind = 'bev' THEN 1 ELSE 33.7 * 1.136 END ELSE 0 END AS e FROM el)
+SELECT shape_id, vehicle, round(sum(e), 4) AS energy_used FROM k GROUP BY 1, 2""",
+    "binned_rate_energy": f"""{duck("paths", "edges", "rates")},
+b AS (SELECT edge_id, miles, vehicle, coalesce(max(speed_from) FILTER (speed_from <= speed_mph), min(speed_from)) AS speed_from, coalesce(max(grade_from) FILTER (grade_from <= grade), min(grade_from)) AS grade_from FROM edges, rates GROUP BY 1, 2, 3)
+SELECT shape_id, vehicle, round(sum(rate * miles), 4) AS energy_used, round(sum(miles), 4) AS miles FROM paths JOIN b USING (edge_id) JOIN rates USING (vehicle, speed_from, grade_from) GROUP BY 1, 2""",
+    "soc_limited_paths": f"""{duck("paths", "edges")}, {_VEHICLES}, {_ENERGY}, c AS (SELECT shape_id, vehicle, CASE WHEN kind = 'bev' THEN 3 - 100 * energy_used / battery_kwh END AS soc FROM en JOIN veh USING (vehicle))
+SELECT shape_id, vehicle, round(soc, 3) AS trip_soc, coalesce(soc > 0, true) AS in_reach FROM c""",
+    "fastest_paths": f"{_FASTEST} SELECT od_key, round(c, 4) AS minutes, p AS path FROM ods JOIN r ON r.o = ods.o AND v = d",
+    "routed_shapes": f"""{_FASTEST}, {_STEPS}, pl AS (SELECT st.*, stop_lat AS lat, stop_lon AS lon FROM st JOIN stops ON stop_id = 'S' || vertex),
+sg AS (SELECT *, coalesce({_KM("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")}, 0) AS seg FROM pl WINDOW w AS (PARTITION BY od_key ORDER BY k))
+SELECT od_key AS shape_id, k::INT AS shape_pt_sequence, round(lat, 5) AS lat, round(lon, 5) AS lon, round(sum(seg) OVER (PARTITION BY od_key ORDER BY k), 4) AS km FROM sg""",
+    "match_lcss_paths": f"""{_FASTEST}, {_STEPS}, nx AS (SELECT od_key, k, vertex, lead(vertex) OVER (PARTITION BY od_key ORDER BY k) AS after FROM st)
+SELECT od_key AS shape_id, k::INT AS seq, edge_id FROM nx JOIN roads ON src = vertex AND dst = after""",
+    "match_nearest_paths": f"""{duck("stop_times", "stops", "edges")}, {_PTS}, {_NEAR},
+m AS (SELECT shape_id, seq, edge_id, lag(edge_id) OVER (PARTITION BY shape_id ORDER BY seq) AS before FROM pts JOIN nr USING (stop_id))
+SELECT shape_id, row_number() OVER (PARTITION BY shape_id ORDER BY seq)::INT AS seq, edge_id FROM m WHERE before IS NULL OR before <> edge_id""",
     "soc_trace": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY}, r AS (SELECT *, sum(used) OVER (PARTITION BY shape_id, vehicle ORDER BY seq) AS run FROM el WHERE kind = 'bev') SELECT shape_id, seq, round(run, 3) AS trip_energy, round(100 - 100 * run / battery_kwh, 3) AS trip_soc FROM r",
     "turn_delay": f"""{duck("paths", "edges")}, h AS (SELECT shape_id, seq, heading - lag(heading) OVER (PARTITION BY shape_id ORDER BY seq) AS d FROM paths JOIN edges USING (edge_id)),
 k AS (SELECT shape_id, seq, CASE WHEN d >= 180 THEN d - 360 WHEN d < -180 THEN d + 360 ELSE d END AS d FROM h)
@@ -164,6 +185,7 @@ SELECT trip_type, count(*) AS n_trips, 0::BIGINT AS n_agency, count(DISTINCT blo
     "feed_catalog_qa": """WITH e AS (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events) SELECT event_id, CASE WHEN k % 5 > 0 THEN k % 2 = 0 END AS has_shapes, CASE WHEN k % 5 > 0 THEN k % 3 > 0 END AS has_errors, coalesce(k % 5 > 0 AND k % 2 = 0 AND k % 3 = 0, false) AS download FROM e""",
     "feed_centres": "SELECT s_suppkey AS id, round(s_suppkey % 90 + 0.875, 4)::DOUBLE AS lat, round(s_suppkey % 90 - 98.75, 4)::DOUBLE AS lon FROM supplier WHERE s_suppkey % 4 > 0 AND s_suppkey % 3 > 0",
     "trip_shape_quality": f"{duck('stop_times')}, {_TRIPS} SELECT service_id, count(*) AS bus_trips, bool_and(user_id % 5 > 0) AS all_shapes FROM trips WHERE route_short_name <> 'R2' GROUP BY 1",
-    "summary_stats": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY} SELECT vehicle, count(*) AS n, round(avg(energy_used), 3) AS avg_energy, round(min(energy_used), 3) AS min_energy, round(max(energy_used), 3) AS max_energy FROM en GROUP BY 1",
+    "summary_stats": f"""{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY} SELECT vehicle, count(*) AS n, round(avg(energy_used), 3) AS avg_energy, round(stddev_samp(energy_used), 3) AS std_energy, round(min(energy_used), 3) AS min_energy,
+round(quantile_disc(energy_used, 0.25), 3) AS p25_energy, round(quantile_disc(energy_used, 0.5), 3) AS p50_energy, round(quantile_disc(energy_used, 0.75), 3) AS p75_energy, round(max(energy_used), 3) AS max_energy FROM en GROUP BY 1""",
     "realtime_vehicle_filter": "SELECT event_id::VARCHAR AS id, 'V' || user_id AS vehicle_id, 'T' || user_id AS trip_id, round(40 + user_id / 1000.0::DOUBLE, 4) AS lat FROM events WHERE event_type <> 'error'",
 }

@@ -24,7 +24,13 @@ EDGES = """SELECT p_partkey AS edge_id, p_retailprice / 1000e0 AS miles, 20e0 +
   FROM {part}"""
 PATHS = "SELECT l_orderkey AS shape_id, l_partkey AS edge_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax) AS INT) AS seq FROM {lineitem}"
 WEATHER = "SELECT ts, value * 0.1e0 - 29e0 / 3 AS temp_c, concat('G', user_id % 3) AS county FROM {events}"
-SHARED = {"stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
+ROADS = """SELECT s_suppkey * 4 + k AS edge_id, s_suppkey AS src,
+  (s_suppkey - lo + step + n) % n + lo AS dst, 5e-1 + ((s_suppkey * 7919 + k * 104729) % 10007) / 5003e0 AS miles, 20e0 + (s_suppkey * 13 + k) % 30 AS speed_mph
+  FROM {supplier}, (SELECT min(s_suppkey) AS lo, count(*) AS n FROM {supplier}) AS r, (VALUES (0, 1), (1, 7), (2, -1), (3, -5)) AS w(k, step)"""
+ODS = "SELECT concat('N', s_nationkey) AS od_key, min(s_suppkey) AS o, max(s_suppkey) AS d FROM {supplier} GROUP BY s_nationkey HAVING min(s_suppkey) <> max(s_suppkey)"
+RATES = """SELECT concat('M', r_regionkey % 2) AS vehicle, 1e1 + n_nationkey * 3e0 AS speed_from, (r_regionkey - 3) / 50e0 AS grade_from,
+  1e0 / 3 + n_nationkey / 70e0 + r_regionkey / 9e0 AS rate FROM {nation}, {region}"""
+SHARED = {"roads": ROADS, "ods": ODS, "rates": RATES, "stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
 TABLES = ("supplier", "events", "nation", "part", "lineitem", "customer", "orders", "region")
 
 #: Boxes of the invented counties: id, lower left and upper right corner.
@@ -63,6 +69,12 @@ def counties(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "county_id string, ring array<struct<x:double,y:double>>").coalesce(1)
 
 
+def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stops as the vertices of the roads."""
+    s = shared(spark, sf_dir, "stops")
+    return s.select(F.substring("stop_id", 2, 20).cast("long").alias("vertex_id"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stop points of trips as the points of a shape of the same name."""
     st, stops = shared(spark, sf_dir, "stop_times"), shared(spark, sf_dir, "stops")

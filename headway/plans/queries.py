@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
 from headway.functions import energy as en
-from headway.operators import deadhead, energy, service, shapes, spatial, thermal
+from headway.operators import deadhead, energy, routing, service, shapes, spatial, thermal
 from headway.plans import projection as p
 from headway.sources import feeds
 
@@ -195,7 +195,7 @@ def trip_stop_edges(s, d):
 @query
 def stop_flags(s, d):
     pts = p.points(s, d)
-    mine = pts.filter("shape_pt_sequence % 3 = 1").select(F.col("shape_id").alias("trip_id"), F.concat("stop_id", F.lit("_"), "shape_pt_sequence").alias("stop_id"), (F.col("shape_pt_lat") + 1e-4).alias("stop_lat"), F.col("shape_pt_lon").alias("stop_lon"))
+    mine = pts.select(F.col("shape_id").alias("trip_id"), F.concat("stop_id", F.lit("_"), "shape_pt_sequence").alias("stop_id"), (F.col("shape_pt_lat") + 1e-4).alias("stop_lat"), F.col("shape_pt_lon").alias("stop_lon"))
     coords = pts.select(F.col("shape_id").alias("trip_id"), F.col("shape_pt_sequence").alias("coordinate_id"), F.col("shape_pt_lat").alias("lat"), F.col("shape_pt_lon").alias("lon"))
     return shapes.stop_flags(coords, mine).select("trip_id", "coordinate_id", "with_stop")
 
@@ -259,9 +259,57 @@ def kwh_per_mile_by_scenario(s, d):
 
 @query
 def stop_penalty_energy(s, d):
-    stops = p.shared(s, d, "paths").filter("(shape_id + edge_id) % 3 = 0").select("shape_id", "edge_id")
-    links = energy.edge_energy(p.shared(s, d, "paths"), p.shared(s, d, "edges"), en.vehicle_catalog(s), stops)
-    return links.groupBy("shape_id", "vehicle").agg(_r(F.sum("edge_energy"), 4).alias("energy_used"))
+    paths = p.shared(s, d, "paths")
+    stops = paths.join(_near(s, d).select("edge_id").distinct(), "edge_id", "left_semi").select("shape_id", "edge_id")
+    e = energy.path_energy_with_stops(paths, p.shared(s, d, "edges"), en.vehicle_catalog(s), stops)
+    return e.select("shape_id", "vehicle", _r("energy_used", 4).alias("energy_used"))
+
+
+@query
+def binned_rate_energy(s, d):
+    """Rates from a lookup table of speeds and grades in place of a vehicle's linear ones."""
+    edges, rates = p.shared(s, d, "edges"), p.shared(s, d, "rates")
+    like = en.vehicle_catalog(s).filter("kind = 'bev'").drop("vehicle").crossJoin(rates.select("vehicle").distinct())
+    e = energy.path_energy_by_rate(p.shared(s, d, "paths"), edges, like, energy.binned_rates(edges, rates))
+    return e.select("shape_id", "vehicle", _r("energy_used", 4).alias("energy_used"), _r("miles", 4).alias("miles"))
+
+
+@query
+def soc_limited_paths(s, d):
+    e = energy.charge_left(_shape_energy(s, d), en.vehicle_catalog(s), 3.0)
+    return e.select("shape_id", "vehicle", _r("trip_soc", 3).alias("trip_soc"), "in_reach")
+
+
+def _fastest(s, d):
+    return routing.fastest_paths(p.shared(s, d, "ods"), p.shared(s, d, "roads"))
+
+
+@query
+def fastest_paths(s, d):
+    return _fastest(s, d).select("od_key", _r("minutes", 4).alias("minutes"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query
+def routed_shapes(s, d):
+    v = p.vertices(s, d)
+    end = lambda k: v.select(F.col("vertex_id").alias(k), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+    ods = p.shared(s, d, "ods").join(end("o"), "o").join(end("d"), "d")
+    r = routing.shortest_paths(ods, v, p.shared(s, d, "roads"))
+    return r.select("shape_id", "shape_pt_sequence", _r("shape_pt_lat", 5).alias("lat"), _r("shape_pt_lon", 5).alias("lon"), _r("shape_dist_traveled", 4).alias("km"))
+
+
+@query
+def match_lcss_paths(s, d):
+    """Traces along the vertices of fastest paths, matched back to the edges of those paths."""
+    v = p.vertices(s, d)
+    trace = routing.path_shapes(_fastest(s, d), v).select("shape_id", F.col("shape_pt_sequence").alias("second"), F.col("shape_pt_lat").alias("lat"), F.col("shape_pt_lon").alias("lon"))
+    return routing.match_lcss(trace, v, p.shared(s, d, "roads"))
+
+
+@query
+def match_nearest_paths(s, d):
+    trace = p.points(s, d).select("shape_id", F.col("shape_pt_sequence").alias("second"), F.col("stop_id").alias("point_id"))
+    return routing.match_nearest(trace, _near(s, d))
 
 
 @query
@@ -329,8 +377,8 @@ def trip_shape_quality(s, d):
 
 @query
 def summary_stats(s, d):
-    e = _shape_energy(s, d)
-    return e.groupBy("vehicle").agg(F.count("*").alias("n"), _r(F.avg("energy_used"), 3).alias("avg_energy"), _r(F.min("energy_used"), 3).alias("min_energy"), _r(F.max("energy_used"), 3).alias("max_energy"))
+    e = energy.describe(_shape_energy(s, d), ["vehicle"], "energy_used")
+    return e.select("vehicle", "n", *[_r(c, 3).alias(f"{c}_energy") for c in ("avg", "std", "min", "p25", "p50", "p75", "max")])
 
 
 @query

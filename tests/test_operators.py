@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from headway.functions import energy as en
 from headway.operators import deadhead, energy, routing, service, shapes, spatial, thermal
 from pyspark.sql import functions as F
 
@@ -82,7 +84,45 @@ def test_routing_and_matching(spark):
     want = {r.edge_id: (r.src, r.dst) for r in e.collect()}
     assert [want[k] for k in path] == [(12 + j, 13 + j) for j in range(5)]  # the street of the trace, though it is slow
     with pytest.raises(ValueError):
-        routing.shortest_paths(ods, v, e, max_edges=3)
+        routing.match_lcss(line, v, e, max_edges=3)
+    # beyond the checked size the same search runs by joins
+    joined = routing.shortest_paths(ods, v, e, max_edges=3).orderBy("shape_pt_sequence").collect()
+    assert [(r.shape_id, r.shape_pt_lat, r.shape_pt_lon) for r in joined] == [(r.shape_id, r.shape_pt_lat, r.shape_pt_lon) for r in shp]
+    assert joined[-1].shape_dist_traveled == pytest.approx(shp[-1].shape_dist_traveled)
+
+
+def test_fastest_paths_of_random_networks(spark):
+    rng = np.random.default_rng(5)
+    e = [(i, int(a), int(b), float(m), 30.0) for i, (a, b, m) in enumerate(zip(rng.integers(0, 40, 110), rng.integers(0, 40, 110), rng.random(110) + 0.01))]
+    edges = spark.createDataFrame([*e, (900, 0, 1, None, 30.0), (901, 0, 1, 1.0, 0.0)], "edge_id long, src long, dst long, miles double, speed_mph double")
+    ods = [(f"k{o}-{d}", o, d) for o in (0, 3, 7) for d in (1, 9, 20, 39)]
+    got = {r.od_key: r for r in routing.fastest_paths(spark.createDataFrame([*ods, ("null", None, 1), ("same", 4, 4)], "od_key string, o long, d long"), edges).collect()}
+    time = np.full((40, 40), np.inf)
+    for _, a, b, m, mph in e:
+        time[a, b] = min(time[a, b], 60 * m / mph)
+    for k in range(40):
+        time = np.minimum(time, time[:, k : k + 1] + time[k : k + 1])
+    assert set(got) == {k for k, o, d in ods if np.isfinite(time[o, d])}
+    assert all(got[k].minutes == pytest.approx(time[o, d]) and got[k].path[0] == o and got[k].path[-1] == d for k, o, d in ods if k in got)
+
+
+def test_rates(spark):
+    edges = spark.createDataFrame([(1, 2.0, 5.0, 0.0), (2, 1.0, 30.0, 0.02), (3, 1.0, 90.0, -0.5), (4, 1.0, None, 0.0)], "edge_id long, miles double, speed_mph double, grade double")
+    bins = spark.createDataFrame([("m", s, g, r) for s, g, r in ((10.0, -0.1, 1.0), (10.0, 0.01, 2.0), (40.0, -0.1, 3.0), (40.0, 0.01, 4.0))], "vehicle string, speed_from double, grade_from double, rate double")
+    rates = energy.binned_rates(edges, bins)
+    assert {(r.edge_id, r.rate) for r in rates.collect()} == {(1, 1.0), (2, 2.0), (3, 3.0)}
+    v = en.vehicle_catalog(spark, [("m", "bev", "trip_energy_electric", "kWh", 1.0, 1000.0, 100.0, None, None, None)])
+    paths = spark.createDataFrame([("s", 1, 1), ("s", 2, 2), ("s", 3, 2), ("s", 4, 4)], "shape_id string, seq int, edge_id long")
+    only = v.filter("vehicle = 'm'")
+    assert energy.path_energy_by_rate(paths, edges, only, rates).first().energy_used == pytest.approx(2 * 1 + 2 * 2)
+    stop = spark.createDataFrame([("s", 2)], "shape_id string, edge_id long")
+    lost = 0.5 * 1000 * (30 * 0.44704) ** 2 / 3.6e6
+    assert energy.path_energy_by_rate(paths, edges, only, rates, stop).first().energy_used == pytest.approx(6 + 2 * lost)
+    by_rate = energy.path_energy_by_rate(paths, edges, v, energy.linear_rates(edges, v)).filter("vehicle <> 'm'")
+    plain = {r.vehicle: r.energy_used for r in energy.path_energy(paths.filter("edge_id < 4"), edges, v).collect()}
+    assert all(r.energy_used == pytest.approx(plain[r.vehicle]) for r in by_rate.collect())
+    with pytest.raises(ValueError, match="grade"):
+        energy.check_features(edges.drop("grade"))
 
 
 def test_upsample(spark):
@@ -154,7 +194,6 @@ def test_ways_from_and_to_depots_share_no_shape(spark):
 
 
 def test_energy_lost_in_stops(spark):
-    from headway.functions import energy as en
 
     paths = spark.createDataFrame([("s", 1, 10), ("s", 2, 11), ("t", 1, 10)], "shape_id string, seq int, edge_id long")
     edges = spark.createDataFrame([(10, 1.0, 30.0, 0.0), (11, 2.0, 20.0, 0.01)], "edge_id long, miles double, speed_mph double, grade double")
