@@ -22,7 +22,9 @@ class Predictor:
     """Steps chain and are lazy; only checks that must raise, and result files, run jobs.
 
     ``matcher`` maps points (shape_id, second, lat, lon) to path edges (shape_id, seq, edge_id) and can be replaced,
-    as can the vehicle catalogue.
+    as can the vehicle catalogue.  ``rates`` (edge_id, vehicle, rate; see energy.RATE_MODELS) replaces the linear rates of
+    the vehicles it names, given as a table or as a function of the edges.  Without ``edges`` a network under
+    ``network_path`` is read, cut to the box of the feed.  ``hooks`` are called with each step's name and this object.
     """
 
     spark: SparkSession
@@ -39,6 +41,14 @@ class Predictor:
     feed: gtfs.Feed | None = None
     dates: DataFrame | None = None
     results: dict[str, DataFrame] = field(default_factory=dict)
+    rates: DataFrame | Callable[[DataFrame], DataFrame] | None = None
+    network_path: str | None = None
+    hooks: list[Callable[[str, Predictor], None]] = field(default_factory=list)
+
+    def _done(self, step: str) -> Predictor:
+        for hook in self.hooks:
+            hook(step, self)
+        return self
 
     def load(self) -> Predictor:
         f = gtfs.read_feed(self.spark, self.feed_path)
@@ -71,7 +81,25 @@ class Predictor:
         self.feed = f.with_tables(trips=service.with_trip_times(f.trips, service.only(f.stop_times, f.trips, "trip_id"), self.dates))
         return self
 
+    def box(self) -> tuple[float, float, float, float]:
+        """(min_lon, min_lat, max_lon, max_lat) of shapes, stops and depots, widened by 0.05 degrees."""
+        f = self._loaded()
+        at = f.shapes.select(F.col("shape_pt_lat").alias("lat"), F.col("shape_pt_lon").alias("lon"))
+        used = f.stops.join(service.only(f.stop_times, f.trips, "trip_id").select("stop_id").distinct(), "stop_id", "left_semi")
+        at = at.unionByName(used.select(F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon")))
+        if self.depot_path is not None:
+            at = at.unionByName(files.read_depots(self.spark, self.depot_path).select("lat", "lon"))
+        b = shapes.bounding_box(at, lat="lat", lon="lon").first()
+        return b.min_lon, b.min_lat, b.max_lon, b.max_lat
+
+    def load_network(self) -> Predictor:
+        """Reads the network within the feed's box, once."""
+        if self.edges is None and self.network_path is not None:
+            self.vertices, self.edges = files.read_network(self.spark, self.network_path, self.box())
+        return self
+
     def _router(self):
+        self.load_network()
         if self.vertices is None or self.edges is None:
             return None
         return lambda ods: routing.shortest_paths(ods, self.vertices, self.edges)
@@ -123,6 +151,7 @@ class Predictor:
     def match(self) -> DataFrame:
         if self.matcher is not None:
             return self.matcher(self.trace())
+        self.load_network()
         if self.vertices is None or self.edges is None:
             raise RuntimeError("a road network or a matcher is needed")
         return routing.match_lcss(self.trace(), self.vertices, self.edges)
@@ -161,8 +190,17 @@ class Predictor:
             raise ValueError(f"unknown vehicle models {sorted(set(wanted) - known)}; known are {sorted(known)}")
         catalog = catalog.filter(F.col("vehicle").isin(wanted))
         links = settle(self.match(), "links")
+        self.load_network()
+        energy.check_features(self.edges)
+        at = stopped = None
         if stop_penalty:
-            at = stop_edges(f, self._placed_edges()).join(f.trips.select("trip_id", "shape_id"), "trip_id").select("shape_id", "edge_id").distinct()
+            stopped = settle(stop_edges(f.with_tables(stop_times=service.only(f.stop_times, f.trips, "trip_id")), self._placed_edges()), "stop-edges")
+            at = stopped.join(f.trips.select("trip_id", "shape_id"), "trip_id").select("shape_id", "edge_id").distinct()
+        if self.rates is not None:
+            given = self.rates(self.edges) if callable(self.rates) else self.rates
+            plain = energy.linear_rates(self.edges, catalog.join(given.select("vehicle").distinct(), "vehicle", "left_anti"))
+            per_shape = energy.path_energy_by_rate(links, self.edges, catalog, plain.unionByName(given.select("edge_id", "vehicle", "rate")), at)
+        elif stop_penalty:
             per_shape = energy.path_energy_with_stops(links, self.edges, catalog, at)
         else:
             per_shape = energy.path_energy(links, self.edges, catalog)
@@ -177,8 +215,15 @@ class Predictor:
             power = thermal.hourly_power(w, thermal.extreme_days(w))
             extra = thermal.trip_hvac(service.trip_spans(service.only(f.stop_times, f.trips, "trip_id")), power)
         self.results = {"trip": energy.trip_results(per_shape, f.trips, extra), "link": energy.link_results(links, per_shape)}
+        self.results["unmatched"] = f.trips.select("trip_id", "shape_id").join(links.select("shape_id").distinct(), "shape_id", "left_anti")
+        if stopped is not None:
+            self.results["stops"] = stopped
         return self
 
+    def unmatched_trips(self) -> DataFrame:
+        """Trips (trip_id, shape_id) that have no result, because no path was found for their shape."""
+        return self._result("unmatched", None)
+
     def _result(self, kind: str, vehicle: str | None) -> DataFrame:
         if kind not in self.results:
             raise KeyError(f"no {kind} predictions yet")
@@ -196,18 +241,24 @@ class Predictor:
     def link_predictions(self, vehicle: str | None = None) -> DataFrame:
         return self._result("link", vehicle)
 
-    def save(self, output_dir: str | None = None, inputs: bool = True) -> list[str]:
+    def save(self, output_dir: str | None = None, inputs: bool = True, geometry: bool = False) -> list[str]:
+        """Result tables as CSV; with ``geometry`` the matched edges' lines, with stop penalties the stops' edges."""
         if not self.results:
             raise RuntimeError("nothing has been predicted")
         folder = output_dir or self.output_dir or "."
         out = [files.write_csv(self.results[k], folder, f"{k}_energy_predictions.csv") for k in ("link", "trip")]
+        if "stops" in self.results:
+            out.append(files.write_csv(self.results["stops"].distinct(), folder, "gtfs_stops.csv"))
+        if geometry:
+            used = self._placed_edges().join(self.results["link"].select("edge_id").distinct(), "edge_id", "left_semi")
+            out.append(files.write_link_geometry(used.withColumn("geometry_wkt", files.line_wkt()), folder))
         return out + ([files.write_csv(self.trace(), folder, "model_inputs.csv")] if inputs else [])
 
     def run(self, *, date=None, routes=None, mid_block: bool = True, depot: bool = True, hvac: bool = True, save: bool = True) -> DataFrame:
-        self.load()
+        self.load()._done("load")
         if date is not None or routes is not None:
-            self.filter_trips(date, routes)
-        self.add_trip_times().add_deadheads(mid_block, depot).predict(hvac)
+            self.filter_trips(date, routes)._done("filter_trips")
+        self.add_trip_times().add_deadheads(mid_block, depot)._done("add_deadheads").predict(hvac)._done("predict")
         if save:
             self.save()
         return self.trip_predictions()

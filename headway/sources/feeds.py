@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headway.sources.files import write_csv
+
 
 def active_feeds(feeds: DataFrame, state: str | None = None) -> DataFrame:
     """Active feeds with a dataset and a bounding box, one row each with the box's centre."""
@@ -36,3 +38,15 @@ def trip_quality(trips: DataFrame, routes: DataFrame, by: list[str] | None = Non
     bus = trips.join(routes.filter("route_type = 3").select("route_id").distinct(), "route_id", "left_semi")
     lacking = F.count_if(F.col("shape_id").isNull()) if "shape_id" in trips.columns else F.count("*") + 1
     return bus.groupBy(*(by or [])).agg(F.count("*").alias("bus_trips"), (lacking == 0).alias("all_shapes")).withColumn("has_bus_trips", F.col("bus_trips") > 0)
+
+
+def save_catalogue(feeds: DataFrame, datasets: DataFrame, folder: str) -> list[str]:
+    """feeds.csv and datasets.csv, read again by read_catalogue; nested columns are left out, a CSV cannot hold them."""
+    flat = lambda df: df.select(*[c for c, t in df.dtypes if not t.startswith(("struct", "array", "map"))])
+    return [write_csv(flat(feeds), folder, "feeds.csv"), write_csv(flat(datasets), folder, "datasets.csv")]
+
+
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """feeds.csv with numeric coordinates."""
+    f = spark.read.option("header", True).csv(path)
+    return f.withColumns({c: F.col(c).cast("double") for c in ("lat", "lon") if c in f.columns})

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headway.functions import energy
+
 STOP_EDGES = "trip_id string, edge_id long"
 
 
@@ -56,15 +58,36 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_extract("_f", r"([^/]+?)(?:-tmy3)?\.csv[^/]*$", 1).alias("county"), F.to_timestamp("date_time").alias("ts"), F.col("`Dry Bulb Temperature [°C]`").cast("double").alias("temp_c"))
 
 
+_VEHICLE_FILE = (
+    "name string, type string, battery_capacity double, battery_capacity_unit string, mass_kg double, energy_unit string, gge_per_unit double, "
+    "rate0 double, rate_mph double, rate_grade double, rates array<struct<speed_from:double,grade_from:double,rate:double>>"
+)
+
+
 def read_vehicles(spark: SparkSession, path: str) -> DataFrame:
-    """(vehicle, kind, battery_kwh) of JSON vehicle files; a kind that is neither bev nor ice is an error."""
-    v = spark.read.option("multiLine", True).schema("name string, type string, battery_capacity double, battery_capacity_unit string").json(path)
+    """The vehicle catalogue (energy.SCHEMA) of JSON vehicle files; a kind that is neither bev nor ice is an error.
+
+    Mass, unit and gallon equivalent that a file lacks are those of the built-in vehicle of its kind; rates it lacks
+    stay null, as its bins (``read_rates``) may give them.
+    """
+    v = spark.read.option("multiLine", True).schema(_VEHICLE_FILE).json(path)
     kwh = F.when(F.lower("battery_capacity_unit").isin("joules", "j"), F.col("battery_capacity") / 3.6e6).otherwise(F.col("battery_capacity"))
-    v = v.select(F.col("name").alias("vehicle"), F.lower("type").alias("kind"), kwh.alias("battery_kwh"))
-    wrong = v.filter("kind IS NULL OR kind NOT IN ('bev', 'ice')").limit(3).collect()
+    kind = F.lower("type")
+    wrong = v.filter(F.coalesce(~kind.isin("bev", "ice"), F.lit(True))).limit(3).collect()
     if wrong:
-        raise ValueError(f"vehicle type must be bev or ice: {[(r.vehicle, r.kind) for r in wrong]}")
-    return v
+        raise ValueError(f"vehicle type must be bev or ice: {[(r.name, r.type) for r in wrong]}")
+    default = lambda i: F.coalesce(*[F.when(kind == x[1], F.lit(x[i])) for x in energy.VEHICLES])
+    own = lambda name, i: F.coalesce(F.col(name), default(i)).alias(name)
+    return v.select(
+        F.col("name").alias("vehicle"), kind.alias("kind"), default(2).alias("energy_field"), own("energy_unit", 3), own("gge_per_unit", 4),
+        own("mass_kg", 5), kwh.alias("battery_kwh"), "rate0", "rate_mph", "rate_grade",
+    )
+
+
+def read_rates(spark: SparkSession, path: str) -> DataFrame:
+    """Bins of rates (vehicle, speed_from, grade_from, rate) of JSON vehicle files; files without bins give none."""
+    v = spark.read.option("multiLine", True).schema(_VEHICLE_FILE).json(path)
+    return v.select(F.col("name").alias("vehicle"), F.inline("rates"))
 
 
 def select_models(paths: list[str], models: list[str]) -> list[str]:
@@ -94,5 +117,45 @@ def write_csv(df: DataFrame, folder: str, name: str) -> str:
 
 
 def write_link_geometry(links: DataFrame, folder: str) -> str:
-    """Distinct link geometries with their road."""
-    return write_csv(links.select("edge_id", "geometry_wkt").dropDuplicates(["geometry_wkt"]), folder, "link_geometry.csv")
+    """Distinct link geometries (edge_id, geometry_wkt) with one road each, the lowest."""
+    return write_csv(links.groupBy("geometry_wkt").agg(F.min("edge_id").alias("edge_id")).select("edge_id", "geometry_wkt"), folder, "link_geometry.csv")
+
+
+def line_wkt(lat1: str = "lat1", lon1: str = "lon1", lat2: str = "lat2", lon2: str = "lon2") -> Column:
+    """A straight edge as text; null where a coordinate is."""
+    at = lambda lon, lat: F.concat(F.col(lon).cast("string"), F.lit(" "), F.col(lat).cast("string"))
+    return F.concat(F.lit("LINESTRING ("), at(lon1, lat1), F.lit(", "), at(lon2, lat2), F.lit(")"))
+
+
+def read_zipped(spark: SparkSession, path: str, name: str, columns: list[str]) -> DataFrame:
+    """(feed, columns...) of the member ``name`` of zipped feeds, all as text; archives are read in tasks, one by one.
+
+    ``feed`` is the archive's name without its ending.  Archives without the member give no rows, columns that a
+    member lacks are null.
+    """
+
+    def run(frames):
+        import csv
+        import io
+        import zipfile
+
+        import pandas as pd
+
+        for pdf in frames:
+            for where, content in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    if name not in z.namelist():
+                        continue
+                    with z.open(name) as f:
+                        rows = csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", newline=""))
+                        feed = where.rsplit("/", 1)[-1].removesuffix(".zip")
+                        block = []
+                        for r in rows:
+                            block.append((feed, *[r.get(c) for c in columns]))
+                            if len(block) == 50_000:
+                                yield pd.DataFrame(block, columns=["feed", *columns])
+                                block = []
+                        yield pd.DataFrame(block, columns=["feed", *columns])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return files.mapInPandas(run, ", ".join(f"`{c}` string" for c in ["feed", *columns]))

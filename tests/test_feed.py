@@ -1,8 +1,10 @@
 import json
 import struct
+import zipfile
 
 import pytest
 from headway.functions import energy as en
+from headway.operators import energy
 from headway.plans import pipeline
 from headway.sources import feeds, files, gtfs
 from headway.streaming import positions
@@ -89,6 +91,55 @@ def test_stops_cost_energy_and_charge_is_left(predictor):
     assert not any(r.in_reach for r in p.predict(start_soc=0.0).trip_predictions("Transit_Bus_Battery_Electric").collect())
 
 
+def test_network_rates_hooks_and_files(spark, predictor, tmp_path):
+    far = spark.createDataFrame([(9999, 10.0, 10.0)], "vertex_id long, lat double, lon double")
+    predictor.vertices.unionByName(far).write.parquet(str(tmp_path / "net/vertices"))
+    predictor.edges.write.parquet(str(tmp_path / "net/edges"))
+    bins = [{"speed_from": s, "grade_from": 0.0, "rate": r} for s, r in ((0.0, 2.0), (40.0, 3.0))]
+    (tmp_path / "bus.json").write_text(json.dumps({"name": "bus", "type": "bev", "battery_capacity": 300.0, "battery_capacity_unit": "kWh", "rates": bins}))
+    steps, path = [], str(tmp_path / "bus.json")
+    p = pipeline.Predictor(
+        spark, predictor.feed_path, predictor.depot_path, network_path=str(tmp_path / "net"), output_dir=str(tmp_path / "out"), hooks=[lambda step, _: steps.append(step)],
+        vehicles=files.read_vehicles(spark, path), rates=lambda edges: energy.binned_rates(edges, files.read_rates(spark, path)),
+    )
+    p.run(date="2024-01-03", routes=["1"], hvac=False, save=False)
+    assert steps == ["load", "filter_trips", "add_deadheads", "predict"]
+    assert p.vertices.filter("vertex_id = 9999").isEmpty() and p.vertices.count() == 36
+    lon0, lat0, lon1, lat1 = p.box()
+    assert lon1 == pytest.approx(-103.95) and lat1 == pytest.approx(41.05) and lon0 == pytest.approx(-105.05) and lat0 == pytest.approx(39.95)  # a depot afar counts
+    rows = p.predict(stop_penalty=False).trip_predictions().collect()
+    assert {r.vehicle for r in rows} == {"bus"} and all(2 - 1e-9 <= r.energy_used / r.miles <= 3 + 1e-9 for r in rows) and p.unmatched_trips().isEmpty()
+    p.predict(stop_penalty=True).save(geometry=True, inputs=False)
+    back = lambda name: spark.read.option("header", True).csv(f"{p.output_dir}/{name}")
+    assert back("link_geometry.csv").filter("geometry_wkt LIKE 'LINESTRING (-10%'").count() == p.link_predictions().select("edge_id").distinct().count()
+    assert {r.trip_id for r in back("gtfs_stops.csv").collect()} == {r.trip_id for r in rows}
+    p.edges = p.edges.drop("grade")
+    with pytest.raises(ValueError, match="grade"):
+        p.predict()
+
+
+def test_zipped_feeds_and_catalogue(spark, tmp_path):
+    for name, text in (("f1", "\ufeffroute_id,route_type\nR1,3\n\"R,2\",0\n"), ("f2", "route_type\n3\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("routes.txt", text)
+    with zipfile.ZipFile(tmp_path / "f3.zip", "w") as z:
+        z.writestr("trips.txt", "trip_id\n")
+    got = files.read_zipped(spark, str(tmp_path), "routes.txt", ["route_id", "route_type"])
+    assert {tuple(r) for r in got.collect()} == {("f1", "R1", "3"), ("f1", "R,2", "0"), ("f2", None, "3")}
+    f = spark.createDataFrame([("a", 1.0, 3.0), ("b", 2.0, 5.0)], "id string, lat double, lon double")
+    ds = spark.createDataFrame([("d", ([],))], "id string, report struct<features:array<string>>")
+    feeds.save_catalogue(f, ds, str(tmp_path))
+    again = feeds.read_catalogue(spark, str(tmp_path / "feeds.csv"))
+    assert {tuple(r) for r in again.collect()} == {("a", 1.0, 3.0), ("b", 2.0, 5.0)} and tuple(feeds.map_centre(again).first()) == (1.5, 4.0)
+    assert [r.id for r in feeds.missing_feeds(spark.createDataFrame([("b",), ("z",)], "id string"), again).collect()] == ["z"]
+
+
+def test_weather_files(spark, tmp_path):
+    (tmp_path / "G0800130.csv").write_text("date_time,Dry Bulb Temperature [°C],other\n2024-01-01 01:00:00,4.5,1\n")
+    r = files.read_weather(spark, str(tmp_path / "*.csv")).first()
+    assert (r.county, r.temp_c, r.ts.hour) == ("G0800130", 4.5, 1)
+
+
 def test_errors(spark, predictor):
     with pytest.raises(RuntimeError):
         predictor.add_trip_times()
