@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from headway.llm import decontam, licenses, minhash, mixing, ogg, pages, secrets, sharding, tokens, toxicity
+from headway.llm import decontam, licenses, manifest, minhash, mixing, ogg, packing, pages, secrets, sharding, spelling, tokens, toxicity
 from headway.llm.common import table
 
 #: Bytes of text that a shard may hold.
@@ -56,6 +57,32 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))[0].drop("begun")
 
 
+def op11_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def merkle_rows(docs: DataFrame) -> DataFrame:
+    """The digests of each row's proof, and whether a version whose capitals are lowered would pass."""
+    fields = [F.col(n) for n in ("doc_id", "source", "lang", "n_chars")]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(chosen, manifest.leaf(*fields, F.translate("text", upper, upper.lower())))
+    rows = manifest.manifest(docs, manifest.leaf(*fields, F.col("text")), also={"changed": tampered})
+    again = rows.withColumn("folded_root", manifest.folded(F.coalesce("row.changed", "leaf"), F.col("proof")))
+    proof = F.sha2(manifest.siblings(F.col("proof")).cast("binary"), 256)
+    return again.select(F.col("row.id").alias("doc_id"), "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_rows(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_extendible_sharding": op1_extendible_sharding,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -67,6 +94,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixing": op10_source_mixing,
+    "op11_cost_balanced_packing": op11_cost_balanced_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 def _places(mask: str) -> str:
