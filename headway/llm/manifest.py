@@ -68,13 +68,13 @@ def climb(nodes: DataFrame, group: str) -> DataFrame:
     level, most, span = nodes, nodes.agg(F.max("many")).first()[0] or 1, 1
     while most > 1:
         runs = level.groupBy(group, "many", F.expr(f"idx div {FANOUT}").alias("run")).agg(F.sort_array(F.collect_list(F.struct("idx", "h"))).alias("_n"))
-        runs = store(runs.select(group, "many", "run", F.concat_ws("", F.transform("_n", lambda x: x["h"])).alias("all")), "manifest-level")
+        runs = store(runs.select(group, "many", "run", F.concat_ws("", F.transform("_n", lambda x: x["h"])).alias("nodes")), "manifest-level")
         place = (F.expr(f"idx div {span}") % FANOUT * HEX).cast("int")
-        step = F.struct(F.substring("all", F.lit(1), place).alias("left"), F.substring("all", place + HEX + 1, F.length("all")).alias("right"))
+        step = F.struct(F.substring("nodes", F.lit(1), place).alias("left"), F.substring("nodes", place + HEX + 1, F.length("nodes")).alias("right"))
         span *= FANOUT
         out = out.withColumn("run", F.expr(f"idx div {span}")).join(runs, [group, "run"])
         out = out.select(group, "idx", F.when(F.col("many") > 1, F.concat("steps", F.array(step))).otherwise(F.col("steps")).alias("steps"))
-        level = runs.select(group, F.col("run").alias("idx"), F.ceil(F.col("many") / FANOUT).alias("many"), F.when(F.col("many") > 1, F.sha2(F.col("all").cast("binary"), 256)).otherwise(F.col("all")).alias("h"))
+        level = runs.select(group, F.col("run").alias("idx"), F.ceil(F.col("many") / FANOUT).alias("many"), F.when(F.col("many") > 1, F.sha2(F.col("nodes").cast("binary"), 256)).otherwise(F.col("nodes")).alias("h"))
         most = -(-most // FANOUT)
     return store(out.join(level.select(group, F.col("h").alias("top")), group), "manifest-climbed")
 
@@ -88,7 +88,7 @@ def _level_sql() -> str:
 
 
 _ROOTS = f"{_level_sql()} SELECT src, bucket, leaf AS h FROM b WHERE levels = 0" + "".join(f" UNION ALL SELECT src, bucket, sha256(s) FROM r{k} WHERE levels = {k}" for k in range(1, LEVELS + 1))
-_STEP = "CASE WHEN levels >= {k} THEN [{{'left': left(r{k}.s, {at}), 'right': substr(r{k}.s, {at} + {hex} + 1)}}] ELSE [] END"
+_STEP = "CASE WHEN b.levels >= {k} THEN [{{'left': left(r{k}.s, {at}), 'right': substr(r{k}.s, {at} + {hex} + 1)}}] ELSE [] END"
 _PROOFS = (
     f"{_level_sql()} SELECT b.src, b.bucket, b.row, b.leaf, "
     + " || ".join(_STEP.format(k=k, hex=HEX, at=f"(b.pos // {FANOUT ** (k - 1)} % {FANOUT} * {HEX})::INT") for k in range(1, LEVELS + 1))
@@ -109,7 +109,7 @@ def _in_buckets(rows: DataFrame, sql: str, schema: str) -> DataFrame:
 
         def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
             con.register("b", table)
-            yield from con.execute(sql).to_arrow_table().to_batches(max_chunksize=2048)
+            yield from con.sql(sql).to_arrow_table().to_batches(max_chunksize=2048)
             con.unregister("b")
 
         held, n = [], 0
@@ -149,9 +149,9 @@ def manifest(docs: DataFrame, leaf_of: Column, *, source: str = "source", order:
     totals = placed.groupBy("src").agg(F.ceil(F.max("total") / FANOUT**LEVELS).alias("many"))
     ways = climb(buckets.join(totals, "src").withColumnRenamed("bucket", "idx"), "src")
     tops = store(ways.groupBy("src").agg(F.first("top").alias("h")), "manifest-sources")
-    sources = ranked(tops.withColumn("all", F.lit(0)), "all", ["src"])
+    sources = ranked(tops.withColumn("every", F.lit(0)), "every", ["src"])
     sources = store(sources.withColumnRenamed("pos", "idx").withColumnRenamed("total", "many"), "manifest-sources")
-    over = climb(sources, "all").join(sources.select("idx", "src", F.col("h").alias("subroot")), "idx").select("src", "subroot", F.col("steps").alias("_over"), F.col("top").alias("root"))
+    over = climb(sources, "every").join(sources.select("idx", "src", F.col("h").alias("subroot")), "idx").select("src", "subroot", F.col("steps").alias("_over"), F.col("top").alias("root"))
     outer = store(ways.select("src", F.col("idx").alias("bucket"), "steps").join(over, "src").select("src", "bucket", F.concat("steps", "_over").alias("outer"), "subroot", "root"), "manifest-outer")
     kind = placed.schema["row"].dataType.simpleString()
     inner = _in_buckets(placed.drop("total"), _PROOFS, f"src string, bucket long, row {kind}, leaf string, steps {_STEPS}")

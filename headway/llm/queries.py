@@ -127,7 +127,46 @@ FROM cmp WHERE matched >= 0.75 * n AND (n >= {_SPAN} OR matched = n)
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, n DESC, doc_word) = 1
 """
 
+def _manifest_sql(depth: int = 5) -> str:
+    """Trees of up to 16 ** ``depth`` rows a source and as many sources, a level after the other; crc32 is computed bit by bit."""
+
+    def levels(name: str, group: str) -> list[str]:
+        # {name}0: nodes (group, pos, n, h); {name}r1 ..: the runs of 16 of each level (group, run, n, s)
+        out = []
+        for k in range(depth):
+            out.append(f"{name}r{k} AS (SELECT {group}, pos // 16 AS run, n, string_agg(h, '' ORDER BY {name}{k}.pos) AS s FROM {name}{k} GROUP BY {group}, pos // 16, n)")
+            out.append(f"{name}{k + 1} AS (SELECT {group}, run AS pos, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(s) ELSE s END AS h FROM {name}r{k})")
+        return out
+
+    def way(name: str, group: str, base: str, kept: str) -> list[str]:
+        # {name}w{k}: the folded node, given and claimed, and the siblings so far
+        out = [f"{name}w0 AS ({base})"]
+        for k in range(depth):
+            at = f"(w.pos // {16**k} % 16 * 64)::INT"
+            fold = lambda c: f"CASE WHEN r.n > 1 THEN sha256(left(r.s, {at}) || {c} || substr(r.s, {at} + 65)) ELSE {c} END AS {c}"  # noqa: B023, E731
+            out.append(f"{name}w{k + 1} AS (SELECT w.{group}, w.pos, {kept}, {fold('claimed')}, sib || CASE WHEN r.n > 1 THEN left(r.s, {at}) || substr(r.s, {at} + 65) ELSE '' END AS sib FROM {name}w{k} w JOIN {name}r{k} r ON r.{group} = w.{group} AND r.run = w.pos // {16 ** (k + 1)})")
+        return out
+
+    told = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    digest = lambda text: "sha256(" + " || ".join(map(told, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    parts = [
+        "t AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS bits)",
+        "c AS (SELECT d.*, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(a >> 8, bits[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM documents d, t)",
+        f"leaves AS (SELECT doc_id, coalesce('s' || source, '') AS src, {digest('text')} AS leaf, CASE WHEN crc % 5 = 0 THEN {digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed FROM c)",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY src) AS n FROM leaves)",
+        "a0 AS (SELECT src, pos, n, leaf AS h FROM ranked)",
+        *levels("a", "src"),
+        f"sub AS (SELECT 0 AS every, src, h AS subroot, row_number() OVER (ORDER BY encode(src)) - 1 AS pos, count(*) OVER () AS n FROM a{depth})",
+        "b0 AS (SELECT every, pos, n, subroot AS h FROM sub)",
+        *levels("b", "every"),
+        *way("a", "src", "SELECT src, pos, doc_id, leaf, coalesce(changed, leaf) AS claimed, '' AS sib FROM ranked", "doc_id, leaf"),
+        *way("b", "every", f"SELECT every, sub.pos, doc_id, leaf, subroot, claimed, sib FROM aw{depth} JOIN sub USING (src)", "doc_id, leaf, subroot"),
+    ]
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, claimed AS folded_root, claimed = h AS verified FROM bw{depth} CROSS JOIN (SELECT h FROM b{depth})"
+
+
 ORACLES = {
+    "op12_merkle_manifest": _manifest_sql(),
     "op3_spaced_seed_decontamination": _LEAKS,
     "op1_extendible_sharding": f"""
 WITH d AS (
