@@ -14,6 +14,7 @@ each encoded once.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,38 +43,99 @@ class Piece:
 
 
 class Encoder:
-    """Token ids of texts by a ``tokenizers`` file; the distinct words of a call are encoded once.
+    """Token ids of texts by a ``tokenizers`` file; words that are still known from texts before are not encoded again.
 
-    A word here is what stands between ASCII white space, so it is a whole number of the tokenizer's own words as long as
-    these never reach over white space (``word_bpe_49k`` drops it) and no special token holds any.
+    A word here is what stands between ASCII white space, without the marks behind a last ASCII letter.  So it is a whole number of
+    the tokenizer's own words, as long as these hold no white space and no letters together with such marks, and no special
+    token holds white space: ``word_bpe_49k`` drops white space and tells letters, digits and marks apart.
     """
 
+    #: Words and characters that are remembered; beyond either, all are forgotten.
+    WORDS, CHARS = 300_000, 6_000_000
+
     def __init__(self, model: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_str(model), end_id
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        one = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        mark = one(",")
+        self.mark = mark[0] if len(mark) == 1 else None
+        #: Whether white space parts words and is dropped; else texts are encoded whole.
+        self.by_words = one("a B , c,") == one("a") + one("B") + mark + one("c") + mark
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.ends, self.chars = np.empty(0, np.uint32), np.zeros(1, np.int64), 0
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word); many words go into one call, with a mark between that none of them holds."""
+        ids: list[np.ndarray] = []
+        sizes = np.zeros(len(words), np.int64)
+        plain = np.array([self.mark is not None and "," not in w for w in words], bool)
+        at = np.flatnonzero(plain)
+        groups = [at[k : k + 512] for k in range(0, len(at), 512)] + [np.array([k]) for k in np.flatnonzero(~plain)]
+        texts = [" , ".join([words[k] for k in g]) for g in groups]
+        order = []
+        for k in range(0, len(texts), 64):
+            for g, e in zip(groups[k : k + 64], self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False), strict=True):
+                got = np.array(e.ids, np.uint32)
+                if len(g) > 1:
+                    marks = np.flatnonzero(got == self.mark)
+                    sizes[g] = np.diff(np.concatenate([[-1], marks, [len(got)]])) - 1
+                    got = got[got != self.mark]
+                else:
+                    sizes[g] = len(got)
+                ids.append(got)
+                order.append(g)
+        if not order:
+            return np.empty(0, np.uint32), sizes
+        flat, order = np.concatenate(ids), np.concatenate(order)
+        heads = np.zeros(len(words), np.int64)
+        heads[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat[np.repeat(heads - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())], sizes
+
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """The number of each of the distinct ``words``."""
+        names = words.to_pylist()
+        fresh = [w for w in names if w not in self.known]
+        flat, sizes = self.of_words(fresh)
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        self.chars += sum(map(len, fresh))
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        return np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, and the end's id; null is empty."""
-        parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.large_string()), ""), r"[\x20\x09-\x0D]+")
+        if len(self.known) > self.WORDS or self.chars > self.CHARS:
+            self.forget()
+        if not self.by_words:
+            whole = [t or "" for t in texts.to_pylist()]
+            return [np.array([*e.ids, self.end], np.uint32) for e in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+        parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         lengths = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(parts).dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
-        distinct = coded.dictionary.to_pylist()
-        each = [np.array(e.ids, np.uint32) for k in range(0, len(distinct), 4096) for e in self.tokenizer.encode_batch_fast(distinct[k : k + 4096], add_special_tokens=False)]
-        size = np.array([len(x) for x in each], np.int64)
-        flat, heads = np.concatenate([*each, np.empty(0, np.uint32)]), np.cumsum(size) - size
-        out, at = [], 0
-        for n in lengths:
-            c = codes[at : at + n]
-            many = size[c]
-            ids = np.empty(many.sum() + 1, np.uint32)
-            ids[:-1] = flat[np.repeat(heads[c] - (np.cumsum(many) - many), many) + np.arange(len(ids) - 1)]
-            ids[-1] = self.end
-            out.append(ids)
-            at += n
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        # each distinct part is a word and the marks behind it, either of which may be empty
+        cut = pc.extract_regex(distinct, r"^(?P<word>.*[A-Za-z])(?P<marks>[,.;:!?]+)$")
+        halves = [pc.coalesce(pc.struct_field(cut, "word"), distinct), pc.fill_null(pc.struct_field(cut, "marks"), "")]
+        numbers = []
+        for half in halves:
+            h = half.dictionary_encode()
+            numbers.append(self.codes(h.dictionary)[h.indices.to_numpy()])
+        taken = np.stack([n[codes] for n in numbers], 1).ravel()
+        many = self.ends[taken + 1] - self.ends[taken]
+        at = np.cumsum(many)
+        ids = self.flat[np.repeat(self.ends[taken] - (at - many), many) + np.arange(many.sum())]
+        upto = np.concatenate([[0], at])[2 * np.cumsum(lengths)]
+        out, begin = [], 0
+        for end in upto:
+            out.append(np.append(ids[begin:end], np.uint32(self.end)))
+            begin = end
         return out
 
 
