@@ -1,4 +1,4 @@
-"""Shortest paths and map matching.
+"""Shortest paths, and paths from nearest edges.
 
 Networks of a checked size travel with the tasks and are searched in Arrow-fed pandas functions; fastest paths over
 larger ones are found by rounds of joins.
@@ -157,77 +157,3 @@ def nearest_of_path(trace: DataFrame, path: DataFrame, edges: DataFrame) -> Data
     met = met.withColumn("_d", geo.segment_distance(F.col("_x"), F.col("_y"), F.col("_x1"), F.col("_y1"), F.col("_x2"), F.col("_y2")))
     best = met.groupBy("shape_id", "second").agg(F.min(F.struct("_d", "seq", "edge_id", "miles", "speed_mph")).alias("b"))
     return trace.join(best.select("shape_id", "second", "b.edge_id", "b.miles", "b.speed_mph"), ["shape_id", "second"])
-
-
-def match_lcss(trace: DataFrame, vertices: DataFrame, edges: DataFrame, *, epsilon_m: float = 50.0, similarity: float = 0.9, cuts: int = 10, max_edges: int = MAX_EDGES) -> DataFrame:
-    """Path edges by longest common subsequence with a shortest path between the trace's ends.
-
-    A trace (shape_id, second, lat, lon) whose path is less similar than ``similarity`` is cut at its point farthest
-    from the path and both halves are matched again, up to ``cuts`` times.  One shape is one group; shapes are
-    bounded by the length of a bus line.
-    """
-    v, e = _network(vertices, edges, max_edges)
-    at = {k: i for i, k in enumerate(v["vertex_id"])}
-    lat, lon = v["lat"].to_numpy(), v["lon"].to_numpy()
-    src, dst = e["src"].map(at).to_numpy(), e["dst"].map(at).to_numpy()
-    ids, cost = e["edge_id"].to_numpy(), (60 * e["miles"] / e["speed_mph"]).to_numpy()
-    out_edges = defaultdict(list)
-    for k, (s, d) in enumerate(zip(src, dst, strict=True)):
-        out_edges[s].append((d, k))
-    out_edges = dict(out_edges)
-
-    def path(o, d):
-        best, back, heap = {o: 0.0}, {}, [(0.0, o)]
-        while heap:
-            t, u = heapq.heappop(heap)
-            if u == d:
-                out = []
-                while u != o:
-                    u, k = back[u]
-                    out.append(k)
-                return out[::-1]
-            if t > best[u]:
-                continue
-            for w, k in out_edges.get(u, ()):
-                if t + cost[k] < best.get(w, np.inf):
-                    best[w], back[w] = t + cost[k], (u, k)
-                    heapq.heappush(heap, (t + cost[k], w))
-        return []
-
-    def distances(y, x, edge_list):
-        """Metres of each point from each edge, on a plane around the trace."""
-        ky, kx = 111_194.9, 111_194.9 * np.cos(np.radians(y.mean()))
-        px, py = x * kx, y * ky
-        x1, y1, x2, y2 = lon[src[edge_list]] * kx, lat[src[edge_list]] * ky, lon[dst[edge_list]] * kx, lat[dst[edge_list]] * ky
-        dx, dy = x2 - x1, y2 - y1
-        t = np.clip(((px[:, None] - x1) * dx + (py[:, None] - y1) * dy) / np.maximum(dx * dx + dy * dy, 1e-12), 0, 1)
-        return np.hypot(px[:, None] - x1 - t * dx, py[:, None] - y1 - t * dy)
-
-    def lcss(near):
-        row = np.zeros(near.shape[1] + 1, np.int64)
-        for hit in near:
-            diag = row[:-1] + hit
-            new = np.maximum(row[1:], diag)
-            row = np.concatenate([[0], np.maximum.accumulate(new)])
-        return int(row[-1])
-
-    def match(y, x, left):
-        ends = [int(np.argmin((lat - y[i]) ** 2 + ((lon - x[i]) * np.cos(np.radians(y[i]))) ** 2)) for i in (0, -1)]
-        edge_list = path(*ends) if ends[0] != ends[1] else []
-        if not edge_list:
-            return []
-        far = distances(y, x, np.array(edge_list))
-        # several points may lie on one edge, so the common subsequence is counted over points
-        share = lcss((far <= epsilon_m)) / min(len(y), len(edge_list))
-        worst = int(far.min(1).argmax())
-        if (share >= similarity and far.min(1)[worst] <= epsilon_m) or left <= 0 or worst in (0, len(y) - 1) or len(y) < 4:
-            return edge_list
-        return match(y[: worst + 1], x[: worst + 1], left - 1) + match(y[worst:], x[worst:], left - 1)
-
-    def run(pdf):
-        pdf = pdf.sort_values("second")
-        found = match(pdf["lat"].to_numpy(), pdf["lon"].to_numpy(), cuts) if len(lat) and len(pdf) else []
-        found = [k for i, k in enumerate(found) if not i or found[i - 1] != k]
-        return pd.DataFrame({"shape_id": pd.Series([pdf["shape_id"].iloc[0]] * len(found), dtype=object), "seq": np.arange(1, len(found) + 1, dtype=np.int32), "edge_id": ids[found].astype(np.int64) if found else np.empty(0, np.int64)})
-
-    return trace.select("shape_id", "second", "lat", "lon").groupBy("shape_id").applyInPandas(run, "shape_id string, seq int, edge_id long")

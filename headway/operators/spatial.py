@@ -9,7 +9,7 @@ from headway.functions import geo
 from headway.sources.staging import settle
 
 
-def _cells(x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column, cell: float) -> Column:
+def touched_cells(x_lo: Column, x_hi: Column, y_lo: Column, y_hi: Column, cell: float) -> Column:
     """All grid cells that a box touches."""
     span = lambda lo, hi: F.sequence(F.floor(lo / F.lit(cell)), F.floor(hi / F.lit(cell)))
     return F.flatten(F.transform(span(x_lo, x_hi), lambda i: F.transform(span(y_lo, y_hi), lambda j: F.struct(i.alias("i"), j.alias("j")))))
@@ -26,7 +26,7 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell_m: float = 500.0, rou
     found, rest, cell = None, points.filter("x IS NOT NULL AND y IS NOT NULL"), cell_m
     for _ in range(rounds):
         r = F.lit(cell)
-        boxes = edges.withColumn("c", F.explode(_cells(F.least("x1", "x2") - r, F.greatest("x1", "x2") + r, F.least("y1", "y2") - r, F.greatest("y1", "y2") + r, cell)))
+        boxes = edges.withColumn("c", F.explode(touched_cells(F.least("x1", "x2") - r, F.greatest("x1", "x2") + r, F.least("y1", "y2") - r, F.greatest("y1", "y2") + r, cell)))
         here = rest.withColumn("c", F.struct(F.floor(F.col("x") / r).alias("i"), F.floor(F.col("y") / r).alias("j")))
         met = here.join(boxes, "c").withColumn("distance", geo.segment_distance(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
         best = met.groupBy("point_id").agg(F.min(F.struct("distance", "edge_id")).alias("b")).filter(F.col("b.distance") <= r).select("point_id", "b.edge_id", "b.distance")
@@ -47,7 +47,7 @@ def stop_edges(stop_times: DataFrame, stop_to_edge: DataFrame) -> DataFrame:
 def containing(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
     """(point_id, polygon_id) of points (point_id, x, y) inside polygons (polygon_id, ring); a shared border may give two."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    p = polygons.withColumn("c", F.explode(_cells(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), cell)))
+    p = polygons.withColumn("c", F.explode(touched_cells(F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys), cell)))
     here = points.withColumn("c", F.struct(F.floor(F.col("x") / F.lit(cell)).alias("i"), F.floor(F.col("y") / F.lit(cell)).alias("j")))
     return here.join(p, "c").filter(geo.inside(F.col("x"), F.col("y"), F.col("ring"))).select("point_id", "polygon_id").distinct()
 
@@ -56,7 +56,7 @@ def nearest_within(points: DataFrame, polygons: DataFrame, bound: float) -> Data
     """(point_id, polygon_id, distance) of the nearest polygon border not farther than ``bound``; ties to the lowest id."""
     b, cell = F.lit(bound), max(bound * 16, 1e-9)
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    p = polygons.withColumn("c", F.explode(_cells(F.array_min(xs) - b, F.array_max(xs) + b, F.array_min(ys) - b, F.array_max(ys) + b, cell)))
+    p = polygons.withColumn("c", F.explode(touched_cells(F.array_min(xs) - b, F.array_max(xs) + b, F.array_min(ys) - b, F.array_max(ys) + b, cell)))
     here = points.withColumn("c", F.struct(F.floor(F.col("x") / F.lit(cell)).alias("i"), F.floor(F.col("y") / F.lit(cell)).alias("j")))
     met = here.join(p, "c").withColumn("distance", geo.ring_distance(F.col("x"), F.col("y"), F.col("ring"))).filter(F.col("distance") <= b)
     return met.groupBy("point_id").agg(F.min(F.struct("distance", "polygon_id")).alias("b")).select("point_id", "b.polygon_id", "b.distance")

@@ -168,8 +168,8 @@ SELECT shape_id, vehicle, round(soc, 3) AS trip_soc, coalesce(soc > 0, true) AS
     "routed_shapes": f"""{_FASTEST}, {_STEPS}, pl AS (SELECT st.*, stop_lat AS lat, stop_lon AS lon FROM st JOIN stops ON stop_id = 'S' || vertex),
 sg AS (SELECT *, coalesce({_KM("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon")}, 0) AS seg FROM pl WINDOW w AS (PARTITION BY od_key ORDER BY k))
 SELECT od_key AS shape_id, k::INT AS shape_pt_sequence, round(lat, 5) AS lat, round(lon, 5) AS lon, round(sum(seg) OVER (PARTITION BY od_key ORDER BY k), 4) AS km FROM sg""",
-    "match_lcss_paths": f"""{_FASTEST}, {_STEPS}, nx AS (SELECT od_key, k, vertex, lead(vertex) OVER (PARTITION BY od_key ORDER BY k) AS after FROM st)
-SELECT od_key AS shape_id, k::INT AS seq, edge_id FROM nx JOIN roads ON src = vertex AND dst = after""",
+    "match_lcss_paths": f"""{duck("street_edges", "street_lines")}, nx AS (SELECT shape, t, vertex_id, lead(vertex_id) OVER (PARTITION BY shape ORDER BY t) AS after FROM street_lines)
+SELECT 'L' || shape AS shape_id, (t + 1)::INT AS seq, edge_id FROM nx JOIN street_edges ON src = vertex_id AND dst = after""",
     "match_nearest_paths": f"""{duck("stop_times", "stops", "edges")}, {_PTS}, {_NEAR},
 m AS (SELECT shape_id, seq, edge_id, lag(edge_id) OVER (PARTITION BY shape_id ORDER BY seq) AS before FROM pts JOIN nr USING (stop_id))
 SELECT shape_id, row_number() OVER (PARTITION BY shape_id ORDER BY seq)::INT AS seq, edge_id FROM m WHERE before IS NULL OR before <> edge_id""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import energy as en
 from headway.functions import geo
-from headway.operators import deadhead, energy, routing, service, shapes, spatial, thermal
+from headway.operators import deadhead, energy, matching, routing, service, shapes, spatial, thermal
 from headway.sources import files, gtfs
 from headway.sources.staging import settle
 
@@ -154,7 +154,7 @@ class Predictor:
         self.load_network()
         if self.vertices is None or self.edges is None:
             raise RuntimeError("a road network or a matcher is needed")
-        return routing.match_lcss(self.trace(), self.vertices, self.edges)
+        return matching.match_lcss(self.trace(), self.vertices, self.edges)
 
     def _placed_edges(self) -> DataFrame:
         """Edges with the coordinates of their ends (lat1, lon1, lat2, lon2)."""

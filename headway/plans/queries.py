@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
 from headway.functions import energy as en
-from headway.operators import deadhead, energy, routing, service, shapes, spatial, thermal
+from headway.operators import deadhead, energy, matching, routing, service, shapes, spatial, thermal
 from headway.plans import projection as p
 from headway.sources import feeds
 
@@ -300,10 +300,9 @@ def routed_shapes(s, d):
 
 @query
 def match_lcss_paths(s, d):
-    """Traces along the vertices of fastest paths, matched back to the edges of those paths."""
-    v = p.vertices(s, d)
-    trace = routing.path_shapes(_fastest(s, d), v).select("shape_id", F.col("shape_pt_sequence").alias("second"), F.col("shape_pt_lat").alias("lat"), F.col("shape_pt_lon").alias("lon"))
-    return routing.match_lcss(trace, v, p.shared(s, d, "roads"))
+    """Noisy traces with gaps, along lines that are not the fastest ways, matched to the streets of those lines."""
+    trace = p.shared(s, d, "street_traces")
+    return matching.match_lcss(trace, p.shared(s, d, "streets"), p.shared(s, d, "street_edges"))
 
 
 @query

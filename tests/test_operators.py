@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from headway.functions import energy as en
-from headway.operators import deadhead, energy, routing, service, shapes, spatial, thermal
+from headway.operators import deadhead, energy, matching, routing, service, shapes, spatial, thermal
 from pyspark.sql import functions as F
 
 TRIPS = "trip_id string, route_id string, service_id string, block_id string, shape_id string, agency_id string"
@@ -80,11 +80,9 @@ def test_routing_and_matching(spark):
     assert min(r.shape_pt_lat for r in shp) == 40.0  # down to the fast street and up again
     assert shp[0].shape_dist_traveled == 0 and shp[-1].shape_dist_traveled > 0.8
     line = spark.createDataFrame([("s", i, 40.004 + 1e-5, -105 + i * 0.0005) for i in range(21)], "shape_id string, second int, lat double, lon double")
-    path = [r.edge_id for r in routing.match_lcss(line, v, e).orderBy("seq").collect()]
+    path = [r.edge_id for r in matching.match_lcss(line, v, e).orderBy("seq").collect()]
     want = {r.edge_id: (r.src, r.dst) for r in e.collect()}
     assert [want[k] for k in path] == [(12 + j, 13 + j) for j in range(5)]  # the street of the trace, though it is slow
-    with pytest.raises(ValueError):
-        routing.match_lcss(line, v, e, max_edges=3)
     # beyond the checked size the same search runs by joins
     joined = routing.shortest_paths(ods, v, e, max_edges=3).orderBy("shape_pt_sequence").collect()
     assert [(r.shape_id, r.shape_pt_lat, r.shape_pt_lon) for r in joined] == [(r.shape_id, r.shape_pt_lat, r.shape_pt_lon) for r in shp]
