@@ -51,7 +51,7 @@ class Encoder:
     """
 
     #: Words and characters that are remembered; beyond either, all are forgotten.
-    WORDS, CHARS = 300_000, 6_000_000
+    WORDS, CHARS = 600_000, 12_000_000
 
     def __init__(self, model: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
