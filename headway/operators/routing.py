@@ -1,13 +1,13 @@
-"""Shortest paths, and paths from nearest edges.
+"""Shortest paths over tiles of a network, and paths from nearest edges.
 
-Networks of a checked size travel with the tasks and are searched in Arrow-fed pandas functions; fastest paths over
-larger ones are found by rounds of joins.
+No network passes through the driver or travels with the tasks: a task sees the edges of one tile.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,78 +15,97 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions import geo
+from headway.operators import cells, search
 from headway.operators.spatial import nearest_edge
 from headway.sources.staging import forget, settle
 
-MAX_EDGES = 5_000_000
-SHAPE = "shape_id string, shape_pt_sequence int, shape_pt_lat double, shape_pt_lon double, shape_dist_traveled double"
+#: Vertices of a tile of the network.
+TILE_VERTICES = 5_000
 
 
-def _too_large(edges: DataFrame, max_edges: int) -> bool:
-    return edges.limit(max_edges + 1).count() > max_edges
-
+def shortest_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, tile_vertices: int = TILE_VERTICES) -> DataFrame:
+    """Routed shapes (one row per point) of ODs (od_key, o_lat, o_lon, d_lat, d_lon) by least travel time.
 
-def _network(vertices: DataFrame, edges: DataFrame, max_edges: int):
-    """Tables of a road network of checked size: it travels with the tasks."""
-    if _too_large(edges, max_edges):
-        raise ValueError(f"the network has more than {max_edges} edges: restrict it to the box of the shapes first")
-    v = vertices.select("vertex_id", "lat", "lon").toPandas().sort_values("vertex_id")
-    e = edges.select("edge_id", "src", "dst", "miles", "speed_mph").toPandas().sort_values("edge_id")
-    return v, e
+    Ends snap to their nearest vertex.  ODs without a route give no rows; the caller draws a straight line.
+    """
+    return path_shapes(overlay_paths(snapped(ods, vertices), vertices, edges, tile_vertices), vertices)
 
 
-def _km(lat1, lon1, lat2, lon2):
-    p1, p2 = np.radians(lat1), np.radians(lat2)
-    a = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
-    return 2 * 6371.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+def _ways(src: list, dst: list, cost: list, wanted: dict) -> Iterator[tuple]:
+    """(from, to, cost, vertices) for each start of ``wanted`` and those of its targets that the edges of one tile reach."""
+    out = defaultdict(list)
+    for s, d, c in zip(src, dst, cost, strict=True):
+        out[s].append((d, c))
+    for start, targets in wanted.items():
+        best, back, heap, left = {start: 0.0}, {}, [(0.0, start)], set(targets) - {start}
+        while heap and left:
+            t, u = heapq.heappop(heap)
+            if t > best[u]:
+                continue
+            if u in left:
+                left.discard(u)
+                path = [u]
+                while path[-1] != start:
+                    path.append(back[path[-1]])
+                yield start, u, t, path[::-1]
+            for v, c in out.get(u, ()):
+                if t + c < best.get(v, np.inf):
+                    best[v], back[v] = t + c, u
+                    heapq.heappush(heap, (t + c, v))
 
 
-def shortest_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """Routed shapes (one row per point) of ODs (od_key, o_lat, o_lon, d_lat, d_lon) by least travel time.
+def overlay_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, tile_vertices: int = TILE_VERTICES) -> DataFrame:
+    """(od_key, minutes, path) of ODs (od_key, o, d), as ``fastest_paths``, in rounds that grow with the tiles crossed.
 
-    Ends snap to their nearest vertex.  ODs without a route give no rows; the caller draws a straight line.  A network
-    of more than ``max_edges`` edges is searched by rounds of joins instead (``fastest_paths``).
+    Tiles are cells of a quadtree with at most ``tile_vertices`` vertices.  The search goes over their portals: ends of
+    edges between tiles, and the ODs' own vertices.  Ways between portals inside a tile are found a tile at a time, each with its
+    own edges only; the rounds of joins move over these ways and over the edges between tiles, and the ways in use are
+    unfolded at the end.  Of equally fast paths any one may be given.
     """
-    if _too_large(edges, max_edges):
-        return path_shapes(fastest_paths(snapped(ods, vertices), edges), vertices)
-    v, e = _network(vertices, edges, max_edges)
-    lat, lon = v["lat"].to_numpy(), v["lon"].to_numpy()
-    at = {k: i for i, k in enumerate(v["vertex_id"])}
-    out_edges = defaultdict(list)
-    for s, d, m, mph in zip(e["src"], e["dst"], e["miles"], e["speed_mph"], strict=True):
-        out_edges[at[s]].append((at[d], 60 * m / mph))
-    out_edges = dict(out_edges)
-
-    def route(o: int, d: int) -> list[int]:
-        best, back, heap = {o: 0.0}, {}, [(0.0, o)]
-        while heap:
-            t, u = heapq.heappop(heap)
-            if u == d:
-                path = [d]
-                while path[-1] != o:
-                    path.append(back[path[-1]])
-                return path[::-1]
-            if t > best[u]:
-                continue
-            for w, cost in out_edges.get(u, ()):
-                if t + cost < best.get(w, np.inf):
-                    best[w], back[w] = t + cost, u
-                    heapq.heappush(heap, (t + cost, w))
-        return []
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples():
-                ends = [int(np.argmin((lat - y) ** 2 + ((lon - x) * np.cos(np.radians(y))) ** 2)) for y, x in ((r.o_lat, r.o_lon), (r.d_lat, r.d_lon))] if len(lat) else [0, 0]
-                path = route(*ends) if len(lat) and ends[0] != ends[1] else []
-                if path:
-                    y, x = lat[path], lon[path]
-                    km = np.concatenate([[0.0], np.cumsum(_km(y[:-1], x[:-1], y[1:], x[1:]))])
-                    rows += [(r.od_key, i + 1, y[i], x[i], km[i]) for i in range(len(path))]
-            yield pd.DataFrame(rows, columns=["shape_id", "shape_pt_sequence", "shape_pt_lat", "shape_pt_lon", "shape_dist_traveled"])
-
-    return ods.select("od_key", "o_lat", "o_lon", "d_lat", "d_lon").mapInPandas(run, SHAPE)
+    known = vertices.select("vertex_id", F.col("lon").alias("x"), F.col("lat").alias("y")).dropna()
+    tree = settle(cells.leaves(known.select(cells.code(F.col("x"), F.col("y"), cells.box_of(known)).alias("code")), tile_vertices), "tiles")
+    at = cells.placed(known.select("vertex_id", cells.code(F.col("x"), F.col("y"), cells.box_of(known)).alias("code")), tree)
+    tile = settle(at.select("vertex_id", F.concat_ws(":", "depth", "prefix").alias("tile")), "tiles")
+    end = lambda k, name: tile.select(F.col("vertex_id").alias(k), F.col("tile").alias(name))
+    cost = F.try_divide(60 * F.col("miles"), "speed_mph")
+    roads = edges.filter("miles > 0").select("src", "dst", cost.alias("cost")).filter("cost > 0").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    roads = settle(roads.join(end("src", "tile"), "src").join(end("dst", "to_tile"), "dst"), "roads")
+    inner, between = roads.filter("tile = to_tile").select("tile", "src", "dst", "cost"), roads.filter("tile <> to_tile")
+    wanted = settle(ods.filter("o IS NOT NULL AND d IS NOT NULL AND o <> d").select("od_key", F.col("o").cast("long").alias("o"), F.col("d").cast("long").alias("d")), "wanted")
+    entering = between.select(F.col("dst").alias("vertex_id")).union(wanted.select("o")).select("vertex_id", F.lit("in").alias("side"))
+    leaving = between.select(F.col("src").alias("vertex_id")).union(wanted.select("d")).select("vertex_id", F.lit("out").alias("side"))
+    portals = entering.union(leaving).distinct().join(tile, "vertex_id").select(F.col("tile").alias("_tile"), "vertex_id", "side")
+
+    def through(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(e) and len(p):
+            into, outof = (p["vertex_id"][p["side"] == k].tolist() for k in ("in", "out"))
+            rows = [r[:3] for r in _ways(e["src"].tolist(), e["dst"].tolist(), e["cost"].tolist(), dict.fromkeys(into, outof))]
+        return pd.DataFrame(rows, columns=["state", "next", "cost"])
+
+    folded = inner.groupBy("tile").cogroup(portals.groupBy("_tile")).applyInPandas(through, "state long, next long, cost double")
+    moves = settle(folded.union(between.select("src", "dst", "cost")), "moves")
+    starts = wanted.select("o").distinct().select("o", F.col("o").alias("state"), F.lit(0.0).alias("cost"))
+    goals = wanted.select("o", F.col("d").alias("goal"), F.col("d").alias("state")).distinct()
+    best = search.least_costs(starts, moves, goals)
+    found = settle(wanted.join(best.select("o", F.col("state").alias("d"), F.col("cost").alias("minutes")), ["o", "d"]), "found")
+    ways = settle(search.ways_back(found.select(F.col("od_key").alias("key"), "o", F.col("d").alias("state")), best), "ways")
+    hops = ways.select("key", F.posexplode(F.arrays_zip(F.slice("states", 1, F.size("states") - 1).alias("a"), F.slice("states", 2, F.size("states") - 1).alias("b"))).alias("k", "hop"))
+    hops = hops.select("key", "k", "hop.a", "hop.b").join(end("a", "tile"), "a").join(end("b", "to_tile"), "b")
+    used = hops.filter("tile = to_tile").select(F.col("tile").alias("_tile"), "a", "b").distinct()
+
+    def unfolded(e: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(e) and len(u):
+            wanted_of = u.groupby("a")["b"].apply(list).to_dict()
+            rows = [(a, b, path[1:]) for a, b, _, path in _ways(e["src"].tolist(), e["dst"].tolist(), e["cost"].tolist(), wanted_of)]
+        return pd.DataFrame(rows, columns=["a", "b", "more"])
+
+    inside = inner.groupBy("tile").cogroup(used.groupBy("_tile")).applyInPandas(unfolded, "a long, b long, more array<long>")
+    pieces = hops.join(inside, ["a", "b"], "left").select("key", "k", F.coalesce("more", F.array("b")).alias("more"))
+    paths = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("k", "more"))).alias("p"))
+    paths = paths.select(F.col("key").alias("od_key"), F.flatten(F.transform("p", lambda x: x["more"])).alias("_path"))
+    return found.join(paths, "od_key").select("od_key", "minutes", F.concat(F.array("o"), "_path").alias("path"))
 
 
 def snapped(ods: DataFrame, vertices: DataFrame) -> DataFrame:

@@ -170,6 +170,17 @@ sg AS (SELECT *, coalesce({_KM("lag(lat) OVER w", "lag(lon) OVER w", "lat", "lon
 SELECT od_key AS shape_id, k::INT AS shape_pt_sequence, round(lat, 5) AS lat, round(lon, 5) AS lon, round(sum(seg) OVER (PARTITION BY od_key ORDER BY k), 4) AS km FROM sg""",
     "match_lcss_paths": f"""{duck("street_edges", "street_lines")}, nx AS (SELECT shape, t, vertex_id, lead(vertex_id) OVER (PARTITION BY shape ORDER BY t) AS after FROM street_lines)
 SELECT 'L' || shape AS shape_id, (t + 1)::INT AS seq, edge_id FROM nx JOIN street_edges ON src = vertex_id AND dst = after""",
+    "turn_aware_paths": f"""{duck("street_edges", "street_ods").replace("WITH ", "WITH RECURSIVE ", 1)}, h AS (SELECT a.edge_id AS a, b.edge_id AS b, 60 * b.miles / b.speed_mph AS minutes, CASE WHEN b.heading - a.heading >= 180 THEN b.heading - a.heading - 360 WHEN b.heading - a.heading < -180 THEN b.heading - a.heading + 360 ELSE b.heading - a.heading END AS d FROM street_edges a JOIN street_edges b ON b.src = a.dst),
+mv AS (SELECT a, b, minutes + CASE WHEN d = 0 THEN 0 WHEN d = -180 THEN 9.5 WHEN d = 90 THEN 1 ELSE 2.5 END::DOUBLE / 60 AS c FROM h),
+r(o, e, c, p) USING KEY (o, e) AS (SELECT DISTINCT o, edge_id, 60 * miles / speed_mph, edge_id::VARCHAR FROM street_ods JOIN street_edges ON src = o
+UNION SELECT n.o, n.e, n.c, n.p FROM (SELECT r.o, mv.b AS e, min(r.c + mv.c) AS c, arg_min(p || '>' || mv.b, r.c + mv.c) AS p FROM r JOIN mv ON mv.a = r.e GROUP BY 1, 2) n
+LEFT JOIN recurring.r b ON b.o = n.o AND b.e = n.e WHERE b.c IS NULL OR n.c < b.c)
+SELECT od_key, round(min(c), 4) AS minutes, arg_min(p, c) AS edges FROM street_ods JOIN street_edges ON dst = d JOIN r ON r.o = street_ods.o AND e = edge_id WHERE street_ods.o <> d GROUP BY 1""",
+    # energy comes in quarters of a kWh, so the least minutes of each energy spent can be a key
+    "charge_limited_paths": f"""{duck("charge_roads", "charge_ods").replace("WITH ", "WITH RECURSIVE ", 1)}, r(k, v, u, c, p) USING KEY (k, v, u) AS (SELECT od_key, o, 0::BIGINT, 0.0::DOUBLE, o::VARCHAR FROM charge_ods
+UNION SELECT n.k, n.v, n.u, n.c, n.p FROM (SELECT r.k, dst AS v, r.u + (kwh * 4)::BIGINT AS u, min(c + minutes) AS c, arg_min(p || '>' || dst, c + minutes) AS p FROM r JOIN charge_roads ON src = r.v JOIN charge_ods ON od_key = r.k WHERE r.u + kwh * 4 <= charge_kwh * 4 GROUP BY 1, 2, 3) n
+LEFT JOIN recurring.r b ON b.k = n.k AND b.v = n.v AND b.u = n.u WHERE b.c IS NULL OR n.c < b.c)
+SELECT od_key, round(min(c), 4) AS minutes, arg_min(u, c) / 4.0::DOUBLE AS kwh, arg_min(p, c) AS path FROM charge_ods JOIN r ON k = od_key AND v = d WHERE o <> d GROUP BY 1""",
     "match_nearest_paths": f"""{duck("stop_times", "stops", "edges")}, {_PTS}, {_NEAR},
 m AS (SELECT shape_id, seq, edge_id, lag(edge_id) OVER (PARTITION BY shape_id ORDER BY seq) AS before FROM pts JOIN nr USING (stop_id))
 SELECT shape_id, row_number() OVER (PARTITION BY shape_id ORDER BY seq)::INT AS seq, edge_id FROM m WHERE before IS NULL OR before <> edge_id""",

@@ -34,18 +34,22 @@ RATES = """SELECT concat('M', r_regionkey % 2) AS vehicle, 1e1 + n_nationkey * 3
 STREETS = """SELECT k AS vertex_id, w, CAST(floor(k / w) AS BIGINT) AS row_no, k % w AS col_no,
   40.3e0 + floor(k / w) * 0.002e0 + ((k * 37) % 11 - 5) * 3e-5 AS lat, -111.9e0 + (k % w) * 0.0026e0 + ((k * 53) % 13 - 6) * 4e-5 AS lon
   FROM (SELECT s_suppkey - lo AS k, w FROM {supplier}, (SELECT min(s_suppkey) AS lo, CAST(floor(sqrt(CAST(count(*) AS DOUBLE))) AS BIGINT) AS w FROM {supplier}) AS m) AS t WHERE k < w * w"""
-STREET_EDGES = f"""SELECT a.vertex_id * 4 + q AS edge_id, a.vertex_id AS src, b.vertex_id AS dst, 15e0 + (a.vertex_id * 7 + q * 3) % 31 AS speed_mph,
+STREET_EDGES = f"""SELECT a.vertex_id * 4 + q AS edge_id, a.vertex_id AS src, b.vertex_id AS dst, 15e0 + (a.vertex_id * 7 + q * 3) % 31 AS speed_mph, (450e0 - q * 90e0) % 360e0 AS heading,
   sqrt((b.lat - a.lat) * 69e0 * ((b.lat - a.lat) * 69e0) + (b.lon - a.lon) * 52.7e0 * ((b.lon - a.lon) * 52.7e0)) AS miles
   FROM ({STREETS}) AS a, (VALUES (0, 0, 1), (1, 1, 0), (2, 0, -1), (3, -1, 0)) AS d(q, dr, dc), ({STREETS}) AS b WHERE b.row_no = a.row_no + dr AND b.col_no = a.col_no + dc"""
 STREET_LINES = f"""SELECT shape, t, w, (floor(shape / 2) % 2 + t - easts) * w + shape % 2 + easts AS vertex_id
   FROM (SELECT s.vertex_id AS shape, u.vertex_id AS t, s.w AS w, CAST(sum(CASE WHEN u.vertex_id > 0 AND (s.vertex_id * 31 + u.vertex_id * u.vertex_id * 17 + u.vertex_id * 7) % 5 < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY s.vertex_id ORDER BY u.vertex_id) AS BIGINT) AS easts
   FROM ({STREETS}) AS s, ({STREETS}) AS u WHERE u.row_no = 0 AND u.vertex_id <= s.w - 2) AS steps"""
+STREET_ODS = f"SELECT concat('K', vertex_id) AS od_key, vertex_id AS o, w * w - 1 - vertex_id AS d FROM ({STREETS}) AS v WHERE row_no = 0"
+#: Roads with minutes and energy, and the charge that buses between the ends have.
+CHARGE_ROADS = f"SELECT edge_id, src, dst, 60e0 * miles / speed_mph AS minutes, (1 + (src * 31 + edge_id * 17) % 9) / 4e0 AS kwh FROM ({ROADS}) AS r"
+CHARGE_ODS = f"SELECT od_key, o, d, (24 + 4 * (o % 7)) / 4e0 AS charge_kwh FROM ({ODS}) AS p"
 #: Up to four fixes a street, each up to some 10 metres off in both directions; every fourth street has only the one at its start.
 STREET_TRACES = f"""SELECT concat('L', shape) AS shape_id, CAST(t * 4 + q AS INT) AS second,
   lat + coalesce(lat1 - lat, 0e0) * q / 4e0 + ((shape * 13 + t * 29 + q * 7) % 21 - 10) * 9e-6 AS lat, lon + coalesce(lon1 - lon, 0e0) * q / 4e0 + ((shape * 17 + t * 23 + q * 11) % 21 - 10) * 1.2e-5 AS lon
   FROM (SELECT l.shape, l.t, v.lat, v.lon, lead(v.lat) OVER (PARTITION BY l.shape ORDER BY l.t) AS lat1, lead(v.lon) OVER (PARTITION BY l.shape ORDER BY l.t) AS lon1
     FROM ({STREET_LINES}) AS l JOIN ({STREETS}) AS v ON v.vertex_id = l.vertex_id) AS ends, (VALUES (0), (1), (2), (3)) AS f(q) WHERE q = 0 OR lat1 IS NOT NULL AND (shape + t) % 4 > 0"""
-SHARED = {"streets": STREETS, "street_edges": STREET_EDGES, "street_lines": STREET_LINES, "street_traces": STREET_TRACES, "roads": ROADS, "ods": ODS, "rates": RATES, "stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
+SHARED = {"street_ods": STREET_ODS, "charge_roads": CHARGE_ROADS, "charge_ods": CHARGE_ODS, "streets": STREETS, "street_edges": STREET_EDGES, "street_lines": STREET_LINES, "street_traces": STREET_TRACES, "roads": ROADS, "ods": ODS, "rates": RATES, "stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
 TABLES = ("supplier", "events", "nation", "part", "lineitem", "customer", "orders", "region")
 
 #: Boxes of the invented counties: id, lower left and upper right corner.

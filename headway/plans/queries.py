@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
 from headway.functions import energy as en
-from headway.operators import deadhead, energy, matching, routing, service, shapes, spatial, thermal
+from headway.operators import deadhead, energy, matching, routing, search, service, shapes, spatial, thermal
 from headway.plans import projection as p
 from headway.sources import feeds
 
@@ -305,6 +305,20 @@ def match_lcss_paths(s, d):
     return matching.match_lcss(trace, p.shared(s, d, "streets"), p.shared(s, d, "street_edges"))
 
 
+@query
+def turn_aware_paths(s, d):
+    """Fastest ways where a turn costs its delay, so that they differ from the fastest ways without."""
+    r = search.paths_with_turns(p.shared(s, d, "street_ods"), p.shared(s, d, "street_edges"))
+    return r.select("od_key", _r("minutes", 4).alias("minutes"), F.array_join(F.col("edges").cast("array<string>"), ">").alias("edges"))
+
+
+@query
+def charge_limited_paths(s, d):
+    """Fastest ways that each bus's own charge lasts for."""
+    r = search.charge_limited_paths(p.shared(s, d, "charge_ods"), p.shared(s, d, "charge_roads"))
+    return r.select("od_key", _r("minutes", 4).alias("minutes"), "kwh", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
 @query
 def match_nearest_paths(s, d):
     trace = p.points(s, d).select("shape_id", F.col("shape_pt_sequence").alias("second"), F.col("stop_id").alias("point_id"))

@@ -83,8 +83,8 @@ def test_routing_and_matching(spark):
     path = [r.edge_id for r in matching.match_lcss(line, v, e).orderBy("seq").collect()]
     want = {r.edge_id: (r.src, r.dst) for r in e.collect()}
     assert [want[k] for k in path] == [(12 + j, 13 + j) for j in range(5)]  # the street of the trace, though it is slow
-    # beyond the checked size the same search runs by joins
-    joined = routing.shortest_paths(ods, v, e, max_edges=3).orderBy("shape_pt_sequence").collect()
+    # the same over tiles of three vertices
+    joined = routing.shortest_paths(ods, v, e, tile_vertices=3).orderBy("shape_pt_sequence").collect()
     assert [(r.shape_id, r.shape_pt_lat, r.shape_pt_lon) for r in joined] == [(r.shape_id, r.shape_pt_lat, r.shape_pt_lon) for r in shp]
     assert joined[-1].shape_dist_traveled == pytest.approx(shp[-1].shape_dist_traveled)
 
