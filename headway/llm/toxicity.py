@@ -2,13 +2,15 @@
 
 A word is the mean of the vectors of its character 3- to 5-grams and of itself, hashed into ``buckets``; a stretch of
 words is the mean of its words; a linear softmax over two classes gives the stretch's score, and a text scores as its
-worst stretch, so that a short passage in a long text is not averaged away.  Misspelt words that were never seen
+worst stretch, so that a short passage in a long text is not averaged away.  A stretch begins at every word, so what
+stands before or behind a phrase does not change the phrase's score.  Misspelt words that were never seen
 share most of their n-grams with seen ones.
 
-Training uses a bounded sample of labelled rows: in each epoch every text is given by the stretch that the model so
-far holds for its worst, and embeddings and softmax are fitted to those together.  Scoring reads every whole text in
-one pass without a shuffle: the words of an Arrow batch are told apart once, each distinct word is looked up once,
-and stretches are sums over arrays.
+Training uses a bounded sample of labelled rows.  It starts from what each n-gram is worth by its share of toxic and of other
+texts; in each epoch a toxic text is given by one of the few stretches that the model so far holds for its worst, any other text by the
+worst, and embeddings and softmax are fitted to those together.  So all toxic words of a text are learnt, not only the one that is
+found first.  Scoring reads every whole text in one pass without a shuffle: the words of an Arrow batch are told apart
+once, each distinct word is looked up once, and stretches are sums over arrays.
 """
 
 from __future__ import annotations
@@ -27,11 +29,9 @@ from headway.llm.common import released, slices
 #: Fixed value: what separates words; letters and digits make them.
 _BREAK = r"[^\pL\pN]+"
 BUCKETS = 1 << 17
-#: Words by which a stretch moves on; a stretch holds twice as many, which is about a phrase.
-STRIDE = 2
-#: Shorter stretches are averaged as if filled up to this many words that say nothing.
-LEAST_WORDS = 4
-#: Training takes texts of more characters by their words, each once, which is all that it looks at.
+#: Words of a stretch, about a phrase; a stretch begins at every word.  Shorter texts count as if filled up with words that say nothing.
+STRETCH = 2
+#: Training takes texts of more characters by their words, each where it first stands.
 LONG_TEXT = 2_000
 GRAMS = (3, 4, 5)
 # Odd multipliers of the characters in an n-gram, and of those in a word.
@@ -49,17 +49,13 @@ class Words:
 
 
 def words(texts: pa.Array) -> Words:
-    """The lower-cased words of texts, each where it first stands in its text: a word that is repeated a thousand times
-    says no more than once.  Null has none."""
+    """The lower-cased words of texts in their places.  Null has none."""
     parts = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), _BREAK)
     flat = pc.list_flatten(parts)
     real = pc.not_equal(flat, "")  # a text that begins or ends with a mark has an empty piece there
     owner = pc.list_parent_indices(parts).filter(real).to_numpy()
     coded = flat.filter(real).dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64)
-    first = np.unique((owner.astype(np.int64) << 32) | codes, return_index=True)[1]
-    first.sort()
-    return Words(coded.dictionary, codes[first], np.bincount(owner[first], minlength=len(texts)))
+    return Words(coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.bincount(owner, minlength=len(texts)))
 
 
 def _gathered(texts: list[str | None], step: int = 256) -> Words:
@@ -115,38 +111,42 @@ class Model:
         return self.embeddings @ (self.weights[:, 1] - self.weights[:, 0]), float(self.bias[1] - self.bias[0])
 
 
-def _stretches(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, words in it, first block, text) of each stretch; a text of up to two blocks of words is one."""
-    blocks = -(-lengths // STRIDE)
-    n = np.maximum(blocks - 1, np.minimum(blocks, 1))
-    text = np.repeat(np.arange(len(lengths)), n)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    first = (np.cumsum(lengths) - lengths)[text] + k * STRIDE
-    size = np.minimum(lengths[text] - k * STRIDE, 2 * STRIDE)
-    return first, size, (np.cumsum(blocks) - blocks)[text] + k, text
+def _stretches(w: Words, each: np.ndarray) -> np.ndarray:
+    """Mean contribution of the stretch that begins at each word; ``each``: contribution of a distinct word.
 
-
-def _worst(w: Words, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(largest mean contribution, its first word, its number of words) of each text; ``each``: contribution of a distinct word.
-
-    Sums run over one block of one text at a time, so equal texts get equal values whatever lies beside them.
+    A stretch is a sum of its own words alone, so equal texts get equal values whatever lies beside them.  Later starts than a
+    text's last whole stretch are parts of it and get minus infinity.
     """
-    top, at, many = np.zeros(len(w.lengths)), np.zeros(len(w.lengths), np.int64), np.zeros(len(w.lengths), np.int64)
-    if not len(w.codes):
-        return top, at, many
-    first, size, block, text = _stretches(w.lengths)
-    blocks = -(-w.lengths // STRIDE)
-    owner = np.repeat(np.arange(len(blocks)), blocks)
-    starts = (np.cumsum(w.lengths) - w.lengths)[owner] + (np.arange(len(owner)) - (np.cumsum(blocks) - blocks)[owner]) * STRIDE
-    sums = np.append(np.add.reduceat(each[w.codes], starts), 0.0)
-    mean = (sums[block] + np.where(size > STRIDE, sums[block + 1], 0.0)) / np.maximum(size, LEAST_WORDS)
-    heads = np.flatnonzero(np.diff(text, prepend=-1))
-    have = text[heads]
-    best = np.maximum.reduceat(mean, heads)
-    pick = np.flatnonzero(mean == np.repeat(best, np.diff(np.append(heads, len(text)))))
-    pick = pick[np.diff(text[pick], prepend=-1) != 0]  # the first of several
-    top[have], at[have], many[have] = best, first[pick], size[pick]
-    return top, at, many
+    n = w.lengths
+    value = each[w.codes]
+    left = np.repeat(np.cumsum(n), n) - np.arange(len(value))  # words from here to the end of the text
+    mean = value.copy()
+    for k in range(1, STRETCH):
+        mean[:-k] += np.where(left[:-k] > k, value[k:], 0.0)
+    mean /= STRETCH
+    mean[(left < STRETCH) & (left < np.repeat(n, n))] = -np.inf
+    return mean
+
+
+def _worst(w: Words, each: np.ndarray) -> np.ndarray:
+    """The largest mean contribution of a stretch of each text, 0 without words."""
+    top, have = np.zeros(len(w.lengths)), np.flatnonzero(w.lengths)
+    if len(have):
+        top[have] = np.maximum.reduceat(_stretches(w, each), (np.cumsum(w.lengths) - w.lengths)[have])
+    return top
+
+
+def _picked(w: Words, each: np.ndarray, most: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, words) of one stretch of each text, by chance among its ``most`` worst ones."""
+    mean, heads = _stretches(w, each), np.cumsum(w.lengths) - w.lengths
+    text = np.repeat(np.arange(len(w.lengths)), w.lengths)
+    order = np.lexsort((-mean, text))
+    starts = np.maximum(w.lengths - STRETCH + 1, np.minimum(w.lengths, 1))
+    rank = np.minimum((rng.random(len(starts)) * most).astype(np.int64), np.maximum(starts - 1, 0))
+    first = np.zeros(len(starts), np.int64)
+    have = w.lengths > 0
+    first[have] = order[(heads + rank)[have]]
+    return first, np.minimum(w.lengths, STRETCH)
 
 
 class Scorer:
@@ -160,12 +160,15 @@ class Scorer:
         piece, of = subwords(w.distinct, len(self.each))
         heads = np.flatnonzero(np.diff(of, prepend=-1))
         each = np.add.reduceat(self.each[piece], heads) / np.diff(np.append(heads, len(of))) if len(of) else np.empty(0)
-        z = self.bias + _worst(w, each)[0]
+        z = self.bias + _worst(w, each)
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int = 4, epochs: int = 14, batch: int = 128, rate: float = 0.5, decay: float = 1e-7, floor: float = 1e-4, positive: float = 2.0, least_share: float = 1 / 300, seed: int = 7) -> Model:
-    """Joint training of embeddings and softmax by Adam on shuffled batches; the same data give the same model."""
+def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int = 4, epochs: int = 14, batch: int = 128, rate: float = 0.5, decay: float = 1e-7, floor: float = 1e-4, positive: float = 1.0, least_share: float = 1 / 300, prior: float = 1.0, worst: int = 4, seed: int = 7) -> Model:
+    """Joint training of embeddings and softmax by Adam on shuffled batches; the same data give the same model.
+
+    ``prior`` weighs what pieces are worth at first; ``worst`` is the number of stretches of a toxic text that one is drawn from.
+    """
     rng = np.random.default_rng(seed)
     emb = np.zeros((buckets, dim), np.float32)  # what was never seen says nothing
     soft = rng.normal(0, 0.5, (dim, 2)).astype(np.float32)
@@ -179,6 +182,14 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int
     keep = common[piece] if len(of) else np.empty(0, bool)
     piece, of, weight = piece[keep], of[keep], weight[keep]
     ends = np.searchsorted(of, np.arange(len(w.distinct) + 1))
+    # What a piece is worth at first: its share of the words of toxic texts against that of the others.
+    toxic = np.repeat(y, w.lengths)
+    counts = [np.bincount(piece, np.bincount(w.codes[toxic == k], minlength=len(w.distinct))[of], buckets) for k in (0, 1)]
+    shares = [(c + 1) / max(c.sum(), 1) for c in counts]
+    odds = np.where(common, np.log(shares[1] / shares[0]), 0.0)
+    soft[:, 1] = np.abs(soft[:, 1])
+    soft[:, 0] = -soft[:, 1]
+    emb[:] = (odds[:, None] * prior / (2 * soft[:, 1] * dim)).astype(np.float32)
     params = [emb, soft, bias]
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     n = len(y)
@@ -188,7 +199,7 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int
         step = rate * (1 - epoch / epochs)
         value = emb @ (soft[:, 1] - soft[:, 0])
         each = np.bincount(of, value[piece] * weight, len(w.distinct)) if len(of) else np.zeros(len(w.distinct))
-        _, first, size = _worst(w, each)
+        first, size = _picked(w, each, np.where(y == 1, worst, 1), rng)
         order = rng.permutation(n)
         for k in range(0, n, batch):
             idx = order[k : k + batch]
@@ -197,7 +208,7 @@ def fit(texts: list[str], labels: list[int], *, buckets: int = BUCKETS, dim: int
             many = ends[code + 1] - ends[code]
             p_at = np.repeat(ends[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             rows, where = np.repeat(rows, many), piece[p_at]
-            val = weight[p_at] / np.maximum(size[idx], LEAST_WORDS)[rows]
+            val = weight[p_at] / STRETCH
             x = np.stack([np.bincount(rows, emb[where, d] * val, len(idx)) for d in range(dim)], 1)
             z = x @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
@@ -235,7 +246,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, m
         for b in (part for whole in batches for part in slices(whole, 3)):
             w = words(b.column(3))
             distinct, ends = w.distinct.to_pylist(), np.cumsum(w.lengths)
-            cut = [t if t is None or len(t) <= LONG_TEXT else " ".join(distinct[c] for c in w.codes[z - n : z]) for t, z, n in zip(b.column(3).to_pylist(), ends, w.lengths, strict=True)]
+            cut = [t if t is None or len(t) <= LONG_TEXT else " ".join(distinct[c] for c in dict.fromkeys(w.codes[z - n : z].tolist())) for t, z, n in zip(b.column(3).to_pylist(), ends, w.lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cut, pa.string())], names=b.schema.names)
 
     texts = texts.mapInArrow(released(short), texts.schema)
