@@ -93,7 +93,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` without leaks; rows without a doc_id cannot be named by a leak and stay."""
+    """The rows of ``docs`` without leaks, with all their columns, whatever these are called; rows without a doc_id
+    cannot be named by a leak and stay."""
     # stored, so that Spark knows how few they are before it decides how to join
-    found = store(leaks(docs, benchmark, **params).select("doc_id").distinct(), "decontam-leaks")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    found = store(leaks(docs, benchmark, **params).select(F.col("doc_id").alias("_doc")).distinct(), "decontam-leaks")
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
+    return wrapped.join(found, "_doc", "left_anti").select("_row.*")

@@ -140,11 +140,13 @@ def mix(docs: DataFrame, *, budget: float = 1.5, weights=WEIGHTS, max_epochs: fl
 
 
 def mixed_rows(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` as often as the mix begins them, with all their columns; a row it never begins is left out.
+    """The rows of ``docs`` as often as the mix begins them, with all their columns, whatever these are called; a row it
+    never begins is left out.
 
     Rows that share a doc_id are repeated alike, as often as the most frequent of them.
     """
     taken = mix(docs, **params)[0].groupBy("doc_id").agg(F.max("begun").alias("_begun")).filter("_begun > 0").withColumnRenamed("doc_id", "_id")
     taken = store(taken, "mix-taken")
-    met = docs.join(taken, _same("doc_id", "_id"))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_begun").cast("int")))).select(*docs.columns)
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_doc"))
+    met = wrapped.join(taken, _same("_doc", "_id"))
+    return met.select("_row", F.explode(F.sequence(F.lit(1), F.col("_begun").cast("int"))).alias("_copy")).select("_row.*")

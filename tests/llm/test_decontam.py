@@ -102,3 +102,12 @@ def test_all_that_agrees_in_three_quarters_is_found(spark, make_docs):
         docs.append((i, " ".join([f"d{k}" for k in range(i % 50)] + v + ["end"] * (i % 7))))
     got = {(r.doc_id, r.item_id) for r in decontam.leaks(make_docs(docs), spark.createDataFrame(items, ITEM)).collect()}
     assert got == want and 40 < len(want) < 120
+
+
+def test_columns_of_any_name_are_kept(spark, make_docs):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    df = make_docs([(1, "clean text"), (2, "so " + item), (None, item)]).selectExpr("*", "doc_id * 2 as _doc", "doc_id * 3 as `a.b`", "doc_id * 5 as _row", "7 as item_id")
+    out = decontam.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    rows = out.collect()
+    assert out.columns == df.columns and sorted(str(r.doc_id) for r in rows) == ["1", "None"]
+    assert all(r.doc_id is None or (r._doc, r["a.b"], r._row, r.item_id) == (2, 3, 5, 7) for r in rows)

@@ -61,3 +61,11 @@ def test_small_sources_of_skewed_tables_reach_their_targets(spark, make_docs):
     t = mixing.blocked(many, 662)
     plays = mixing.schedule(t, t.agg({"slots": "sum"}).first()[0]).groupBy("source").agg({"cut": "sum"}).collect()
     assert dict(plays) == {r.source: int(r.target) for r in many.collect()}
+
+
+def test_columns_of_any_name_are_kept(spark, make_docs):
+    df = make_docs([(i, "a b c " * (i + 1), f"s{i % 2}") for i in range(12)]).selectExpr("*", "doc_id * 2 as _begun", "doc_id * 3 as _id", "doc_id * 5 as _copy", "doc_id * 7 as `a.b`", "doc_id * 11 as _row")
+    out = mixing.mixed_rows(df)
+    rows = out.collect()
+    assert out.columns == df.columns and rows
+    assert all(r._begun == 2 * r.doc_id and r._id == 3 * r.doc_id and r._copy == 5 * r.doc_id and r["a.b"] == 7 * r.doc_id and r._row == 11 * r.doc_id for r in rows)
