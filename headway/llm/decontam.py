@@ -4,7 +4,8 @@ Texts become lower-case words of letters and digits.  Each mask takes some posit
 the others, so a window still hits when ignored words were substituted; wherever ``share`` of the words agree, one does.  Benchmark windows are hashed under every
 mask; training windows are hashed alike and joined with them.  At each hit the two texts are laid side by side and
 the words that agree are counted over each ``window`` words of the item around it (the whole item if it is shorter);
-an item leaks when at least ``share`` of them agree somewhere.  The work is linear in the training text: its windows are never
+an item leaks when at least ``share`` of them agree somewhere.  The work is linear in the training text: a first pass asks which
+documents have a hit at all, over windows that carry nothing but their hash, and a second one looks at those documents.  Windows are never
 grouped or shuffled, only the few that hit a benchmark hash go on.
 """
 
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import store
+from headway.llm.common import may_be_among, store
 
 #: 1: the word counts, 0: it is ignored.
 #: The set is complete: if at least 75 % of the 9 to 24 words of a window agree, one of the masks fits somewhere into those that do.
@@ -70,8 +71,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
     fits = n_seeds * (longest + 16) * 8 <= BROADCAST_BYTES
     at_hand = F.broadcast if fits else (lambda df: df)
 
-    w = _windows(docs.select("doc_id", words(F.col("text")).alias("dw")), masks | own, ["doc_id"], "dw", "dp")
-    met = w.join(at_hand(seeds.select(F.col("seed").alias("s")).distinct()), F.col("seed") == F.col("s"), "left_semi")
+    # First only which documents have a hit, as windows that carry no text; few have, and only these are laid beside the items.
+    known = store(seeds.select(F.col("seed").alias("s")).distinct(), "decontam-known")
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("_k"))
+    w = _windows(keyed.select("_k", words(F.col("text")).alias("dw")), masks | own, ["_k"], "dw", "dp").select("_k", "seed")
+    hit = store(w.join(at_hand(known), F.col("seed") == F.col("s"), "left_semi").select("_k").distinct(), "decontam-hit")
+    some = may_be_among(keyed, "_k", hit, "_k")
+    w = _windows(some.select("doc_id", words(F.col("text")).alias("dw")), masks | own, ["doc_id"], "dw", "dp")
+    met = w.join(at_hand(known), F.col("seed") == F.col("s"), "left_semi")
     # What is compared lies within ``window`` words of the hit; the rest of a long text is dropped here.
     low = F.greatest(F.col("dp") - window, F.lit(0))
     met = met.select("doc_id", "seed", "dp", low.alias("low"), F.slice("dw", low + 1, F.lit(2 * window + span)).alias("near"))
@@ -82,6 +89,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, window: int = 24, share: flo
     met = met.withColumn("compared", size).withColumn("from", low_i).withColumn("upto", high_i).withColumn("shift", F.col("dp") - F.col("ip"))
     same = lambda i: F.coalesce(F.when(F.col("shift") + i >= 0, F.get("near", F.greatest(F.col("shift") + i - F.col("low"), F.lit(0)))) == F.get("iw", i), F.lit(False))
     met = met.withColumn("bits", F.aggregate(F.sequence("from", F.col("upto") - 1), F.lit(0).cast("long"), lambda acc, i: acc * 2 + same(i).cast("long")))
+    # written down: the filter below would otherwise be pushed down and count the bits dozens of times
+    met = store(met.select("doc_id", "item_id", "compared", "from", "upto", "shift", "bits"), "decontam-bits")
     # Of the windows of an item the one with the most words that agree, then the first.
     last = F.col("upto") - F.col("from") - F.col("compared")
     counts = [F.when(last >= k, F.expr(f"bit_count(shiftright(bits, upto - from - compared - {k}) & (shiftleft(1L, compared) - 1)) * 64 + 63 - {k}")) for k in range(window)]
