@@ -127,3 +127,13 @@ def ring_distance(x: Column, y: Column, ring: Column) -> Column:
     n = F.size(ring)
     each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: segment_distance(x, y, F.get(ring, i)["x"], F.get(ring, i)["y"], F.get(ring, F.pmod(i + 1, n))["x"], F.get(ring, F.pmod(i + 1, n))["y"]))
     return F.array_min(each)
+
+
+def inside_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd rule over all rings of a polygon: outer ones, holes, islands in holes."""
+    return F.pmod(F.size(F.filter(rings, lambda r: inside(x, y, r))), F.lit(2)) == 1
+
+
+def rings_distance(x: Column, y: Column, rings: Column) -> Column:
+    """Planar distance of a point from the nearest of several boundaries."""
+    return F.array_min(F.transform(rings, lambda r: ring_distance(x, y, r)))

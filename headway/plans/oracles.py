@@ -140,7 +140,7 @@ SELECT shape_id, count(*) AS n_points, max(second) AS last_second, round(avg(lat
     "trip_point_timestamps": f"{duck('stop_times', 'stops')}, {_TIMED} SELECT shape_id AS trip_id, seq, t AS timestamp_s, (near % 86400 // 3600)::INT AS hour, (near % 3600 // 60)::INT AS minute FROM tt",
     "link_aggregation": f"""{duck("stop_times", "stops")}, {_TIMED} SELECT shape_id AS trip_id, stop_id AS road_id, round(arg_min(lat, seq), 5) AS start_lat, round(arg_max(lon, seq), 5) AS end_lon, arg_min(t, seq) AS start_timestamp_s, arg_max(t, seq) AS end_timestamp_s,
 round(avg(seg), 4) AS kilometers, round(avg(seg / 30 * 3600) / 60, 3) AS travel_time_minutes FROM tt GROUP BY 1, 2""",
-    "stop_nearest_edge": f"{duck('stops', 'edges')}, {_NEAR} SELECT stop_id, round(dist, 2) AS distance FROM nr",
+    "stop_nearest_edge": f"{duck('stops', 'edges')}, {_NEAR} SELECT stop_id, edge_id, round(dist, 2) AS distance FROM nr",
     "trip_stop_edges": f"{duck('stops', 'edges', 'stop_times')}, {_NEAR} SELECT DISTINCT trip_id, edge_id FROM stop_times JOIN nr USING (stop_id)",
     "stop_flags": f"""{duck("stop_times", "stops")}, {_PTS}, m AS (SELECT shape_id, seq AS sid, lat + 1e-4 AS slat, lon AS slon FROM pts),
 pr AS (SELECT m.shape_id, sid, seq, (slat - lat) * (slat - lat) + (slon - lon) * (slon - lon) AS d FROM m JOIN pts USING (shape_id)),
@@ -149,7 +149,7 @@ SELECT p.shape_id AS trip_id, p.seq AS coordinate_id, (h.seq IS NOT NULL)::INT A
     "county_snap_3km": f"{duck('stops')}, {_SNAP} SELECT county_id FROM inner_stops UNION SELECT county_id FROM snapped WHERE dist <= 3000",
     "county_intersect": f"{duck('stops')} {_INSIDE}",
     "bounding_box": f"{duck('stop_times', 'stops')}, {_PTS} SELECT round(min(lon) - 0.05, 6) AS min_lon, round(min(lat) - 0.05, 6) AS min_lat, round(max(lon) + 0.05, 6) AS max_lon, round(max(lat) + 0.05, 6) AS max_lat FROM pts",
-    "power_curve": f"WITH g AS (SELECT i AS tenths, i / 10.0::DOUBLE AS x FROM range(-1000, 1001) t(i)) SELECT tenths, round({_POWER}, 6) AS power_kw FROM g",
+    "power_curve": f"{duck('weather')}, k AS (SELECT round_even(temp_c * 10, 0)::BIGINT AS tenths, count(*) AS n FROM weather GROUP BY 1), g AS (SELECT tenths, n, tenths / 10.0::DOUBLE AS x FROM k WHERE tenths BETWEEN -1000 AND 1000) SELECT tenths, n, round({_POWER}, 6) AS power_kw FROM g",
     "extreme_days": f"{duck('weather')}, {_DAYS} SELECT county, scenario, day::BIGINT AS day FROM ext",
     "hourly_power_by_scenario": f"{duck('weather')}, {_HOURLY} SELECT scenario, hour::BIGINT AS hour, round(kw, 5) AS power_kw FROM hp",
     "hvac_energy_by_trip": f"{duck('weather', 'stop_times')}, {_HVAC} SELECT trip_id, scenario, round(kwh, 4) AS hvac_energy_kwh FROM iv",

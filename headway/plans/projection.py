@@ -29,7 +29,7 @@ ROADS = """SELECT s_suppkey * 4 + k AS edge_id, s_suppkey AS src,
   FROM {supplier}, (SELECT min(s_suppkey) AS lo, count(*) AS n FROM {supplier}) AS r, (VALUES (0, 1), (1, 7), (2, -1), (3, -5)) AS w(k, step)"""
 ODS = "SELECT concat('N', s_nationkey) AS od_key, min(s_suppkey) AS o, max(s_suppkey) AS d FROM {supplier} GROUP BY s_nationkey HAVING min(s_suppkey) <> max(s_suppkey)"
 RATES = """SELECT concat('M', r_regionkey % 2) AS vehicle, 1e1 + n_nationkey * 3e0 AS speed_from, (r_regionkey - 3) / 50e0 AS grade_from,
-  1e0 / 3 + n_nationkey / 70e0 + r_regionkey / 9e0 AS rate FROM {nation}, {region}"""
+  1e0 / 3 + sqrt(n_nationkey + 2e0) / 11e0 + sqrt(r_regionkey + 3e0) / 7e0 AS rate FROM {nation}, {region}"""
 #: A jittered grid of streets with a vertex for each supplier, two-way streets between neighbours, and bus lines that climb it in stairs.
 STREETS = """SELECT k AS vertex_id, w, CAST(floor(k / w) AS BIGINT) AS row_no, k % w AS col_no,
   40.3e0 + floor(k / w) * 0.002e0 + ((k * 37) % 11 - 5) * 3e-5 AS lat, -111.9e0 + (k % w) * 0.0026e0 + ((k * 53) % 13 - 6) * 4e-5 AS lon

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from headway.functions import clock, geo
 from headway.functions import energy as en
 from headway.operators import deadhead, energy, matching, routing, search, service, shapes, spatial, thermal
 from headway.plans import projection as p
-from headway.sources import feeds
+from headway.sources import feeds, staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _r = lambda c, n: F.round(c, n)
@@ -183,7 +183,7 @@ def _near(s, d):
 
 @query
 def stop_nearest_edge(s, d):
-    return _near(s, d).select(F.col("point_id").alias("stop_id"), _r("distance", 2).alias("distance"))
+    return _near(s, d).select(F.col("point_id").alias("stop_id"), "edge_id", _r("distance", 2).alias("distance"))
 
 
 @query
@@ -219,7 +219,9 @@ def bounding_box(s, d):
 
 @query
 def power_curve(s, d):
-    return thermal.power_table(s).select("tenths", _r("power_kw", 6).alias("power_kw"))
+    """Power at every temperature that was measured, to a tenth of a degree, and how often it was."""
+    seen = p.shared(s, d, "weather").groupBy(F.bround(F.col("temp_c") * 10).cast("long").alias("tenths")).agg(F.count("*").alias("n"))
+    return thermal.power_table(s).join(seen, "tenths").select("tenths", "n", _r("power_kw", 6).alias("power_kw"))
 
 
 @query
@@ -399,16 +401,11 @@ def realtime_vehicle_filter(s, d):
     """Batch of available files through the streaming plan: entities with a vehicle, appended by date, read back."""
     from headway.streaming import positions
 
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="headway-")
-    work = f"{base.rstrip('/')}/positions-{F.__name__}-{s.sparkContext.applicationId}-{id(d)}-{abs(hash((d, _tick())))}"
+    work = f"{staging.shared_dir(s)}/positions-{uuid.uuid4().hex}"
     src = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").cast("string").alias("id"), F.when(F.col("event_type") != "error", F.struct(F.struct(F.concat(F.lit("T"), "user_id").alias("tripId"), F.lit("R").alias("routeId")).alias("trip"), F.struct(F.concat(F.lit("V"), "user_id").alias("id")).alias("vehicle"), F.struct((40 + F.col("user_id") / 1000.0).alias("latitude"), F.lit(-111.0).alias("longitude"), F.lit(1.0).alias("speed")).alias("position"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"))).alias("vehicle"))
     src.write.json(f"{work}/in")
     stream = positions.vehicles(positions.read_positions(s, f"{work}/in"))
     positions.append_daily(stream, f"{work}/out", f"{work}/state", every=None, fmt="parquet").awaitTermination()
-    return s.read.parquet(f"{work}/out").select("id", "vehicle_id", "trip_id", _r("lat", 4).alias("lat"))
-
-
-def _tick() -> int:
-    import time
-
-    return time.time_ns()
+    rows = staging.settle(s.read.parquet(f"{work}/out").select("id", "vehicle_id", "trip_id", _r("lat", 4).alias("lat")), "positions")
+    staging.remove(s, work)
+    return rows

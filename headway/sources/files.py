@@ -41,15 +41,76 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_counties(spark: SparkSession, path: str) -> DataFrame:
-    """(county_id, ring) from GeoJSON features with STATEFP and COUNTYFP; each outer ring of a multipolygon is a row."""
+    """(county_id, ring, rings) from features with STATEFP and COUNTYFP, one row for each part of a multipolygon: ``ring``
+    is its outer ring, ``rings`` are all of its rings, holes included.
+
+    GeoJSON, or a shapefile of polygons with its table beside it; there a feature is one row, and the even-odd rule over ``rings``
+    tells its parts and holes apart.
+    """
+    if path.endswith(".shp"):
+        return _county_shapes(spark, path)
     f = spark.read.option("multiLine", True).schema("features array<struct<properties:struct<STATEFP:string,COUNTYFP:string>,geometry:struct<type:string,coordinates:string>>>").json(path)
     f = f.select(F.explode("features").alias("f")).select("f.properties.*", "f.geometry.*")
     one = F.from_json("coordinates", "array<array<array<double>>>")
     many = F.from_json("coordinates", "array<array<array<array<double>>>>")
-    outer = F.when(F.col("type") == "Polygon", F.array(F.get(one, F.lit(0)))).otherwise(F.transform(many, lambda p: F.get(p, F.lit(0))))
-    r = f.select(F.concat(F.lit("G"), "STATEFP", F.lit("0"), "COUNTYFP", F.lit("0")).alias("county_id"), F.explode(outer).alias("r"))
-    open_ring = F.when(F.get("r", F.lit(0)) == F.element_at("r", -1), F.slice("r", F.lit(1), F.size("r") - 1)).otherwise(F.col("r"))
-    return r.select("county_id", F.transform(open_ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("ring"))
+    parts = F.when(F.col("type") == "Polygon", F.array(one)).otherwise(many)
+    r = f.select(F.concat(F.lit("G"), "STATEFP", F.lit("0"), "COUNTYFP", F.lit("0")).alias("county_id"), F.explode(parts).alias("p"))
+    opened = lambda r: F.when(F.get(r, F.lit(0)) == F.element_at(r, -1), F.slice(r, F.lit(1), F.size(r) - 1)).otherwise(r)
+    rings = F.transform("p", lambda r: F.transform(opened(r), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
+    return r.select("county_id", rings.alias("rings")).select("county_id", F.get("rings", F.lit(0)).alias("ring"), "rings")
+
+
+def _polygons(shp: bytes) -> list[list[list[tuple[float, float]]] | None]:
+    """The open rings of each record of a shapefile; None for records of other kinds."""
+    out, at = [], 100
+    while at + 8 <= len(shp):
+        size = struct.unpack(">i", shp[at + 4 : at + 8])[0] * 2
+        body = shp[at + 8 : at + 8 + size]
+        rings = None
+        if struct.unpack("<i", body[:4])[0] in (5, 15, 25):
+            parts, n = struct.unpack("<2i", body[36:44])
+            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), n]
+            flat = struct.unpack(f"<{2 * n}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * n])
+            points = list(zip(flat[::2], flat[1::2], strict=True))
+            rings = [points[a : b - 1] if points[a] == points[b - 1] else points[a:b] for a, b in zip(starts, starts[1:], strict=False) if b > a]
+        out.append(rings)
+        at += 8 + size
+    return out
+
+
+def _records(dbf: bytes) -> list[dict[str, str]]:
+    """The rows of a shapefile's table, deleted ones included, as texts without the blanks around them."""
+    count, head, width = struct.unpack("<IHH", dbf[4:12])
+    fields, at = [], 32
+    while dbf[at : at + 1] not in (b"\r", b""):
+        fields.append((dbf[at : at + 11].split(b"\0")[0].decode("latin-1"), dbf[at + 16]))
+        at += 32
+    rows = []
+    for k in range(count):
+        row, place = {}, head + k * width + 1
+        for name, size in fields:
+            row[name] = dbf[place : place + size].decode("latin-1").strip()
+            place += size
+        rows.append(row)
+    return rows
+
+
+def _county_shapes(spark: SparkSession, path: str) -> DataFrame:
+    def parsed(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            rows = []
+            for shp, dbf in zip(pdf["shp"], pdf["dbf"], strict=True):
+                for rings, row in zip(_polygons(bytes(shp)), _records(bytes(dbf)), strict=True):
+                    if rings:
+                        rows.append((f"G{row['STATEFP']}0{row['COUNTYFP']}0", [[{"x": x, "y": y} for x, y in r] for r in rings]))
+            yield pd.DataFrame(rows, columns=["county_id", "rings"])
+
+    file = lambda p, name: spark.read.format("binaryFile").load(p).select(F.lit(1).alias("k"), F.col("content").alias(name))
+    both = file(path, "shp").join(file(path[:-4] + ".dbf", "dbf"), "k").drop("k")
+    rows = both.mapInPandas(parsed, "county_id string, rings array<array<struct<x:double,y:double>>>")
+    return rows.select("county_id", F.get("rings", F.lit(0)).alias("ring"), "rings")
 
 
 def read_weather(spark: SparkSession, path: str) -> DataFrame:
