@@ -4,8 +4,8 @@ Candidates are long runs of token characters, and shorter values of a wider alph
 and a colon or an equals sign.  Each gets features: its length, how its character classes change, how much of it the
 most frequent words of the corpus cover, whether it looks like a path, and which words stand beside it.  A random
 forest, trained with Spark's own learner on a bounded sample of labelled findings, gives the chance that a candidate is
-a secret; its trees are then written out as column expressions, so scoring is one pass of generated code over the
-texts, without Python and without a shuffle.
+a secret; its trees are arrays of nodes, walked by array functions, so scoring is one pass over the texts without Python,
+without a shuffle, and without code that grows with the forest.
 """
 
 from __future__ import annotations
@@ -66,7 +66,8 @@ def dictionary(docs: DataFrame, *, size: int = 300, text: str = "text") -> list[
 
 @dataclass
 class Forest:
-    """A trained forest: the corpus's words, the words beside findings that it asks for, and its chance of a secret."""
+    """A trained forest: the corpus's words, the words beside findings that it asks for, and its chance of a secret, which reads
+    the values of all features as the array ``_f``."""
 
     dictionary: list[str]
     neighbours: list[str]
@@ -96,7 +97,9 @@ def with_features(c: DataFrame, words: list[str], neighbours: list[str]) -> Data
         "hint": F.col("context").rlike(HINTS + r"[^A-Za-z0-9]*$|" + HINTS + r"\W{0,4}\w{0,8}\W{0,4}$").cast("double"),
         "example": (s.rlike(EXAMPLES) | F.col("context").rlike(NOT_SECRET + r"[^A-Za-z0-9]*$")).cast("double"), "known": s.rlike(KNOWN).cast("double"),
     })
-    return c.withColumn("_beside", beside).withColumns({f"near_{w}": F.array_contains("_beside", w).cast("double") for w in neighbours}) if neighbours else c
+    if neighbours:
+        c = c.withColumn("_beside", beside).withColumns({f"near_{w}": F.array_contains("_beside", w).cast("double") for w in neighbours})
+    return c.withColumn("_f", F.array(*FEATURES, *[f"near_{w}" for w in neighbours]))
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
@@ -142,7 +145,7 @@ def cut(findings: DataFrame) -> DataFrame:
     return c.withColumn("label", F.when(F.col("candidate") == F.col("value"), F.col("label")).otherwise(F.lit(0.0))).drop("doc_id", "value", "start")
 
 
-def train(findings: DataFrame, words: list[str], *, max_rows: int = 20_000, neighbours: int = 16, trees: int = 12, depth: int = 5, seed: int = 5) -> Forest:
+def train(findings: DataFrame, words: list[str], *, max_rows: int = 20_000, neighbours: int = 40, trees: int = 20, depth: int = 6, seed: int = 5) -> Forest:
     """The forest over FEATURES and the most frequent words beside findings; at most ``max_rows`` findings are used."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -155,14 +158,30 @@ def train(findings: DataFrame, words: list[str], *, max_rows: int = 20_000, neig
     data = VectorAssembler(inputCols=columns, outputCol="features").transform(rows).select("features", "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(data)
 
-    def expression(node) -> Column:
-        if node.numDescendants() == 0:
-            total = sum(node.impurityStats().stats())
-            return F.lit(float(node.impurityStats().stats()[1] / total) if total else 0.0)
-        split = node.split()
-        return F.when(F.col(columns[split.featureIndex()]) <= F.lit(float(split.threshold())), expression(node.leftChild())).otherwise(expression(node.rightChild()))
+    def chance(root) -> Column:
+        feature, bound, low, high, value = [], [], [], [], []
 
-    return Forest(words, near, sum((expression(t._call_java("rootNode")) for t in model.trees), F.lit(0.0)) / trees)
+        def add(node) -> int:
+            k = len(feature)
+            for column in (feature, bound, low, high, value):
+                column.append(0)
+            stats = list(node.impurityStats().stats())
+            value[k] = float(stats[1] / sum(stats)) if sum(stats) else 0.0
+            if node.numDescendants():
+                split = node.split()
+                feature[k], bound[k] = split.featureIndex(), float(split.threshold())
+                low[k], high[k] = add(node.leftChild()), add(node.rightChild())
+            else:
+                low[k] = high[k] = k  # a leaf leads to itself
+            return k
+
+        add(root)
+        ints, numbers = (lambda v: F.lit(v).cast("array<int>")), (lambda v: F.lit([float(x) for x in v]))
+        down = lambda k, _: F.when(F.get("_f", F.get(ints(feature), k)) <= F.get(numbers(bound), k), F.get(ints(low), k)).otherwise(F.get(ints(high), k))
+        leaf = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.lit(0), down)
+        return F.get(numbers(value), leaf)
+
+    return Forest(words, near, sum((chance(t._call_java("rootNode")) for t in model.trees), F.lit(0.0)) / trees)
 
 
 def scan(docs: DataFrame, forest: Forest, *, threshold: float = 0.5, text: str = "text") -> DataFrame:
@@ -171,5 +190,8 @@ def scan(docs: DataFrame, forest: Forest, *, threshold: float = 0.5, text: str =
     Null and empty texts have none; long texts are read whole, with every candidate; repeated rows repeat their findings;
     other columns are ignored; an empty table gives an empty result.
     """
-    scored = with_features(candidates(docs, text=text), forest.dictionary, forest.neighbours).withColumn("score", F.round(forest.chance, 6))
-    return scored.filter(F.col("score") >= threshold).select("doc_id", "start", "candidate", "score")
+    c = with_features(candidates(docs, text=text), forest.dictionary, forest.neighbours).select("doc_id", "start", "candidate", "_f")
+    c = c.select("doc_id", F.struct("start", "candidate", F.round(forest.chance, 6).alias("score")).alias("_"))
+    # not a filter on the score, which Spark would push down and with it work out all features a second time
+    found = F.explode_outer(F.filter(F.array("_"), lambda x: x["score"] >= threshold)).alias("_")
+    return c.select("doc_id", found).filter("_ IS NOT NULL").select("doc_id", "_.start", "_.candidate", "_.score")
