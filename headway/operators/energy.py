@@ -114,6 +114,30 @@ def charge_trace(links: DataFrame, start_soc: float = 100.0) -> DataFrame:
     return run.withColumn("trip_soc", en.state_of_charge(F.lit(start_soc), F.col("trip_energy"), F.col("battery_kwh")))
 
 
+def trip_charge(trips: DataFrame, paths: DataFrame, edges: DataFrame, vehicles: DataFrame, stop_edges: DataFrame) -> DataFrame:
+    """(trip_id, vehicle, energy_used, end_soc, empty_seq) of battery vehicles, with parameters of each trip.
+
+    ``trips``: trip_id, shape_id, start_soc (null: full) and include_stop_penalty (null: yes).  ``stop_edges`` are (shape_id, edge_id).
+    The charge is carried along the path and stops at empty; ``empty_seq`` is the first link that the charge does not last for, null if it lasts.
+    Links are rated once a shape and vehicle, with and without the penalty; only their running sums meet the trips.
+    """
+    bev = vehicles.filter("kind = 'bev'")
+    links = edge_energy(paths.select("shape_id", "seq", "edge_id"), edges.select("edge_id", "miles", "speed_mph", "grade"), bev).withColumn("_plain", F.col("edge_energy"))
+    flag = stop_edges.select("shape_id", "edge_id").distinct().withColumn("_stop", F.lit(True))
+    lost = F.when(F.col("_stop"), en.stop_penalty(F.col("mass_kg"), F.col("speed_mph"), F.col("kind"))).otherwise(F.lit(0.0))
+    links = links.join(flag, ["shape_id", "edge_id"], "left").withColumn("_stopping", F.col("_plain") + F.coalesce(lost, F.lit(0.0)))
+    w = Window.partitionBy("shape_id", "vehicle").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    runs = links.select("shape_id", "vehicle", "battery_kwh", "seq", F.sum("_plain").over(w).alias("_plain"), F.sum("_stopping").over(w).alias("_stopping"))
+    # one row a shape and vehicle: the running sums in order
+    ways = runs.groupBy("shape_id", "vehicle", "battery_kwh").agg(F.sort_array(F.collect_list(F.struct("seq", "_plain", "_stopping"))).alias("way"))
+    t = trips.select("trip_id", "shape_id", F.coalesce("start_soc", F.lit(100.0)).alias("start_soc"), F.coalesce("include_stop_penalty", F.lit(True)).alias("stops")).join(ways, "shape_id")
+    used = lambda x: F.when(F.col("stops"), x["_stopping"]).otherwise(x["_plain"])
+    limit = F.col("start_soc") / 100 * F.col("battery_kwh")
+    total = used(F.element_at("way", -1))
+    end = F.greatest(en.state_of_charge(F.col("start_soc"), total, F.col("battery_kwh")), F.lit(0.0))
+    return t.select("trip_id", "vehicle", total.alias("energy_used"), end.alias("end_soc"), F.get(F.filter("way", lambda x: used(x) > limit), F.lit(0))["seq"].alias("empty_seq"))
+
+
 def turn_delays(path_headings: DataFrame) -> DataFrame:
     """Adds delay_s at the start of each link, from the headings of it and of the link before."""
     w = Window.partitionBy("shape_id").orderBy("seq")

@@ -162,6 +162,17 @@ SELECT shape_id, vehicle, round(sum(e), 4) AS energy_used FROM k GROUP BY 1, 2""
     "binned_rate_energy": f"""{duck("paths", "edges", "rates")},
 b AS (SELECT edge_id, miles, vehicle, coalesce(max(speed_from) FILTER (speed_from <= speed_mph), min(speed_from)) AS speed_from, coalesce(max(grade_from) FILTER (grade_from <= grade), min(grade_from)) AS grade_from FROM edges, rates GROUP BY 1, 2, 3)
 SELECT shape_id, vehicle, round(sum(rate * miles), 4) AS energy_used, round(sum(miles), 4) AS miles FROM paths JOIN b USING (edge_id) JOIN rates USING (vehicle, speed_from, grade_from) GROUP BY 1, 2""",
+    "edge_grades": f"""{duck("street_ends", "raster")}, e AS (SELECT *, {_KM("lat1", "lon1", "lat2", "lon2")} * 1000 AS run FROM street_ends),
+q AS (SELECT edge_id, run, k, (lon1 + (lon2 - lon1) * k / n + 111.905::DOUBLE) / 0.0008::DOUBLE AS x, (lat1 + (lat2 - lat1) * k / n - 40.295::DOUBLE) / 0.0008::DOUBLE AS y FROM (SELECT *, greatest(ceil(run / 30), 1)::BIGINT AS n FROM e), unnest(range(0, n + 1)) u(k)),
+f AS (SELECT *, floor(x)::BIGINT AS i, floor(y)::BIGINT AS j, x - floor(x) AS a, y - floor(y) AS b FROM q),
+h AS (SELECT edge_id, run, k, (s00.height * (1 - a) + s10.height * a) * (1 - b) + (s01.height * (1 - a) + s11.height * a) * b AS h FROM f
+  LEFT JOIN raster s00 ON s00.i = f.i AND s00.j = f.j LEFT JOIN raster s10 ON s10.i = f.i + 1 AND s10.j = f.j LEFT JOIN raster s01 ON s01.i = f.i AND s01.j = f.j + 1 LEFT JOIN raster s11 ON s11.i = f.i + 1 AND s11.j = f.j + 1),
+s AS (SELECT *, avg(h) OVER (PARTITION BY edge_id ORDER BY k ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS s FROM h), up AS (SELECT *, greatest(s - lag(s) OVER (PARTITION BY edge_id ORDER BY k), 0) AS u FROM s)
+SELECT edge_id, CASE WHEN count(*) = count(h) THEN round((arg_max(s, k) - arg_min(s, k)) / max(run), 6) END AS grade, CASE WHEN count(*) = count(h) THEN round(sum(u), 4) END AS climb_m FROM up GROUP BY 1""",
+    "trip_charge": f"""{duck("paths", "edges", "stops", "trip_parameters")}, {_VEHICLES}, {_ENERGY}, {_NEAR},
+k AS (SELECT t.trip_id, el.vehicle, el.seq, el.battery_kwh, start_soc, sum(used + CASE WHEN include_stop_penalty AND edge_id IN (SELECT edge_id FROM nr) THEN 0.5 * mass_kg * pow(speed_mph * 0.44704, 2) / 3.6e6 ELSE 0 END) OVER (PARTITION BY t.trip_id, el.vehicle ORDER BY el.seq) AS run
+  FROM trip_parameters t JOIN el ON el.shape_id = t.shape_id WHERE kind = 'bev')
+SELECT trip_id, vehicle, round(max(run), 4) AS energy_used, round(greatest(max(start_soc) - 100 * max(run) / max(battery_kwh), 0), 4) AS end_soc, coalesce(min(seq) FILTER (run > start_soc / 100 * battery_kwh), 0) AS empty_seq FROM k GROUP BY 1, 2""",
     "soc_limited_paths": f"""{duck("paths", "edges")}, {_VEHICLES}, {_ENERGY}, c AS (SELECT shape_id, vehicle, CASE WHEN kind = 'bev' THEN 3 - 100 * energy_used / battery_kwh END AS soc FROM en JOIN veh USING (vehicle))
 SELECT shape_id, vehicle, round(soc, 3) AS trip_soc, coalesce(soc > 0, true) AS in_reach FROM c""",
     "fastest_paths": f"{_FASTEST} SELECT od_key, round(c, 4) AS minutes, p AS path FROM ods JOIN r ON r.o = ods.o AND v = d",

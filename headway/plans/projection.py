@@ -40,6 +40,12 @@ STREET_EDGES = f"""SELECT a.vertex_id * 4 + q AS edge_id, a.vertex_id AS src, b.
 STREET_LINES = f"""SELECT shape, t, w, (floor(shape / 2) % 2 + t - easts) * w + shape % 2 + easts AS vertex_id
   FROM (SELECT s.vertex_id AS shape, u.vertex_id AS t, s.w AS w, CAST(sum(CASE WHEN u.vertex_id > 0 AND (s.vertex_id * 31 + u.vertex_id * u.vertex_id * 17 + u.vertex_id * 7) % 5 < 2 THEN 1 ELSE 0 END) OVER (PARTITION BY s.vertex_id ORDER BY u.vertex_id) AS BIGINT) AS easts
   FROM ({STREETS}) AS s, ({STREETS}) AS u WHERE u.row_no = 0 AND u.vertex_id <= s.w - 2) AS steps"""
+#: Heights over the streets, a sample for each part; and the ends of streets.
+RASTER = """SELECT k % m AS i, CAST(floor(k / m) AS BIGINT) AS j, 13e2 + p_retailprice / 3e1 + (k % 17) * sqrt(2e0) AS height
+  FROM (SELECT p_partkey - lo AS k, p_retailprice, m FROM {part}, (SELECT min(p_partkey) AS lo, CAST(floor(sqrt(CAST(count(*) AS DOUBLE))) AS BIGINT) AS m FROM {part}) AS c) AS t WHERE k < m * m"""
+STREET_ENDS = f"SELECT e.edge_id, a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2 FROM ({STREET_EDGES}) AS e JOIN ({STREETS}) AS a ON a.vertex_id = e.src JOIN ({STREETS}) AS b ON b.vertex_id = e.dst"
+#: What each user's trips begin with: charge, and whether stops cost energy.
+TRIP_PARAMETERS = "SELECT concat('U', user_id, 'D', dayofyear(ts) - 1) AS trip_id, min(user_id) AS shape_id, CAST(min(user_id) % 7 AS DOUBLE) + 1e0 / 3 AS start_soc, min(user_id) % 2 = 0 AS include_stop_penalty FROM {events} GROUP BY concat('U', user_id, 'D', dayofyear(ts) - 1)"
 STREET_ODS = f"SELECT concat('K', vertex_id) AS od_key, vertex_id AS o, w * w - 1 - vertex_id AS d FROM ({STREETS}) AS v WHERE row_no = 0"
 #: Roads with minutes and energy, and the charge that buses between the ends have.
 CHARGE_ROADS = f"SELECT edge_id, src, dst, 60e0 * miles / speed_mph AS minutes, (1 + (src * 31 + edge_id * 17) % 9) / 4e0 AS kwh FROM ({ROADS}) AS r"
@@ -49,7 +55,7 @@ STREET_TRACES = f"""SELECT concat('L', shape) AS shape_id, CAST(t * 4 + q AS INT
   lat + coalesce(lat1 - lat, 0e0) * q / 4e0 + ((shape * 13 + t * 29 + q * 7) % 21 - 10) * 9e-6 AS lat, lon + coalesce(lon1 - lon, 0e0) * q / 4e0 + ((shape * 17 + t * 23 + q * 11) % 21 - 10) * 1.2e-5 AS lon
   FROM (SELECT l.shape, l.t, v.lat, v.lon, lead(v.lat) OVER (PARTITION BY l.shape ORDER BY l.t) AS lat1, lead(v.lon) OVER (PARTITION BY l.shape ORDER BY l.t) AS lon1
     FROM ({STREET_LINES}) AS l JOIN ({STREETS}) AS v ON v.vertex_id = l.vertex_id) AS ends, (VALUES (0), (1), (2), (3)) AS f(q) WHERE q = 0 OR lat1 IS NOT NULL AND (shape + t) % 4 > 0"""
-SHARED = {"street_ods": STREET_ODS, "charge_roads": CHARGE_ROADS, "charge_ods": CHARGE_ODS, "streets": STREETS, "street_edges": STREET_EDGES, "street_lines": STREET_LINES, "street_traces": STREET_TRACES, "roads": ROADS, "ods": ODS, "rates": RATES, "stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
+SHARED = {"raster": RASTER, "street_ends": STREET_ENDS, "trip_parameters": TRIP_PARAMETERS, "street_ods": STREET_ODS, "charge_roads": CHARGE_ROADS, "charge_ods": CHARGE_ODS, "streets": STREETS, "street_edges": STREET_EDGES, "street_lines": STREET_LINES, "street_traces": STREET_TRACES, "roads": ROADS, "ods": ODS, "rates": RATES, "stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
 TABLES = ("supplier", "events", "nation", "part", "lineitem", "customer", "orders", "region")
 
 #: Boxes of the invented counties: id, lower left and upper right corner.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import clock, geo
 from headway.functions import energy as en
-from headway.operators import deadhead, energy, matching, routing, search, service, shapes, spatial, thermal
+from headway.operators import deadhead, energy, matching, routing, search, service, shapes, spatial, terrain, thermal
 from headway.plans import projection as p
 from headway.sources import feeds, staging
 
@@ -276,6 +276,23 @@ def binned_rate_energy(s, d):
     return e.select("shape_id", "vehicle", _r("energy_used", 4).alias("energy_used"), _r("miles", 4).alias("miles"))
 
 
+@query
+def edge_grades(s, d):
+    """Grade and climb of streets over a raster of heights, smoothed along each street."""
+    grid = terrain.Grid(-111.905, 40.295, 0.0008, 8)
+    g = terrain.edge_grades(p.shared(s, d, "street_ends"), terrain.tiles(p.shared(s, d, "raster"), grid), grid, spacing_m=30.0)
+    return g.select("edge_id", _r("grade", 6).alias("grade"), _r("climb_m", 4).alias("climb_m"))
+
+
+@query
+def trip_charge(s, d):
+    """Charge along each trip from parameters of its own: what it begins with, and whether stops count."""
+    paths = p.shared(s, d, "paths")
+    stops = paths.join(_near(s, d).select("edge_id").distinct(), "edge_id", "left_semi").select("shape_id", "edge_id")
+    t = energy.trip_charge(p.shared(s, d, "trip_parameters"), paths, p.shared(s, d, "edges"), en.vehicle_catalog(s), stops)
+    return t.select("trip_id", "vehicle", _r("energy_used", 4).alias("energy_used"), _r("end_soc", 4).alias("end_soc"), F.coalesce("empty_seq", F.lit(0)).alias("empty_seq"))
+
+
 @query
 def soc_limited_paths(s, d):
     e = energy.charge_left(_shape_energy(s, d), en.vehicle_catalog(s), 3.0)
