@@ -47,13 +47,11 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell_m: float = 500.0, rou
     alone = edges.dropna(subset=ends).groupBy(*ends).agg(F.min("edge_id").alias("edge_id"))
     places = points.filter("x IS NOT NULL AND y IS NOT NULL").select("x", "y").distinct()
     here, boxes, size, levels = places.withColumn("c", _cell_of(cell_m)), alone.withColumn("c", F.explode(_wide_cells(cell_m))), cell_m, []
-    while True:
-        here, boxes = settle(here, "places"), settle(boxes, "boxes")
-        full = here.groupBy("c").agg(F.count("*").alias("n")).join(boxes.groupBy("c").agg(F.count("*").alias("m")), "c").filter(F.col("n") * F.col("m") > crowd)
-        full = settle(full.select("c"), "crowded")
-        if size <= least_m or full.isEmpty():
-            levels.append((here, boxes, size))
+    while size > least_m:
+        full = here.groupBy("c").agg(F.count("*").alias("n")).join(boxes.groupBy("c").agg(F.count("*").alias("m")), "c").filter(F.col("n") * F.col("m") > crowd).select("c")
+        if full.isEmpty():
             break
+        here, boxes, full = settle(here, "places"), settle(boxes, "boxes"), settle(full, "crowded")
         levels.append((here.join(full, "c", "left_anti"), boxes, size))
         below = size / 8
         here = here.join(full, "c", "left_semi").withColumn("c", _cell_of(below))
@@ -61,12 +59,13 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell_m: float = 500.0, rou
         part = F.floor(F.col("p.i") / F.lit(8.0)), F.floor(F.col("p.j") / F.lit(8.0))
         boxes = boxes.join(full, "c", "left_semi").withColumn("p", F.explode(_wide_cells(below))).filter((part[0] == F.col("c.i")) & (part[1] == F.col("c.j"))).withColumn("c", F.col("p")).drop("p")
         size = below
+    levels.append((here, boxes, size))
     found, rest = [], None
     for mine, near, size in reversed(levels):
         todo = mine if rest is None else mine.unionByName(rest.withColumn("c", _cell_of(size)))
         best = settle(_best(todo, near, size), "nearest")
         found.append(best)
-        rest = settle(todo.select("x", "y").join(best, ["x", "y"], "left_anti"), "places")
+        rest = todo.select("x", "y").join(best, ["x", "y"], "left_anti")
     for _ in range(rounds - 1):
         if rest.isEmpty():
             break

@@ -55,7 +55,10 @@ STREET_TRACES = f"""SELECT concat('L', shape) AS shape_id, CAST(t * 4 + q AS INT
   lat + coalesce(lat1 - lat, 0e0) * q / 4e0 + ((shape * 13 + t * 29 + q * 7) % 21 - 10) * 9e-6 AS lat, lon + coalesce(lon1 - lon, 0e0) * q / 4e0 + ((shape * 17 + t * 23 + q * 11) % 21 - 10) * 1.2e-5 AS lon
   FROM (SELECT l.shape, l.t, v.lat, v.lon, lead(v.lat) OVER (PARTITION BY l.shape ORDER BY l.t) AS lat1, lead(v.lon) OVER (PARTITION BY l.shape ORDER BY l.t) AS lon1
     FROM ({STREET_LINES}) AS l JOIN ({STREETS}) AS v ON v.vertex_id = l.vertex_id) AS ends, (VALUES (0), (1), (2), (3)) AS f(q) WHERE q = 0 OR lat1 IS NOT NULL AND (shape + t) % 4 > 0"""
-SHARED = {"raster": RASTER, "street_ends": STREET_ENDS, "trip_parameters": TRIP_PARAMETERS, "street_ods": STREET_ODS, "charge_roads": CHARGE_ROADS, "charge_ods": CHARGE_ODS, "streets": STREETS, "street_edges": STREET_EDGES, "street_lines": STREET_LINES, "street_traces": STREET_TRACES, "roads": ROADS, "ods": ODS, "rates": RATES, "stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
+#: Where vehicles are seen: an event each.
+POSITIONS = """SELECT concat('V', user_id) AS vehicle_id, concat('T', user_id, 'D', dayofyear(ts)) AS trip_id,
+  4e1 + ((event_id * 7919) % 997) / 24925e0 AS lat, -112e0 + ((event_id * 104729) % 991) / 24775e0 AS lon, ts FROM {events}"""
+SHARED = {"positions": POSITIONS, "raster": RASTER, "street_ends": STREET_ENDS, "trip_parameters": TRIP_PARAMETERS, "street_ods": STREET_ODS, "charge_roads": CHARGE_ROADS, "charge_ods": CHARGE_ODS, "streets": STREETS, "street_edges": STREET_EDGES, "street_lines": STREET_LINES, "street_traces": STREET_TRACES, "roads": ROADS, "ods": ODS, "rates": RATES, "stops": STOPS, "stop_times": STOP_TIMES, "depots": DEPOTS, "edges": EDGES, "paths": PATHS, "weather": WEATHER}
 TABLES = ("supplier", "events", "nation", "part", "lineitem", "customer", "orders", "region")
 
 #: Boxes of the invented counties: id, lower left and upper right corner.

@@ -426,3 +426,31 @@ def realtime_vehicle_filter(s, d):
     rows = staging.settle(s.read.parquet(f"{work}/out").select("id", "vehicle_id", "trip_id", _r("lat", 4).alias("lat")), "positions")
     staging.remove(s, work)
     return rows
+
+
+def _seen_trips(t):
+    return t.select("vehicle_id", "trip_id", F.unix_millis("begun").alias("begun_ms"), F.unix_millis("ended").alias("ended_ms"), "n", _r("km", 4).alias("km"))
+
+
+@query
+def observed_trips(s, d):
+    """Trips as vehicles made them, from the table of their positions."""
+    from headway.streaming import trips
+
+    return _seen_trips(trips.trips_of_table(p.shared(s, d, "positions"), gap_s=43_200))
+
+
+@query
+def streamed_trips(s, d):
+    """The same from a stream with state by vehicle: those that have ended by the time the stream has reached."""
+    from headway.streaming import trips
+
+    work = f"{staging.shared_dir(s)}/trips-{uuid.uuid4().hex}"
+    seen = p.shared(s, d, "positions").withColumn("ts", F.col("ts").cast("timestamp"))
+    seen.write.parquet(f"{work}/in")
+    stream = s.readStream.schema(seen.schema).parquet(f"{work}/in")
+    made = trips.made_trips(stream, gap_s=43_200)
+    made.writeStream.format("parquet").option("path", f"{work}/out").option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = staging.settle(_seen_trips(s.read.schema(trips.TRIPS).parquet(f"{work}/out")), "trips")
+    staging.remove(s, work)
+    return rows
