@@ -101,7 +101,7 @@ sd AS (SELECT county_id, {_albers("a2", "a1")[0]} AS x1, {_albers("a2", "a1")[1]
 pk AS (SELECT *, least(greatest(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)), 0), 1) AS k FROM lone, sd),
 snapped AS (SELECT county_id, sqrt(pow(x - x1 - k * (x2 - x1), 2) + pow(y - y1 - k * (y2 - y1), 2)) AS dist FROM pk QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY dist, county_id) = 1)"""
 
-_SEEN = f"""{duck("positions")}, o AS (SELECT vehicle_id, trip_id, lat, lon, epoch_ms(ts) AS t FROM positions QUALIFY row_number() OVER (PARTITION BY vehicle_id, epoch_ms(ts) ORDER BY trip_id, lat, lon) = 1),
+_SEEN = f"""{duck("positions")}, o AS (SELECT vehicle_id, trip_id, lat, lon, epoch_us(ts) // 1000 AS t FROM positions QUALIFY row_number() OVER (PARTITION BY vehicle_id, epoch_us(ts) // 1000 ORDER BY trip_id, lat, lon) = 1),
 b AS (SELECT *, lag(trip_id) OVER v AS pt, lag(t) OVER v AS pms, lag(lat) OVER v AS plat, lag(lon) OVER v AS plon FROM o WINDOW v AS (PARTITION BY vehicle_id ORDER BY t)),
 g AS (SELECT *, pt IS NULL OR pt <> trip_id OR t - pms > 43200000 AS fresh FROM b), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY vehicle_id ORDER BY t) AS k FROM g),
 m AS (SELECT vehicle_id, any_value(trip_id) AS trip_id, min(t) AS begun_ms, max(t) AS ended_ms, count(*) AS n, round(sum(CASE WHEN fresh THEN 0 ELSE {_KM("plat", "plon", "lat", "lon")} END), 4) AS km FROM s GROUP BY vehicle_id, k)"""
@@ -109,7 +109,7 @@ m AS (SELECT vehicle_id, any_value(trip_id) AS trip_id, min(t) AS begun_ms, max(
 ORACLES = {
     "observed_trips": f"{_SEEN} SELECT * FROM m",
     # a trip has ended when the next one of its vehicle has begun, or when its silence has lasted, both within what the watermark has passed
-    "streamed_trips": f"""{_SEEN}, w AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM positions), n AS (SELECT *, lead(begun_ms) OVER (PARTITION BY vehicle_id ORDER BY begun_ms) AS next FROM m)
+    "streamed_trips": f"""{_SEEN}, w AS (SELECT max(epoch_us(ts)) // 1000 - 600000 AS mark FROM positions), n AS (SELECT *, lead(begun_ms) OVER (PARTITION BY vehicle_id ORDER BY begun_ms) AS next FROM m)
 SELECT n.* EXCLUDE (next) FROM n, w WHERE ended_ms <= mark AND (next <= mark OR mark - ended_ms > 43200000 AND (next IS NULL OR next - ended_ms > 43200000))""",
     "path_energy_mpge": f"{duck('paths', 'edges')}, {_VEHICLES}, {_ENERGY} SELECT shape_id, vehicle, round(energy_used, 4) AS energy_used, round(miles, 4) AS miles, round({_MPGE('energy_used')}, 4) AS mpge FROM en",
     "trip_times": f"{duck('stop_times')}, s AS (SELECT trip_id, min(arrival_s) AS a, max(arrival_s) AS z FROM stop_times GROUP BY 1) SELECT trip_id, {_HMS('a')} AS start_time, {_HMS('z')} AS end_time, round((z - a) / 60, 4) AS trip_duration_minutes FROM s",

@@ -29,7 +29,7 @@ def _km(a: list, b: list) -> float:
 
 
 def _usable(positions: DataFrame) -> DataFrame:
-    return positions.select("vehicle_id", "trip_id", "lat", "lon", "ts").dropna()
+    return positions.select("vehicle_id", "trip_id", "lat", "lon", F.col("ts").cast("timestamp").alias("ts")).dropna()
 
 
 def made_trips(positions: DataFrame, *, late: str = "10 minutes", gap_s: int = GAP_S) -> DataFrame:
