@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from headway.llm.common import byte_length, store
 
+#: In memory, the directory is broadcast up to so many bytes at so many a cell; beyond, rows are shuffled to their cells.
+BROADCAST_BYTES, CELL_BYTES = 64 << 20, 192
 #: Bits of the hash in use: 15 hexadecimal digits, so that cells stay positive longs.
 BITS = 60
 
@@ -68,11 +70,13 @@ def directory(rows: DataFrame, limit: int, step: int = 4) -> DataFrame:
 
 
 def assign(rows: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Joins each row (with ``_root`` and ``h``) with its leaf; the directory's size decides how Spark joins."""
-    depths = sorted(r[0] for r in leaves.select("cell_depth").distinct().collect())  # at most a dozen rounds
+    """Joins each row (with ``_root`` and ``h``) with its leaf; the directory's size decides how."""
+    depths = leaves.groupBy("cell_depth").count().collect()  # at most a dozen rounds
+    fits = sum(r["count"] for r in depths) * CELL_BYTES <= BROADCAST_BYTES
     parts = []
-    for d in depths:
+    for d in sorted(r["cell_depth"] for r in depths):
         part = leaves.filter(F.col("cell_depth") == d).drop("cell_depth").withColumnsRenamed({"cell": "_cell", "root": "_root"})
+        part = F.broadcast(part) if fits else part.hint("merge")
         parts.append(rows.withColumn("_cell", F.shiftright("h", BITS - d)).join(part, ["_cell", "_root"]).drop("_cell", "_root"))
     return reduce(DataFrame.unionByName, parts)
 

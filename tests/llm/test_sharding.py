@@ -56,6 +56,14 @@ def test_deep_splits_take_further_rounds(spark, make_docs, monkeypatch):
     assert sorted(rows_of(make_docs(rows), 100), key=by) == sorted(brute(rows, 100), key=by)
 
 
+def test_a_large_directory_is_not_broadcast(spark, make_docs, monkeypatch):
+    rows = [(i, "x" * (i * 37 % 400)) for i in range(100)]
+    monkeypatch.setattr(sharding, "BROADCAST_BYTES", 0)
+    out = sharding.shard(make_docs(rows), 1500)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == sorted(brute(rows, 1500))
+
+
 def test_empty_table(spark, make_docs):
     assert rows_of(make_docs([(1, "a")]).filter("false"), 10) == []
 
