@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from headway.sources.staging import settle
@@ -59,3 +59,19 @@ def placed(rows: DataFrame, tree: DataFrame) -> DataFrame:
     each = rows.withColumn("depth", F.explode(F.array(*map(F.lit, depths))))
     each = each.withColumn("prefix", F.expr(f"shiftright(code, CAST(2 * ({DEPTH} - depth) AS INT))"))
     return each.join(tree.select("depth", "prefix"), ["depth", "prefix"])
+
+
+def tiles(vertices: DataFrame, limit: int) -> DataFrame:
+    """(vertex_id, tile): the leaf of a quadtree that each of ``vertices`` (vertex_id, lat, lon) lies in, at most ``limit`` in one."""
+    known = vertices.select("vertex_id", F.col("lon").alias("x"), F.col("lat").alias("y")).dropna()
+    at = known.select("vertex_id", code(F.col("x"), F.col("y"), box_of(known)).alias("code"))
+    tree = settle(leaves(at, limit), "tiles")
+    return settle(placed(at, tree).select("vertex_id", F.concat_ws(":", "depth", "prefix").alias("tile")), "tiles")
+
+
+def dealt(rows: DataFrame, key: str, known: DataFrame, name: str) -> GroupedData:
+    """``rows`` by tile in as many tasks as there are tiles (``name`` of ``known``), at most spark.sql.shuffle.partitions: small as
+    its rows are, a tile is long work, and Spark would put many into one task."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = known.select(name).distinct().limit(most).count()
+    return rows.repartition(max(n, 1), key).groupBy(key)

@@ -118,3 +118,16 @@ def test_quadtree(spark):
     assert all(len(s) <= 50 for s in full.values())  # equal points are one place, whatever their number
     assert sum(r.n for r in tree.collect()) == len(pts)
     assert cells.placed(rows.filter("false"), cells.leaves(rows.filter("false"), 5)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [2, 5, 1_000])
+def test_turns_over_tiles_equal_rounds_over_edges(spark, tile):
+    rng = np.random.default_rng(tile)
+    e = network(rng, 20, 70)
+    v = [(k, float(40 + a), float(-105 + b)) for k, (a, b) in enumerate(rng.random((19, 2)))] + [(19, None, None)]
+    ods = spark.createDataFrame([(f"k{o}-{d}", o, d) for o in (0, 3, 19) for d in range(0, 20, 2)] + [("null", None, 1)], "od_key string, o long, d long")
+    df = spark.createDataFrame(e, EDGES)
+    plain = {r.od_key: (r.minutes, r.edges) for r in search.paths_with_turns(ods, df).collect()}
+    tiled = {r.od_key: (r.minutes, r.edges) for r in search.paths_with_turns(ods, df, spark.createDataFrame(v, "vertex_id long, lat double, lon double"), tile).collect()}
+    assert set(tiled) == set(plain) and len(plain) > 5
+    assert all(tiled[k][0] == pytest.approx(plain[k][0]) and tiled[k][1] == plain[k][1] for k in plain)
