@@ -5,11 +5,6 @@ No network passes through the driver or travels with the tasks: a task sees the
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,38 +15,19 @@ from headway.operators.spatial import nearest_edge
 from headway.sources.staging import forget, settle
 
 #: Vertices of a tile of the network.
-TILE_VERTICES = 5_000
+TILE_VERTICES = search.TILE_VERTICES
+#: Pairs of portals inside tiles, as a multiple of the roads, beyond which a network has no tiles worth the name.
+MOST_PAIRS = 64
 
 
 def shortest_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, tile_vertices: int = TILE_VERTICES) -> DataFrame:
     """Routed shapes (one row per point) of ODs (od_key, o_lat, o_lon, d_lat, d_lon) by least travel time.
 
-    Ends snap to their nearest vertex.  ODs without a route give no rows; the caller draws a straight line.
+    Ends snap to their nearest vertex; ODs that name their vertices (od_key, o, d) keep them, as several may stand in one place.
+    ODs without a route give no rows; the caller draws a straight line.
     """
-    return path_shapes(overlay_paths(snapped(ods, vertices), vertices, edges, tile_vertices), vertices)
-
-
-def _ways(src: list, dst: list, cost: list, wanted: dict) -> Iterator[tuple]:
-    """(from, to, cost, vertices) for each start of ``wanted`` and those of its targets that the edges of one tile reach."""
-    out = defaultdict(list)
-    for s, d, c in zip(src, dst, cost, strict=True):
-        out[s].append((d, c))
-    for start, targets in wanted.items():
-        best, back, heap, left = {start: 0.0}, {}, [(0.0, start)], set(targets) - {start}
-        while heap and left:
-            t, u = heapq.heappop(heap)
-            if t > best[u]:
-                continue
-            if u in left:
-                left.discard(u)
-                path = [u]
-                while path[-1] != start:
-                    path.append(back[path[-1]])
-                yield start, u, t, path[::-1]
-            for v, c in out.get(u, ()):
-                if t + c < best.get(v, np.inf):
-                    best[v], back[v] = t + c, u
-                    heapq.heappush(heap, (t + c, v))
+    named = {"o", "d"} <= set(ods.columns)
+    return path_shapes(overlay_paths(ods if named else snapped(ods, vertices), vertices, edges, tile_vertices), vertices)
 
 
 def overlay_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, tile_vertices: int = TILE_VERTICES) -> DataFrame:
@@ -61,11 +37,11 @@ def overlay_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, tile_ve
     edges between tiles, and the ODs' own vertices.  Ways between portals inside a tile are found a tile at a time, each with its
     own edges only; the rounds of joins move over these ways and over the edges between tiles, and the ways in use are
     unfolded at the end.  Of equally fast paths any one may be given.
+
+    Where roads lead anywhere rather than to neighbours, nearly all vertices are portals and their pairs grow with the square of
+    a tile; such a network is searched by ``fastest_paths``.
     """
-    known = vertices.select("vertex_id", F.col("lon").alias("x"), F.col("lat").alias("y")).dropna()
-    tree = settle(cells.leaves(known.select(cells.code(F.col("x"), F.col("y"), cells.box_of(known)).alias("code")), tile_vertices), "tiles")
-    at = cells.placed(known.select("vertex_id", cells.code(F.col("x"), F.col("y"), cells.box_of(known)).alias("code")), tree)
-    tile = settle(at.select("vertex_id", F.concat_ws(":", "depth", "prefix").alias("tile")), "tiles")
+    tile = cells.tiles(vertices, tile_vertices)
     end = lambda k, name: tile.select(F.col("vertex_id").alias(k), F.col("tile").alias(name))
     cost = F.try_divide(60 * F.col("miles"), "speed_mph")
     roads = edges.filter("miles > 0").select("src", "dst", cost.alias("cost")).filter("cost > 0").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
@@ -74,16 +50,20 @@ def overlay_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, tile_ve
     wanted = settle(ods.filter("o IS NOT NULL AND d IS NOT NULL AND o <> d").select("od_key", F.col("o").cast("long").alias("o"), F.col("d").cast("long").alias("d")), "wanted")
     entering = between.select(F.col("dst").alias("vertex_id")).union(wanted.select("o")).select("vertex_id", F.lit("in").alias("side"))
     leaving = between.select(F.col("src").alias("vertex_id")).union(wanted.select("d")).select("vertex_id", F.lit("out").alias("side"))
-    portals = entering.union(leaving).distinct().join(tile, "vertex_id").select(F.col("tile").alias("_tile"), "vertex_id", "side")
+    portals = settle(entering.union(leaving).distinct().join(tile, "vertex_id").select(F.col("tile").alias("_tile"), "vertex_id", "side"), "portals")
+    each = portals.groupBy("_tile").agg((F.count_if(F.col("side") == "in") * F.count_if(F.col("side") == "out")).alias("pairs"))
+    if (each.agg(F.sum("pairs")).first()[0] or 0) > MOST_PAIRS * roads.count() + tile_vertices:
+        placed = edges.join(end("src", "_a"), "src", "left_semi").join(end("dst", "_b"), "dst", "left_semi")
+        return fastest_paths(wanted, placed)
 
     def through(e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(e) and len(p):
             into, outof = (p["vertex_id"][p["side"] == k].tolist() for k in ("in", "out"))
-            rows = [r[:3] for r in _ways(e["src"].tolist(), e["dst"].tolist(), e["cost"].tolist(), dict.fromkeys(into, outof))]
+            rows = [r[:3] for r in search.ways_inside(e["src"].tolist(), e["dst"].tolist(), e["cost"].tolist(), dict.fromkeys(into, outof), paths=False)]
         return pd.DataFrame(rows, columns=["state", "next", "cost"])
 
-    folded = inner.groupBy("tile").cogroup(portals.groupBy("_tile")).applyInPandas(through, "state long, next long, cost double")
+    folded = cells.dealt(inner, "tile", tile, "tile").cogroup(cells.dealt(portals, "_tile", tile, "tile")).applyInPandas(through, "state long, next long, cost double")
     moves = settle(folded.union(between.select("src", "dst", "cost")), "moves")
     starts = wanted.select("o").distinct().select("o", F.col("o").alias("state"), F.lit(0.0).alias("cost"))
     goals = wanted.select("o", F.col("d").alias("goal"), F.col("d").alias("state")).distinct()
@@ -98,7 +78,7 @@ def overlay_paths(ods: DataFrame, vertices: DataFrame, edges: DataFrame, tile_ve
         rows = []
         if len(e) and len(u):
             wanted_of = u.groupby("a")["b"].apply(list).to_dict()
-            rows = [(a, b, path[1:]) for a, b, _, path in _ways(e["src"].tolist(), e["dst"].tolist(), e["cost"].tolist(), wanted_of)]
+            rows = [(a, b, path[1:]) for a, b, _, path in search.ways_inside(e["src"].tolist(), e["dst"].tolist(), e["cost"].tolist(), wanted_of)]
         return pd.DataFrame(rows, columns=["a", "b", "more"])
 
     inside = inner.groupBy("tile").cogroup(used.groupBy("_tile")).applyInPandas(unfolded, "a long, b long, more array<long>")

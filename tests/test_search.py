@@ -131,3 +131,22 @@ def test_turns_over_tiles_equal_rounds_over_edges(spark, tile):
     tiled = {r.od_key: (r.minutes, r.edges) for r in search.paths_with_turns(ods, df, spark.createDataFrame(v, "vertex_id long, lat double, lon double"), tile).collect()}
     assert set(tiled) == set(plain) and len(plain) > 5
     assert all(tiled[k][0] == pytest.approx(plain[k][0]) and tiled[k][1] == plain[k][1] for k in plain)
+
+
+def test_named_ends_in_one_place(spark):
+    # 1 and 5 stand in one place; the way from 5 is the one that was asked for
+    v = spark.createDataFrame([(1, 40.0, -105.0), (5, 40.0, -105.0), (2, 40.0, -105.1), (3, 40.1, -105.0)], "vertex_id long, lat double, lon double")
+    e = spark.createDataFrame([(1, 1, 2, 1.0, 30.0), (2, 5, 3, 1.0, 30.0), (3, 3, 2, 1.0, 30.0)], "edge_id long, src long, dst long, miles double, speed_mph double")
+    ods = spark.createDataFrame([("k", 5, 2)], "od_key string, o long, d long")
+    shape = routing.shortest_paths(ods, v, e).orderBy("shape_pt_sequence").collect()
+    assert [r.shape_pt_lat for r in shape] == [40.0, 40.1, 40.0]
+
+
+def test_network_without_neighbourhoods(spark):
+    rng = np.random.default_rng(4)
+    n = 600
+    v = spark.createDataFrame([(k, float(40 + a), float(-105 + b)) for k, (a, b) in enumerate(rng.random((n, 2)))], "vertex_id long, lat double, lon double")
+    e = spark.createDataFrame([(i, a, (a + s) % n, float(m) + 0.1, 30.0) for i, (a, s, m) in enumerate((a, s, rng.random()) for a in range(n) for s in (1, 7, n - 5))], "edge_id long, src long, dst long, miles double, speed_mph double")
+    ods = spark.createDataFrame([("a", 3, 40), ("b", 10, 590)], "od_key string, o long, d long")
+    got = {r.od_key: r.path for r in routing.overlay_paths(ods, v, e, 300).collect()}
+    assert got == {r.od_key: r.path for r in routing.fastest_paths(ods, e).collect()} and len(got) == 2
