@@ -47,47 +47,59 @@ def hourly_power(weather: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def power_by_scenario(power: DataFrame) -> DataFrame:
-    """One row per scenario with its 24 hourly powers as an array; an hour without data is null, and so is the energy of
-    a trip that touches it."""
+    """One row per scenario with its 24 hourly powers as an array, and with their running sums and counts of gaps before each hour of
+    a day and at its end; an hour without data is null, and so is the energy of a trip that touches it."""
     m = power.groupBy("scenario").agg(F.map_from_entries(F.collect_list(F.struct("hour", "power_kw"))).alias("m"))
-    return m.select("scenario", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.element_at("m", h)).alias("kw"))
+    m = m.select("scenario", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.element_at("m", h)).alias("kw"))
+    kw_before, gaps_before = running(F.col("kw"))
+    return m.select("scenario", "kw", kw_before.alias("kw_before"), gaps_before.alias("gaps_before"))
 
 
-def integral_kwh(start_h: Column, end_h: Column, kw: Column) -> Column:
+def running(kw: Column) -> tuple[Column, Column]:
+    """(sums of the powers, counts of gaps) before each hour of a day and at its end."""
+    run = lambda value: F.transform(F.sequence(F.lit(0), F.lit(24)), lambda h: F.aggregate(F.slice(kw, F.lit(1), h), F.lit(0.0), lambda s, x: s + value(x)))
+    return run(lambda x: F.coalesce(x, F.lit(0.0))), run(lambda x: F.when(x.isNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def integral_kwh(start_h: Column, end_h: Column, kw: Column, kw_before: Column | None = None, gaps_before: Column | None = None) -> Column:
     """Trapezoids of 0.01 h from start, end excluded, over power that is linear between hours and repeats daily.
 
-    Inside one hour the power of grid point k is a + b * k, so a run of points k0..k1 adds n * a + b * (k0 + ... + k1)
-    in closed form; the two ends of the grid count half.  A trip costs a term for each hour it touches.
+    Inside one hour the power of grid point k is a + b * k, so a run of points adds up in closed form.  An hour that is passed
+    whole has 100 points, at the same places in each, so all such hours together cost a difference of running sums: a trip costs the
+    same however long it is.  Power is continuous, so it does not matter on which side of an hour a rounding puts a point.
+    ``kw_before`` and ``gaps_before`` are those of ``running``, which many trips share.
     """
+    if kw_before is None or gaps_before is None:
+        kw_before, gaps_before = running(kw)
     n = F.greatest(F.ceil((end_h - start_h) / F.lit(STEP_H)).cast("long"), F.lit(0))
     last = n - 1
     first_hour = F.floor(start_h)
     last_hour = F.floor(start_h + F.lit(STEP_H) * last)
-    power = lambda h: F.get(kw, F.pmod(h, F.lit(24)).cast("int"))
-
-    def reaches(h: Column) -> Column:
-        """The first grid point at or after an hour; the division may be off by a rounding, the comparison is what counts."""
-        k = F.ceil((h - start_h) / F.lit(STEP_H))
-        before = F.when(start_h + F.lit(STEP_H) * (k - 1) >= h, k - 1).otherwise(k)
-        return F.when(start_h + F.lit(STEP_H) * before < h, before + 1).otherwise(before)
-
-    def run(h: Column) -> Column:
-        k0 = F.greatest(reaches(h), F.lit(0))
-        k1 = F.least(reaches(h + 1) - 1, last)
-        count = F.greatest(k1 - k0 + 1, F.lit(0))
+    of_day = lambda h: F.pmod(h, F.lit(24)).cast("int")
+    power = lambda h: F.coalesce(F.get(kw, of_day(h)), F.lit(0.0))
+    before = lambda runs, h: F.floor(h / F.lit(24)) * F.get(runs, F.lit(24)) + F.get(runs, of_day(h))
+
+    def run(h: Column, k0: Column, k1: Column) -> Column:
+        """Points k0..k1, which lie in hour h."""
         slope = power(h + 1) - power(h)
-        return count * (power(h) + slope * (start_h - h)) + slope * F.lit(STEP_H) * (k0 + k1) * count / 2
+        return (k1 - k0 + 1) * (power(h) + slope * (start_h - h) + slope * F.lit(STEP_H) * (k0 + k1) / 2)
 
-    def at(k: Column) -> Column:
-        t = start_h + F.lit(STEP_H) * k
-        h = F.floor(t)
-        return power(h) + (power(h + 1) - power(h)) * (t - h)
+    def at(k: Column, h: Column) -> Column:
+        return power(h) + (power(h + 1) - power(h)) * (start_h + F.lit(STEP_H) * k - h)
 
-    total = F.aggregate(F.sequence(first_hour, last_hour), F.lit(0.0), lambda s, h: s + run(h))
-    return F.when(n > 1, F.lit(STEP_H) * (total - (at(F.lit(0)) + at(last)) / 2)).otherwise(F.lit(0.0))
+    second = F.ceil((first_hour + 1 - start_h) / F.lit(STEP_H))  # the first point of the second hour
+    inner = last_hour - first_hour - 1
+    shift = start_h + F.lit(STEP_H) * second - (first_hour + 1)
+    whole = 100 * (before(kw_before, last_hour) - before(kw_before, first_hour + 1)) + (power(last_hour) - power(first_hour + 1)) * (100 * shift + 49.5)
+    more = run(first_hour, F.lit(0), second - 1) + whole + run(last_hour, second + 100 * inner, last)
+    total = F.when(inner < 0, run(first_hour, F.lit(0), last)).otherwise(more)
+    kwh = F.lit(STEP_H) * (total - (at(F.lit(0), first_hour) + at(last, last_hour)) / 2)
+    known = before(gaps_before, last_hour + 2) == before(gaps_before, first_hour)
+    return F.when(n > 1, F.when(known, kwh)).otherwise(F.lit(0.0))
 
 
 def trip_hvac(spans: DataFrame, power: DataFrame) -> DataFrame:
     """(trip_id, scenario, hvac_energy_kwh) for trips (trip_id, start_s, end_s); three rows a trip."""
     s = spans.join(F.broadcast(power_by_scenario(power)))
-    return s.select("trip_id", "scenario", integral_kwh(F.col("start_s") / 3600.0, F.col("end_s") / 3600.0, F.col("kw")).alias("hvac_energy_kwh"))
+    kwh = integral_kwh(F.col("start_s") / 3600.0, F.col("end_s") / 3600.0, F.col("kw"), F.col("kw_before"), F.col("gaps_before"))
+    return s.select("trip_id", "scenario", kwh.alias("hvac_energy_kwh"))

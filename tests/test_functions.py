@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from headway.functions import clock, energy, geo
 from headway.operators import thermal
@@ -72,3 +73,20 @@ def test_power_curve_and_integral(spark):
     assert value(spark, thermal.integral_kwh(L(3), L(3), ten)) == 0
     ramp = F.array(*[F.lit(float(h)) for h in range(24)])
     assert value(spark, thermal.integral_kwh(L(23.5), L(24.5), ramp)) > 0
+
+
+def test_hvac_of_whole_hours(spark):
+    # each grid point by itself, against hours that are passed at once
+    kw = [5.0 + 3 * ((h * 7) % 11) for h in range(24)]
+    table = F.array(*map(F.lit, kw))
+    for start, end in ((0.0, 1.0), (5.25, 5.9), (6.993, 8.004), (7.5, 19.37), (22.2, 51.6), (-3.3, 4.41), (9.0, 12.0), (3.1, 3.105), (1 / 3, 100.0)):
+        n = int(np.ceil((end - start) / 0.01))
+        t = start + 0.01 * np.arange(n)
+        h = np.floor(t).astype(int)
+        p = np.array([kw[a % 24] * (1 - b) + kw[(a + 1) % 24] * b for a, b in zip(h, t - h)])
+        want = 0.01 * (p.sum() - (p[0] + p[-1]) / 2) if n > 1 else 0.0
+        assert value(spark, thermal.integral_kwh(L(start), L(end), table)) == pytest.approx(want, rel=1e-9)
+    gap = F.array(*[F.lit(None if h == 9 else 1.0).cast("double") for h in range(24)])
+    assert value(spark, thermal.integral_kwh(L(6.5), L(7.895), gap)) == pytest.approx(1.39)
+    assert value(spark, thermal.integral_kwh(L(6.5), L(8.2), gap)) is None
+    assert "lambda" not in spark.range(1).withColumn("kw", table).select(thermal.integral_kwh(F.col("id") + 1.0, F.col("id") + 9.0, F.col("kw"), F.col("kw"), F.col("kw")))._jdf.queryExecution().optimizedPlan().toString().lower()
