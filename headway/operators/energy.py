@@ -42,6 +42,8 @@ def path_energy_with_stops(paths: DataFrame, edges: DataFrame, vehicles: DataFra
 FEATURES = ("edge_id", "miles", "speed_mph", "grade")
 #: Bounds of the bins of one vehicle; a larger table of rates is no lookup table.
 MAX_BOUNDS = 10_000
+#: Bins of a table of rates that is sent to the edges; a larger one is joined by its bins.
+MAX_BINS = 200_000
 
 
 def check_features(edges: DataFrame, features: tuple[str, ...] = FEATURES) -> None:
@@ -52,7 +54,7 @@ def check_features(edges: DataFrame, features: tuple[str, ...] = FEATURES) -> No
 
 def linear_rates(edges: DataFrame, vehicles: DataFrame) -> DataFrame:
     """(edge_id, vehicle, rate) a mile from each vehicle's coefficients; null where it has none."""
-    return edges.select(*FEATURES).join(vehicles.select("vehicle", "rate0", "rate_mph", "rate_grade")).select("edge_id", "vehicle", en.edge_rate(F.col("speed_mph"), F.col("grade")).alias("rate"))
+    return edges.select(*FEATURES).join(F.broadcast(vehicles.select("vehicle", "rate0", "rate_mph", "rate_grade"))).select("edge_id", "vehicle", en.edge_rate(F.col("speed_mph"), F.col("grade")).alias("rate"))
 
 
 def binned_rates(edges: DataFrame, rates: DataFrame) -> DataFrame:
@@ -60,14 +62,16 @@ def binned_rates(edges: DataFrame, rates: DataFrame) -> DataFrame:
 
     An edge falls into the bin with the largest bounds not above its speed and grade, or into the lowest one.  The bins
     of a vehicle have to be a full grid; edges without speed or grade get no rate, as do those of a bin that is missing.
+    Bins of few distinct values would put all edges into few tasks, so a table of up to MAX_BINS bins goes to the edges.
     """
     by = rates.groupBy("vehicle").agg(F.sort_array(F.collect_set("speed_from")).alias("_s"), F.sort_array(F.collect_set("grade_from")).alias("_g"))
-    size = rates.groupBy("vehicle").agg(F.count_distinct("speed_from").alias("s"), F.count_distinct("grade_from").alias("g")).agg(F.max(F.greatest("s", "g"))).first()[0]
+    size, bins = rates.groupBy("vehicle").agg(F.count_distinct("speed_from").alias("s"), F.count_distinct("grade_from").alias("g"), F.count("*").alias("n")).agg(F.max(F.greatest("s", "g")), F.sum("n")).first()
     if size is not None and size > MAX_BOUNDS:
         raise ValueError(f"{size} bounds of bins for one vehicle; at most {MAX_BOUNDS} are a lookup table")
     last = lambda bounds, c: F.when(F.col(c).isNotNull(), F.coalesce(F.array_max(F.filter(bounds, lambda b: b <= F.col(c))), F.get(bounds, F.lit(0))))
-    placed = edges.select("edge_id", "speed_mph", "grade").join(by).select("edge_id", "vehicle", last("_s", "speed_mph").alias("speed_from"), last("_g", "grade").alias("grade_from"))
-    return placed.join(rates.select("vehicle", "speed_from", "grade_from", "rate"), ["vehicle", "speed_from", "grade_from"]).select("edge_id", "vehicle", "rate")
+    placed = edges.select("edge_id", "speed_mph", "grade").join(F.broadcast(by)).select("edge_id", "vehicle", last("_s", "speed_mph").alias("speed_from"), last("_g", "grade").alias("grade_from"))
+    table = rates.select("vehicle", "speed_from", "grade_from", "rate")
+    return placed.join(F.broadcast(table) if (bins or 0) <= MAX_BINS else table, ["vehicle", "speed_from", "grade_from"]).select("edge_id", "vehicle", "rate")
 
 
 #: Rate models by name: (edges, table of the model's parameters) to (edge_id, vehicle, rate).  Others can be added.
@@ -81,7 +85,7 @@ def path_energy_by_rate(paths: DataFrame, edges: DataFrame, vehicles: DataFrame,
     """
     links = paths.groupBy("shape_id", "edge_id").agg(F.count("*").alias("_n"))
     v = vehicles.select("vehicle", "kind", "mass_kg", "energy_unit", "gge_per_unit")
-    p = links.join(edges.select("edge_id", "miles", "speed_mph"), "edge_id").join(rates, "edge_id").join(v, "vehicle")
+    p = links.join(edges.select("edge_id", "miles", "speed_mph"), "edge_id").join(rates, "edge_id").join(F.broadcast(v), "vehicle")
     used = F.col("rate") * F.col("miles")
     if stop_edges is not None:
         p = p.join(stop_edges.select("shape_id", "edge_id").distinct().withColumn("_stop", F.lit(True)), ["shape_id", "edge_id"], "left")

@@ -204,3 +204,20 @@ def test_energy_lost_in_stops(spark):
     kwh = 0.5 * 16_500 * (20 * 0.44704) ** 2 / 3.6e6
     assert abs(lost["s", "Transit_Bus_Battery_Electric"] - kwh) < 1e-9 and lost["s", "Transit_Bus_Diesel"] > 0
     assert all(abs(lost[k]) < 1e-9 for k in lost if k[0] == "t")
+
+
+def test_rates_of_few_vehicles_do_not_gather_edges(spark):
+    # neither the two vehicles nor their bins may be what links are shuffled by
+    spread = lambda df: df.repartition(3)
+    edges = spread(spark.range(50).selectExpr("id AS edge_id", "1e0 AS miles", "cast(id AS double) AS speed_mph", "0e0 AS grade"))
+    bins = spread(spark.createDataFrame([(m, s, -1.0, 1.0) for m in ("m", "n") for s in (0.0, 20.0)], "vehicle string, speed_from double, grade_from double, rate double"))
+    v = spread(spark.createDataFrame([(m, "bev", 1.0, "kWh", 1.0) for m in ("m", "n")], "vehicle string, kind string, mass_kg double, energy_unit string, gge_per_unit double"))
+    paths = spread(spark.range(100).selectExpr("id % 9 AS shape_id", "id % 50 AS edge_id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = energy.path_energy_by_rate(paths, edges, v, energy.binned_rates(edges, bins))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [vehicle" not in plan and "ShuffledHashJoin [vehicle" not in plan
+        assert out.agg(F.sum("energy_used")).first()[0] == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
