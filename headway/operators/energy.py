@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.functions import energy as en
+from headway.sources.staging import settle
 
 
 def path_energy(paths: DataFrame, edges: DataFrame, vehicles: DataFrame) -> DataFrame:
@@ -94,13 +95,72 @@ def path_energy_by_rate(paths: DataFrame, edges: DataFrame, vehicles: DataFrame,
     return p.groupBy("shape_id", "vehicle", "energy_unit", "gge_per_unit").agg(total(used).alias("energy_used"), total(F.col("miles")).alias("miles"))
 
 
-def describe(df: DataFrame, by: list[str], column: str, accuracy: int = 100_000) -> DataFrame:
-    """n, avg, std, min, quartiles and max of a column by group.
+#: Bins into which a range of values is counted on the way to a quantile, and values that are few enough to be put in order.
+BINS, FEW = 4_096, 20_000
 
-    Quartiles come from a sketch of bounded size; up to ``accuracy`` rows a group they are exact values of the column.
+
+def _quantiles(rows: DataFrame, by: list[str], at: list[float]) -> DataFrame:
+    """(by, q, value): of each group of ``rows`` (by, _x) the smallest value that at least the share q of its values does not exceed.
+
+    The values between two bounds are counted by bins; the bin that holds the wanted place has the next bounds, until few values are left
+    or all are equal.  So no task sees more than bins or few values of a group, however large it is.
     """
-    at = lambda q, name: F.percentile_approx(column, F.lit(q), F.lit(accuracy)).alias(name)
-    return df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("avg"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), at(0.25, "p25"), at(0.5, "p50"), at(0.75, "p75"), F.max(column).alias("max"))
+    same = lambda a, b: F.lit(True) if not by else [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by]
+    rows = settle(rows.filter("_x IS NOT NULL"), "values")
+    finite = F.when(~F.isnan("_x") & (F.abs("_x") < float("inf")), F.col("_x"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+    rank = F.greatest(F.ceil(F.col("_q") * F.col("_n")), F.lit(1)).cast("long")
+    open_ends = sizes.withColumn("_q", F.explode(F.array(*map(F.lit, at)))).select(*by, "_q", rank.alias("_rank"), "_low", "_high", F.lit(True).alias("_first"), "_n")
+    done, step = [], 0
+    while True:
+        open_ends = settle(open_ends, "ranges")
+        if step:
+            ended = (F.col("_low").eqNullSafe(F.col("_high"))) & ~F.col("_first")
+            done.append(open_ends.filter(ended).select(*by, "_q", F.col("_low").alias("value")))
+            few = open_ends.filter(~ended & (F.col("_n") <= FEW))
+            open_ends = open_ends.filter(~ended & (F.col("_n") > FEW))
+        else:
+            few = open_ends.filter(F.col("_n") <= FEW)
+            open_ends = open_ends.filter(F.col("_n") > FEW)
+        ranges = few.select(*by, "_low", "_high", "_first").distinct()
+        held = rows.alias("r").join(_small(ranges).alias("s"), same("r", "s")).filter("_first OR _x BETWEEN _low AND _high")
+        w = Window.partitionBy(*[f"s.{c}" for c in by], "_low", "_high").orderBy("_x")
+        held = held.select(*[F.col(f"s.{c}") for c in by], "_low", "_high", "_x", F.row_number().over(w).cast("long").alias("_rank"))
+        met = few.alias("f").join(held.alias("h"), [*([] if not by else same("f", "h")), F.col("f._low").eqNullSafe(F.col("h._low")), F.col("f._high").eqNullSafe(F.col("h._high")), F.col("f._rank") == F.col("h._rank")])
+        done.append(met.select(*[F.col(f"f.{c}") for c in by], "_q", F.col("_x").alias("value")))
+        if open_ends.isEmpty():
+            break
+        ranges = open_ends.select(*by, "_low", "_high", "_first").distinct()
+        held = rows.alias("r").join(_small(ranges).alias("s"), same("r", "s")).filter("_first OR _x BETWEEN _low AND _high")
+        # halves, as the difference of the bounds may be too large a number
+        part = (F.col("_x") / 2 - F.col("_low") / 2) / (F.col("_high") / 2 - F.col("_low") / 2)
+        inside = F.when(F.col("_low") == F.col("_high"), F.lit(0)).otherwise(F.least(F.floor(part * BINS), F.lit(BINS - 1)))
+        place = F.when(F.isnan("_x"), BINS + 1).when(F.col("_x") == float("inf"), BINS).when(F.col("_x") == float("-inf"), -1).otherwise(inside)
+        counts = held.groupBy(*[F.col(f"s.{c}").alias(c) for c in by], "_low", "_high", place.cast("int").alias("_bin")).agg(F.count("*").alias("_n"), F.min("_x").alias("_from"), F.max("_x").alias("_to"))
+        run = Window.partitionBy(*by, "_low", "_high").orderBy("_bin")
+        counts = counts.withColumn("_upto", F.sum("_n").over(run))
+        met = open_ends.drop("_n").alias("f").join(counts.alias("h"), [*([] if not by else same("f", "h")), F.col("f._low").eqNullSafe(F.col("h._low")), F.col("f._high").eqNullSafe(F.col("h._high")), F.col("_rank") <= F.col("_upto"), F.col("_rank") > F.col("_upto") - F.col("h._n")])
+        open_ends = met.select(*[F.col(f"f.{c}") for c in by], "_q", (F.col("_rank") - F.col("_upto") + F.col("h._n")).alias("_rank"), F.col("_from").alias("_low"), F.col("_to").alias("_high"), F.lit(False).alias("_first"), "_n")
+        step += 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out
+
+
+def _small(ranges: DataFrame) -> DataFrame:
+    """A table that is sent to all tasks where it is small."""
+    return F.broadcast(ranges) if ranges.limit(10_001).count() <= 10_000 else ranges
+
+
+def describe(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """n, avg, std, min, quartiles and max of a column by group; quartiles are exact values of the column."""
+    rows = settle(df.select(*by, F.col(column).cast("double").alias("_x")), "values")
+    whole = rows.groupBy(*by).agg(F.count("_x").alias("n"), F.avg("_x").alias("avg"), F.stddev_samp("_x").alias("std"), F.min("_x").alias("min"), F.max("_x").alias("max"))
+    names = {0.25: "p25", 0.5: "p50", 0.75: "p75"}
+    q = _quantiles(rows, by, list(names)).groupBy(*by).agg(*[F.max(F.when(F.col("_q") == k, F.col("value"))).alias(n) for k, n in names.items()])
+    on = [F.col(f"w.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by] or F.lit(True)
+    return whole.alias("w").join(q.alias("q"), on, "left").select(*[F.col(f"w.{c}") for c in by], "n", "avg", "std", "min", *names.values(), "max")
 
 
 def charge_left(shape_energy: DataFrame, vehicles: DataFrame, start_soc: float = 100.0) -> DataFrame:

@@ -206,6 +206,20 @@ def test_energy_lost_in_stops(spark):
     assert all(abs(lost[k]) < 1e-9 for k in lost if k[0] == "t")
 
 
+def test_quartiles_are_exact_values(spark, monkeypatch):
+    monkeypatch.setattr(energy, "FEW", 20)
+    monkeypatch.setattr(energy, "BINS", 8)
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.lognormal(0, 6, 3001), "b": np.array([7.0] * 500 + [8.0]), "c": rng.integers(0, 5, 400) * 1.0, "d": np.array([1e308, -1e308] * 30 + [float("inf")] * 70), None: np.arange(4) / 3}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None)]
+    got = {r.g: r for r in energy.describe(spark.createDataFrame(rows, "g string, x double"), ["g"], "x").collect()}
+    assert set(got) == {*groups, "e"} and got["e"].n == 0 and got["e"].p50 is None
+    for k, v in groups.items():
+        s = np.sort(v)
+        assert [got[k].p25, got[k].p50, got[k].p75] == [s[max(int(np.ceil(q * len(s))), 1) - 1] for q in (0.25, 0.5, 0.75)]
+        assert got[k].n == len(s) and got[k].min == s[0] and got[k].max == s[-1]
+
+
 def test_rates_of_few_vehicles_do_not_gather_edges(spark):
     # neither the two vehicles nor their bins may be what links are shuffled by
     spread = lambda df: df.repartition(3)
