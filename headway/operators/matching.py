@@ -27,6 +27,10 @@ from headway.sources.staging import settle
 #: Metres that weigh as much as a minute when an end is put on an edge beside it.
 METRES_A_MINUTE = 500.0
 _DEGREE = 111_194.9
+#: Shapes that are matched beside each other while their roads are few.
+BATCH = 64
+#: Points after which a dense trace is first cut.
+EVERY = 16
 
 
 class Streets:
@@ -38,7 +42,7 @@ class Streets:
         self.x1, self.y1 = edges["lon1"].to_numpy() * self.kx, edges["lat1"].to_numpy() * self.ky
         self.dx, self.dy = edges["lon2"].to_numpy() * self.kx - self.x1, edges["lat2"].to_numpy() * self.ky - self.y1
         self.metres = np.hypot(self.dx, self.dy)
-        self.src, self.dst, self.minutes = edges["src"].tolist(), edges["dst"].tolist(), edges["minutes"].to_numpy()
+        self.src, self.dst, self.minutes = edges["src"].tolist(), edges["dst"].tolist(), edges["minutes"].tolist()
         self.out = defaultdict(list)
         for k, s in enumerate(self.src):
             self.out[s].append(k)
@@ -90,8 +94,23 @@ class Matcher:
         self.s, self.x, self.y = streets, x, y
         self.epsilon, self.similarity, self.cutting, self.farthest = epsilon, similarity, cutting, farthest
         self.ends: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.judged: dict[tuple, list[int]] = {}
         self.links: dict[tuple[int, int], dict[tuple[int, int], tuple[float, list[int]]]] = {}
 
+    def place_all(self) -> None:
+        """The candidates of all points that have a road within epsilon, a run of points at a time with the edges around them."""
+        s, r = self.s, self.epsilon
+        west, east = np.minimum(s.x1, s.x1 + s.dx) - r, np.maximum(s.x1, s.x1 + s.dx) + r
+        south, north = np.minimum(s.y1, s.y1 + s.dy) - r, np.maximum(s.y1, s.y1 + s.dy) + r
+        for a in range(0, len(self.x), 16):
+            x, y = self.x[a : a + 16], self.y[a : a + 16]
+            around = np.flatnonzero((west <= x.max()) & (east >= x.min()) & (south <= y.max()) & (north >= y.min()))
+            if len(around):
+                d, t = s.placed(x, y, around)
+                for i, near in enumerate(d <= r):
+                    if near.any():
+                        self.ends[a + i] = (around[near], t[i, near], d[i, near])
+
     def candidates(self, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(edges, share passed, metres) that point p may lie on: all within epsilon, else the nearest, if near enough."""
         if p not in self.ends:
@@ -165,8 +184,8 @@ class Matcher:
                 found.append(int(inner[run[len(run) // 2]]))
         return sorted(set(found))
 
-    def match(self) -> tuple[list[int], int]:
-        """(edges of the way, places where it is broken)."""
+    def match(self, every: int | None = None) -> tuple[list[int], int]:
+        """(edges of the way, places where it is broken); with ``every`` the trace is first cut at each such point that lies at a road."""
         near = [p for p in (0, len(self.x) - 1) if len(self.candidates(p)[0])]
         if len(near) < 2:
             return [], 1
@@ -174,9 +193,17 @@ class Matcher:
         if len(cuts) < 2:
             k = self.candidates(0)
             return [int(k[0][k[2].argmin()])], 0
+        if every:
+            cuts = sorted({*cuts, *(p for p in range(every, len(self.x) - every // 2, every) if self.candidates(p)[2].min(initial=np.inf) <= self.epsilon)})
         while True:
             paths, breaks = self.chain(cuts)
-            more = {c for p, q, path in zip(cuts, cuts[1:], paths, strict=False) for c in self.cut(p, q, *path)} - set(cuts)
+            more = set()
+            for p, q, (path, first, last) in zip(cuts, cuts[1:], paths, strict=False):
+                key = (p, q, first, last, *path)
+                if key not in self.judged:
+                    self.judged[key] = self.cut(p, q, path, first, last)
+                more.update(self.judged[key])
+            more -= set(cuts)
             if not more:
                 break
             cuts = sorted({*cuts, *more})
@@ -200,6 +227,29 @@ def located(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def roads_of_shapes(trace: DataFrame, roads: DataFrame, reach_m: float, tile_m: float = 2_000.0) -> DataFrame:
     """(shape_id, and the columns of ``roads``): the edges of all tiles within ``reach_m`` of a trace, also where it has gaps."""
+    return tiles_of(trace, reach_m, tile_m).join(_tiled(roads, tile_m), "c").drop("c").dropDuplicates(["shape_id", "edge_id"])
+
+
+def _tiled(roads: DataFrame, tile_m: float) -> DataFrame:
+    (x1, y1), (x2, y2) = geo.mercator(F.col("lat1"), F.col("lon1")), geo.mercator(F.col("lat2"), F.col("lon2"))
+    return roads.withColumn("c", F.explode(touched_cells(F.least(x1, x2), F.greatest(x1, x2), F.least(y1, y2), F.greatest(y1, y2), tile_m)))
+
+
+def near_tiles(lat: np.ndarray, lon: np.ndarray, reach_m: float, tile_m: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the tiles within ``reach_m`` of the lines of one trace, as ``tiles_of``."""
+    x, y = np.radians(lon) * geo.MERCATOR_M, np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)) * geo.MERCATOR_M
+    nx, ny = np.append(x[1:], x[-1]), np.append(y[1:], y[-1])
+    n = (np.ceil(np.hypot(nx - x, ny - y) / tile_m) + 1).astype(int)
+    at = np.repeat(np.arange(len(x)), n + 1)
+    k = np.arange(len(at)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)
+    i, j = np.floor((x[at] + (nx - x)[at] * k / n[at]) / tile_m).astype(np.int64), np.floor((y[at] + (ny - y)[at] * k / n[at]) / tile_m).astype(np.int64)
+    ring = np.arange(-int(-(-reach_m * 1.5 // tile_m)), int(-(-reach_m * 1.5 // tile_m)) + 1)
+    passed = np.unique(np.stack([i, j]), axis=1)
+    return (passed[0][:, None, None] + ring[:, None] + 0 * ring).ravel(), (passed[1][:, None, None] + ring + 0 * ring[:, None]).ravel()
+
+
+def tiles_of(trace: DataFrame, reach_m: float, tile_m: float) -> DataFrame:
+    """(shape_id, c): the tiles within ``reach_m`` of a trace."""
     x, y = geo.mercator(F.col("lat"), F.col("lon"))
     w = Window.partitionBy("shape_id").orderBy("second")
     p = trace.select("shape_id", "second", x.alias("x"), y.alias("y"))
@@ -211,10 +261,7 @@ def roads_of_shapes(trace: DataFrame, roads: DataFrame, reach_m: float, tile_m:
     passed = p.select("shape_id", spot("x", "nx").alias("i"), spot("y", "ny").alias("j")).distinct()
     ring = int(-(-reach_m * 1.5 // tile_m))  # a metre on the ground is up to 1.5 on this plane at the latitudes of bus lines
     around = F.explode(F.sequence(F.lit(-ring), F.lit(ring)))
-    tiles = passed.withColumn("a", around).withColumn("b", around).select("shape_id", F.struct((F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j")).alias("c")).distinct()
-    (x1, y1), (x2, y2) = geo.mercator(F.col("lat1"), F.col("lon1")), geo.mercator(F.col("lat2"), F.col("lon2"))
-    placed = roads.withColumn("c", F.explode(touched_cells(F.least(x1, x2), F.greatest(x1, x2), F.least(y1, y2), F.greatest(y1, y2), tile_m)))
-    return tiles.join(placed, "c").drop("c").dropDuplicates(["shape_id", "edge_id"])
+    return passed.withColumn("a", around).withColumn("b", around).select("shape_id", F.struct((F.col("i") + F.col("a")).alias("i"), (F.col("j") + F.col("b")).alias("j")).alias("c")).distinct()
 
 
 def match_lcss(
@@ -226,6 +273,7 @@ def match_lcss(
     similarity: float = 0.9,
     cutting_m: float = 10.0,
     reaches_m: tuple[float, ...] = (1_000.0, 10_000.0),
+    near_m: float = 250.0,
 ) -> DataFrame:
     """(shape_id, seq, edge_id): the edges along each trace (shape_id, second, lat, lon), over a network of any size.
 
@@ -233,10 +281,13 @@ def match_lcss(
     each run of points whose distance differs from ``epsilon_m`` by less than ``cutting_m``.  Points without a road within the last of
     ``reaches_m`` are left out, as are points without coordinates.  Traces without any road give no rows; where roads do not connect even within
     the last reach, the way goes on behind the break.  One shape is one group.
+
+    Most traces lie at roads without long gaps, and the roads within ``near_m`` decide: a trace none of whose points is farther than
+    ``epsilon_m`` from a road or than ``near_m`` from the point before is matched with these first, BATCH shapes to a group, so that roads that
+    they share travel once.  The result stands if the way has no break.
     """
     roads = settle(located(vertices, edges), "roads")
     open_trace = trace.select("shape_id", "second", "lat", "lon").dropna()
-    done = None
 
     def matched(reach: float):
         def run(points: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
@@ -256,14 +307,52 @@ def match_lcss(
 
         return run
 
+    def close(points: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        near = near.sort_values(["edge_id", "i", "j"], ignore_index=True)
+        tile = near["i"].to_numpy() * (1 << 32) + near["j"].to_numpy()
+        for shape, p in points.groupby("shape_id", sort=False):
+            p = p.sort_values("second")
+            i, j = near_tiles(p["lat"].to_numpy(), p["lon"].to_numpy(), near_m, near_tile)
+            mine = near[np.isin(tile, i * (1 << 32) + j)].drop_duplicates("edge_id", ignore_index=True)
+            if not len(mine):
+                continue
+            s = Streets(mine, p["lat"].mean())
+            x, y = p["lon"].to_numpy() * s.kx, p["lat"].to_numpy() * s.ky
+            if len(x) > 1 and np.hypot(np.diff(x), np.diff(y)).max() > near_m:
+                continue
+            one = Matcher(s, x, y, epsilon_m, similarity, cutting_m, near_m)
+            one.place_all()
+            if len(one.ends) < len(x):
+                continue
+            way, breaks = one.match(EVERY)
+            if way and not breaks:
+                out.append(pd.DataFrame({"shape_id": shape, "seq": np.arange(1, len(way) + 1, dtype=np.int32), "edge_id": s.ids[way]}))
+        return pd.concat(out) if out else pd.DataFrame({"shape_id": points["shape_id"].iloc[:0], "seq": np.empty(0, np.int32), "edge_id": np.empty(0, np.int64)})
+
+    kind = trace.schema["shape_id"].dataType.simpleString()
+    near_tile = max(near_m * 1.5, 1.0)
+    open_trace = settle(open_trace, "trace")
+    batches = open_trace.select("shape_id").distinct().count() // BATCH + 1
+    batch = F.pmod(F.xxhash64("shape_id"), F.lit(batches))
+    shared = tiles_of(open_trace, near_m, near_tile).select(batch.alias("_batch"), "c").distinct()
+    shared = shared.join(_tiled(roads, near_tile), "c").select("*", "c.i", "c.j").drop("c")
+    # the least bytes are long work, so tasks are not put together by bytes
+    tasks = max(min(batches, 16 * int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    by_batch = lambda df: df.repartition(tasks, "_batch").groupBy("_batch")
+    done = settle(by_batch(open_trace.withColumn("_batch", batch)).cogroup(by_batch(shared)).applyInPandas(close, f"shape_id {kind}, seq int, edge_id long"), "matched")
+    open_trace = settle(open_trace.join(done.select("shape_id").distinct(), "shape_id", "left_anti"), "trace")
+    if open_trace.isEmpty():
+        return done
+    done = done.withColumn("breaks", F.lit(0))
+
     for k, reach in enumerate(reaches_m):
         local = roads_of_shapes(open_trace, roads, reach).withColumnRenamed("shape_id", "shape")
-        kind = trace.schema["shape_id"].dataType.simpleString()
         found = open_trace.groupBy("shape_id").cogroup(local.groupBy("shape")).applyInPandas(matched(reach), f"shape_id {kind}, seq int, edge_id long, breaks int")
         found = settle(found, "matched")
         last = k == len(reaches_m) - 1
         whole = found if last else found.filter("breaks = 0")
-        done = whole if done is None else done.unionByName(whole)
+        done = done.unionByName(whole)
         if last or found.filter("breaks > 0").isEmpty():
             break
         open_trace = open_trace.join(found.filter("breaks > 0").select("shape_id").distinct(), "shape_id", "left_semi")

@@ -126,3 +126,19 @@ def test_common_share():
     assert matching.common_share(np.array([[0.0, 90.0], [90.0, 0.0]]), 50.0) == 1
     assert matching.common_share(np.array([[90.0, 0.0], [0.0, 90.0]]), 50.0) == 0.5  # in the wrong order
     assert matching.common_share(np.array([[25.0], [90.0]]), 50.0) == 0.5
+
+
+def test_roads_that_shapes_share_travel_once(spark, monkeypatch):
+    # traces along one street of 30 pieces, one beyond a gap: close ones are matched in batches, the same as each by its own tiles
+    v = spark.createDataFrame([(k, 40.0, -105.0 + k * 0.002) for k in range(31)], "vertex_id long, lat double, lon double")
+    e = spark.createDataFrame([(k, k, k + 1, 0.1, 30.0) for k in range(30)] + [(100 + k, k + 1, k, 0.1, 30.0) for k in range(30)], "edge_id long, src long, dst long, miles double, speed_mph double")
+    rows = [(f"s{a}", q, 40.0 + ((q * 7 + a) % 5 - 2) * 4e-5, -105.0 + 0.002 * a + q * 0.0005 + 0.0002) for a in range(5) for q in range(80)]
+    rows += [("gap", q, 40.0, -104.9998 + q * 0.01) for q in range(5)]
+    trace = spark.createDataFrame(rows, "shape_id string, second int, lat double, lon double")
+    alone = []
+    monkeypatch.setattr(matching, "roads_of_shapes", lambda t, *a, f=matching.roads_of_shapes: (alone.extend(sorted(r[0] for r in t.select("shape_id").distinct().collect())), f(t, *a))[1])
+    got = {}
+    for r in matching.match_lcss(trace, v, e).orderBy("shape_id", "seq").collect():
+        got.setdefault(r.shape_id, []).append(r.edge_id)
+    assert alone == ["gap"]
+    assert got == {**{f"s{a}": list(range(a, a + 20)) for a in range(5)}, "gap": list(range(20))}
