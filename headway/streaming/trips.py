@@ -11,6 +11,7 @@ import json
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,20 +42,20 @@ def made_trips(positions: DataFrame, *, late: str = "10 minutes", gap_s: int = G
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # open: trip, first and last time, positions, km, last place; todo: time, trip, place
-        memory = json.loads(state.get[0]) if state.exists else {"open": None, "todo": {}, "done": -1}
+        trip, waiting, passed = json.loads(state.get[0]) if state.exists else (None, [], -1)
+        todo = {ms: at for ms, *at in waiting}
         mark = state.getCurrentWatermarkMs()
         for f in frames:
-            for trip, lat, lon, ts in zip(f["trip_id"], f["lat"], f["lon"], f["ts"], strict=True):
-                ms = int(ts.value // 1_000_000)
-                if ms > memory["done"]:
-                    at = memory["todo"].get(str(ms))
-                    memory["todo"][str(ms)] = min(filter(None, (at, [trip, lat, lon])))
-        out, trip = [], memory["open"]
-        for ms in sorted(map(int, memory["todo"])):
+            stamps = f["ts"].to_numpy("datetime64[ns]").astype("int64") // 1_000_000
+            for ms, *at in zip(stamps.tolist(), f["trip_id"].tolist(), f["lat"].tolist(), f["lon"].tolist(), strict=True):
+                if ms > passed and (ms not in todo or at < todo[ms]):
+                    todo[ms] = at
+        out, order = [], sorted(todo)
+        for ms in order:
             if ms > mark:
                 break
-            name, *place = memory["todo"].pop(str(ms))
-            memory["done"] = ms
+            name, *place = todo.pop(ms)
+            passed = ms
             if trip and (trip[0] != name or ms - trip[2] > gap_s * 1000):
                 out.append(trip)
                 trip = None
@@ -63,18 +64,18 @@ def made_trips(positions: DataFrame, *, late: str = "10 minutes", gap_s: int = G
             else:
                 trip = [name, ms, ms, 1, 0.0, place]
         # nothing that may still come can continue it
-        if trip and mark - trip[2] > gap_s * 1000 and all(int(k) - trip[2] > gap_s * 1000 for k in memory["todo"]):
+        if trip and mark - trip[2] > gap_s * 1000 and all(ms - trip[2] > gap_s * 1000 for ms in todo):
             out.append(trip)
             trip = None
-        memory["open"] = trip
-        if trip or memory["todo"]:
-            state.update((json.dumps(memory),))
-            next_ms = min([int(k) for k in memory["todo"]] + ([trip[2] + gap_s * 1000 + 1] if trip else []))
+        if trip or todo:
+            state.update((json.dumps((trip, [(ms, *todo[ms]) for ms in order if ms in todo], passed)),))
+            next_ms = min([*todo, *([trip[2] + gap_s * 1000 + 1] if trip else [])])
             state.setTimeoutTimestamp(max(next_ms, mark + 1))
         elif state.exists:
             state.remove()
-        stamp = lambda k: pd.to_datetime([t[k] for t in out], unit="ms", utc=True)
-        yield pd.DataFrame({"vehicle_id": [key[0]] * len(out), "trip_id": [t[0] for t in out], "begun": stamp(1), "ended": stamp(2), "n": [t[3] for t in out], "km": [t[4] for t in out]})
+        if out:  # most vehicles have no trip to give in most batches, and a table is dear
+            stamp = lambda k: pd.DatetimeIndex(np.array([t[k] for t in out], "datetime64[ms]").astype("datetime64[ns]"), tz="UTC")
+            yield pd.DataFrame({"vehicle_id": [key[0]] * len(out), "trip_id": [t[0] for t in out], "begun": stamp(1), "ended": stamp(2), "n": [t[3] for t in out], "km": [t[4] for t in out]})
 
     p = _usable(positions).withWatermark("ts", late)
     return p.groupBy("vehicle_id").applyInPandasWithState(step, TRIPS, "memory string", "append", GroupStateTimeout.EventTimeTimeout)

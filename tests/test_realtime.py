@@ -4,6 +4,7 @@ import datetime
 import random
 import struct
 
+import pandas as pd
 import pytest
 from headway.streaming import realtime, trips
 from pyspark.sql import functions as F
@@ -112,3 +113,32 @@ def test_against_schedule(spark):
     plan = spark.createDataFrame([("t", 20.0, 0, 3600), ("u", 5.0, 0, 600)], "trip_id string, km double, start_s long, end_s long")
     got = {r.trip_id: (r.kmh, r.scheduled_kmh, r.ratio) for r in trips.against_schedule(made, plan).collect()}
     assert got == {"t": (30.0, 20.0, 1.5), "u": (None, 30.0, None), "w": (60.0, None, None)}
+
+
+def test_vehicles_without_an_ended_trip_give_no_table(monkeypatch):
+    # a table a vehicle and batch is what a stream of many vehicles spends its time on
+    step = {}
+
+    class Grouped:
+        withWatermark = groupBy = lambda self, *_: self
+
+        def applyInPandasWithState(self, f, *_):
+            step["f"] = f
+
+    class State:
+        exists, memory = False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, memory):
+            self.memory = memory
+
+        def setTimeoutTimestamp(self, _):
+            pass
+
+    monkeypatch.setattr(trips, "_usable", lambda _: Grouped())
+    trips.made_trips(None)
+    state = State()
+    f = pd.DataFrame({"trip_id": ["a", "a"], "lat": [1.0, 2.0], "lon": [1.0, 2.0], "ts": pd.to_datetime([5, 6], unit="s")})
+    assert not list(step["f"](("v",), iter([f]), state)) and state.memory
