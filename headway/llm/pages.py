@@ -5,7 +5,8 @@
    presentation (the sequence of its block children) and each feature of its own content (terms, links, images) occurs
    on the host's pages; copies of a page count once.
 2. A feature of c of a node's m pages has the importance 1 - log c / log m: 0 where every page has it, 1 where one has.
-   A leaf's importance is the mean over its features.  That of an inner node is composed bottom-up: the entropy of its
+   A leaf's importance is the mean over all features of its pages, by what they show of it: a term weighs its letters,
+   so that short words which all texts share say little, a link or image weighs one.  That of an inner node is composed bottom-up: the entropy of its
    presentations and the importance of its children, the more of the former the more presentations it has.  What a
    branch carries is the sum of importance times words over its nodes.
 3. The main branch of a page is found from the root down, by following the one child that carries most of what its
@@ -16,7 +17,8 @@ Elements that hold no text of the page (scripts, styles, forms, media) go first,
 tag or class that they are menus, adverts or comments: comments of readers vary like an article does, and no entropy
 tells them apart.  Pages of hosts with too few pages for a tree rely on those words and on article and main elements.
 
-The tree's rows are counts that are added up before the shuffle.  A host's tree comes back to its pages by a broadcast
+The tree's rows are counts that are added up before the shuffle, one for each feature of a node; the features of a
+large host's node are dealt to several tasks.  A host's tree comes back to its pages by a broadcast
 where all trees together are within a checked size, and otherwise by a join whose key also holds a part of the host, so
 pages of a large host never meet in one task.
 """
@@ -25,15 +27,17 @@ from __future__ import annotations
 
 import html
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import slices, store
+from headway.llm.common import may_be_among, slices, store
 
 #: Elements whose text is never the page's.
 NEVER = frozenset("script style noscript template head title form button select option textarea iframe object embed svg canvas audio video map input label fieldset".split())
@@ -53,8 +57,10 @@ CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>", re.S)
 _ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _DIGITS = re.compile(r"\d+")
-#: Features of a node's content that are counted on each page: those of the smallest hashes, the same order everywhere.
-FEATURES = 16
+#: Features that a task holds before it hands on their counts.
+HELD = 1 << 21
+#: Parts of a node's features, by their hash; the parts of a node meet in tasks of their own.
+PARTS = 32
 #: How much of an inner node's importance is that of its children, to the power of its number of presentations.
 GAMMA = 0.9
 #: A child that carries this share of its parent leads to the main branch.
@@ -193,6 +199,7 @@ class Branch:
     nodes: int = 0
     words: int = 0
     terms: set = field(default_factory=set)
+    refs: set = field(default_factory=set)
     shape: list = field(default_factory=list)
     children: dict = field(default_factory=dict)  # paths in page order
 
@@ -212,7 +219,7 @@ def branches(root: Node) -> dict[int, Branch]:
             out[at].nodes += 1
             out[at].shape.append("(")
         b = out[at]
-        b.terms.update(node.refs)
+        b.refs.update(node.refs)
         for i in node.items:
             if isinstance(i, str):
                 found = i.split()
@@ -227,6 +234,11 @@ def host(url: str | None) -> str:
     return m.group(1).rpartition("@")[2].lower() if m else ""
 
 
+def _url_host() -> Column:
+    """``host`` as a column expression."""
+    return F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1), "^.*@", ""))
+
+
 def named_branch(root: Node) -> Node:
     """The branch that holds the main text by its name: the article or main element with most text, else all."""
     named, stack = [], [root]
@@ -332,29 +344,87 @@ def _under_marked(n: Node | None, words: bool) -> bool:
     return False
 
 
-def site_trees(pages: DataFrame) -> DataFrame:
-    """``host, path, pages, styles, presentation, content, words``: the nodes of each host's merged tree."""
+def different_pages(pages: DataFrame) -> DataFrame:
+    """``host, html``: each host's pages, copies of a page once.  Only pages that may have copies are shuffled."""
+    rows = pages.select(_url_host().alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("page", F.xxhash64("host", "html"))
+    copied = store(rows.groupBy("page").count().filter("count > 1").select("page"), "pages-copied")
+    once = may_be_among(rows, "page", copied, "page", inside=False).select("host", "html")
+    return once.unionByName(may_be_among(rows, "page", copied, "page").groupBy("host", "page").agg(F.first("html").alias("html")).select("host", "html"))
+
+
+def _counts(held: dict[tuple[str, int], tuple[dict[int, list[int]], array, array]]) -> Iterator[pa.RecordBatch]:
+    """The counts of ``features`` from what a task holds: by node its presentations, the features of all pages and what these weigh."""
+    keys, lists, size = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.bool_()))]
+        ends = pa.array(np.cumsum([0] + [len(x[0]) for x in lists]), pa.int32())
+        columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in lists]), pa.int64())) for i in range(3)]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "path", "part", "shape", "feature", "n", "size"])
+
+    for (host, path), (shapes, terms, sizes) in held.items():
+        kinds = [(True, *np.array([(s, *n) for s, n in shapes.items()], np.int64).T)]
+        if terms:
+            feature, at, n = np.unique(np.frombuffer(terms, np.int64), return_index=True, return_counts=True)
+            kinds.append((False, feature, n, np.frombuffer(sizes, np.int64)[at]))
+        for shape, feature, n, weight in kinds:
+            part = feature & (PARTS - 1)
+            order = np.lexsort((weight, n, part))  # equal values side by side take little room
+            starts = np.flatnonzero(np.diff(part[order], prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+                keys.append((host, path, int(part[order[a]]), shape))
+                lists.append((feature[order[a:b]], n[order[a:b]], weight[order[a:b]]))
+            size += len(order)
+        if size >= 1 << 18:
+            yield batch()
+            keys, lists, size = [], [], 0
+    if keys:
+        yield batch()
+
+
+def features(pages: DataFrame) -> DataFrame:
+    """``host, path, part, shape, feature, n, words, size``: every presentation (``shape``) and every feature of the
+    content of each node, on how many of the host's different pages it is, the words of these and what it weighs."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
         for b in (part for whole in batches for part in slices(whole, 1)):
-            rows = []
-            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h, digest = host(url), _hash(page or "")
-                rows += [(h, p, digest, _hash(",".join(x.shape)), x.words, sorted(map(_hash, x.terms))[:FEATURES]) for p, x in branches(parse(page)).items() if p]
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "path", "page", "shape", "words", "terms"])
-
-    seen = pages.select("url", "html").mapInArrow(nodes, "host string, path long, page long, shape long, words long, terms array<long>")
-    # copies of a page count once
-    seen = store(seen.groupBy("host", "path", "page").agg(F.first("shape").alias("shape"), F.first("words").alias("words"), F.first("terms").alias("terms")), "pages-nodes")
+            for h, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for p, x in branches(parse(page)).items():
+                    if not p:
+                        continue
+                    if (h, p) not in held:
+                        held[h, p] = {}, array("q"), array("q")
+                    shapes, terms, sizes = held[h, p]
+                    n = shapes.setdefault(_hash(",".join(x.shape)), [0, 0])
+                    n[0] += 1
+                    n[1] += x.words
+                    terms.extend(map(_hash, x.terms))
+                    sizes.extend(map(len, x.terms))
+                    terms.extend(~_hash(r) for r in x.refs)  # no term
+                    sizes.extend([1] * len(x.refs))
+                    size += len(x.terms) + len(x.refs) + 8
+                if size >= HELD:
+                    yield from _counts(held)
+                    held, size = {}, 0
+        yield from _counts(held)
+
+    part = ["host", "path", "part"]
+    found = different_pages(pages).mapInArrow(nodes, "host string, path long, part int, shape boolean, feature array<long>, n array<long>, size array<long>")
+    # packed until they are where they are counted
+    each = found.repartition(*part).select(*part, "shape", F.explode(F.arrays_zip("feature", "n", "size")).alias("f")).select(*part, "shape", "f.*")
+    return each.groupBy(*part, "shape", "feature").agg(F.sum("n").alias("n"), F.sum("size").alias("words"), F.max("size").alias("size"))
+
+
+def site_trees(pages: DataFrame) -> DataFrame:
+    """``host, path, pages, styles, presentation, content, words``: the nodes of each host's merged tree."""
     node = ["host", "path"]
-    shapes = seen.groupBy(*node, "shape").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
-    tree = shapes.groupBy(*node).agg(F.sum("n").alias("pages"), F.count("*").alias("styles"), F.sum("w").alias("w"), F.sum(F.col("n") * F.ln("n")).alias("nl")).filter("pages > 1")
-    tree = tree.select(*node, "pages", "styles", (F.lit(1.0) - F.col("nl") / (F.col("pages") * F.ln("pages"))).alias("presentation"), (F.col("w") / F.col("pages")).alias("words"))
-    terms = seen.select(*node, F.explode("terms").alias("term")).groupBy(*node, "term").agg(F.count("*").alias("c"))
-    terms = terms.groupBy(*node).agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.ln("c")).alias("cl"))
+    of_shapes = lambda c: F.sum(F.when(F.col("shape"), c))
+    of_terms = lambda c: F.sum(F.when(~F.col("shape"), c))
+    n, size = F.col("n"), F.col("size")
+    tree = features(pages).groupBy(*node).agg(of_shapes(n).alias("pages"), of_shapes(F.lit(1)).alias("styles"), of_shapes(F.col("words")).alias("w"), of_shapes(n * F.ln(n)).alias("nl"), of_terms(n * size).alias("c"), of_terms(size * n * F.ln(n)).alias("cl")).filter("pages > 1")
     content = F.coalesce(F.lit(1.0) - F.col("cl") / (F.col("c") * F.ln("pages")), F.lit(0.0))
-    return tree.join(terms, node, "left").select(*node, "pages", "styles", "presentation", content.alias("content"), "words")
+    return tree.select(*node, "pages", "styles", (F.lit(1.0) - F.col("nl") / (F.col("pages") * F.ln("pages"))).alias("presentation"), content.alias("content"), (F.col("w") / F.col("pages")).alias("words"))
 
 
 def main_text(pages: DataFrame, *, floor: float = 0.25, least_pages: int = 8, words: bool = True) -> DataFrame:
@@ -368,8 +438,7 @@ def main_text(pages: DataFrame, *, floor: float = 0.25, least_pages: int = 8, wo
     tree = site_trees(pages).filter(F.col("pages") >= least_pages)
     by_host = store(tree.groupBy("host").agg(F.max("pages").alias("most"), F.sort_array(F.collect_list(F.struct("path", "pages", "styles", "presentation", "content", "words"))).alias("tree")), "pages-trees")
     size = by_host.agg(F.coalesce(F.sum(F.size("tree") * 64 + 200), F.lit(0))).first()[0]
-    url_host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1), "^.*@", ""))
-    rows = pages.select("page_id", "url", "html", url_host.alias("host"))
+    rows = pages.select("page_id", "url", "html", _url_host().alias("host"))
     if size <= BROADCAST_BYTES:
         met = rows.join(F.broadcast(by_host.drop("most")), "host", "left")
     else:

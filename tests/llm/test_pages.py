@@ -105,3 +105,49 @@ def test_edges(spark):
 
 def test_hosts_agree_with_sql(spark):
     assert pages.host("https://u@Www.A.org:80/x?y") == "www.a.org:80" and pages.host("//b/c") == "b" and pages.host("a/b") == pages.host(None) == ""
+
+
+def test_all_features_of_a_node_count(spark, monkeypatch):
+    import math
+
+    rows, _ = site(30, article=False)
+    rows = [(i, u, h.replace("<p>", f'<p><a href="/{i}">a</a><img src="/same">', 1)) for i, u, h in rows]
+    n, on = {}, {}
+    for _, _, h in rows:
+        for path, b in pages.branches(pages.parse(h)).items():
+            n[path] = n.get(path, 0) + 1
+            for f in [(t, len(t)) for t in b.terms] + [((r,), 1) for r in b.refs]:
+                on.setdefault(path, {})[f] = on.get(path, {}).get(f, 0) + 1
+    want = {}
+    for path in set(n) - {0}:
+        weighed = [(c * f[1], 1 - math.log(c) / math.log(n[path])) for f, c in on.get(path, {}).items()]
+        want[path] = sum(w * x for w, x in weighed) / sum(w for w, _ in weighed) if weighed else 0.0
+    assert max(map(len, on.values())) > 500
+    df = spark.createDataFrame(rows + rows[:7], PAGES)  # some pages twice
+    for held in (pages.HELD, 40):
+        monkeypatch.setattr(pages, "HELD", held)
+        got = {r.path: r for r in pages.site_trees(df).collect()}
+        assert set(got) == set(want) and all(abs(got[p].content - want[p]) < 1e-9 and got[p].pages == 30 for p in want)
+
+
+def test_what_differs_counts_wherever_its_hashes_lie(spark):
+    words = sorted((f"word{k}" for k in range(3000)), key=pages._hash)
+    shared, own = words[:20], words[20:]
+    rows, texts = site(30)
+    extra = [" ".join(shared + own[i * 90 : i * 90 + 90]) for i in range(30)]
+    rows = [(i, u, h.replace("</article>", f'<p class="x">{x}</p></article>')) for (i, u, h), x in zip(rows, extra, strict=True)]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(30)] == [f"{t}\n{x}" for t, x in zip(texts, extra, strict=True)]
+
+
+def test_copies_of_a_page_count_once(spark):
+    rows = [(1, "http://h/a", "<p>x</p>"), (2, "http://h/b", "<p>x</p>"), (3, "http://H/c", "<p>x</p>"), (4, "http://h/d", "<p>y</p>"), (5, "http://g/a", "<p>x</p>"), (6, "http://h/e", None), (7, "http://h/f", "")]
+    got = sorted((r.host, r.html) for r in pages.different_pages(spark.createDataFrame(rows, PAGES)).collect())
+    assert got == [("g", "<p>x</p>"), ("h", ""), ("h", "<p>x</p>"), ("h", "<p>y</p>")]
+
+
+def test_a_notice_with_one_changing_word_goes(spark):
+    rows, texts = site(30)
+    rows = [(i, u, h.replace("</article>", f'<p class="x">This is story {i} of the many that we tell</p></article>')) for i, u, h in rows]
+    got = {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [got[i] for i in range(30)] == texts
