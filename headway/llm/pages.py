@@ -360,13 +360,13 @@ def _counts(held: dict[tuple[str, int], tuple[dict[int, list[int]], array, array
         columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int32(), pa.bool_()))]
         ends = pa.array(np.cumsum([0] + [len(x[0]) for x in lists]), pa.int32())
         columns += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[i] for x in lists]), pa.int64())) for i in range(3)]
-        return pa.RecordBatch.from_arrays(columns, names=["host", "path", "part", "shape", "feature", "n", "size"])
+        return pa.RecordBatch.from_arrays(columns, names=["host", "path", "part", "shape", "feature", "n", "weight"])
 
     for (host, path), (shapes, terms, sizes) in held.items():
         kinds = [(True, *np.array([(s, *n) for s, n in shapes.items()], np.int64).T)]
         if terms:
             feature, at, n = np.unique(np.frombuffer(terms, np.int64), return_index=True, return_counts=True)
-            kinds.append((False, feature, n, np.frombuffer(sizes, np.int64)[at]))
+            kinds.append((False, feature, n, n * np.frombuffer(sizes, np.int64)[at]))
         for shape, feature, n, weight in kinds:
             part = feature & (PARTS - 1)
             order = np.lexsort((weight, n, part))  # equal values side by side take little room
@@ -383,8 +383,9 @@ def _counts(held: dict[tuple[str, int], tuple[dict[int, list[int]], array, array
 
 
 def features(pages: DataFrame) -> DataFrame:
-    """``host, path, part, shape, feature, n, words, size``: every presentation (``shape``) and every feature of the
-    content of each node, on how many of the host's different pages it is, the words of these and what it weighs."""
+    """``host, path, part, shape, feature, n, weight``: every presentation (``shape``) and every feature of the content
+    of each node, and on how many of the host's different pages it is; with the words of these pages' nodes, or with
+    what the feature weighs on all of them."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {}, 0
@@ -410,10 +411,10 @@ def features(pages: DataFrame) -> DataFrame:
         yield from _counts(held)
 
     part = ["host", "path", "part"]
-    found = different_pages(pages).mapInArrow(nodes, "host string, path long, part int, shape boolean, feature array<long>, n array<long>, size array<long>")
+    found = different_pages(pages).mapInArrow(nodes, "host string, path long, part int, shape boolean, feature array<long>, n array<long>, weight array<long>")
     # packed until they are where they are counted
-    each = found.repartition(*part).select(*part, "shape", F.explode(F.arrays_zip("feature", "n", "size")).alias("f")).select(*part, "shape", "f.*")
-    return each.groupBy(*part, "shape", "feature").agg(F.sum("n").alias("n"), F.sum("size").alias("words"), F.max("size").alias("size"))
+    each = found.repartition(*part).select(*part, "shape", F.explode(F.arrays_zip("feature", "n", "weight")).alias("f")).select(*part, "shape", "f.*")
+    return each.groupBy(*part, "shape", "feature").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
 
 
 def site_trees(pages: DataFrame) -> DataFrame:
@@ -421,8 +422,8 @@ def site_trees(pages: DataFrame) -> DataFrame:
     node = ["host", "path"]
     of_shapes = lambda c: F.sum(F.when(F.col("shape"), c))
     of_terms = lambda c: F.sum(F.when(~F.col("shape"), c))
-    n, size = F.col("n"), F.col("size")
-    tree = features(pages).groupBy(*node).agg(of_shapes(n).alias("pages"), of_shapes(F.lit(1)).alias("styles"), of_shapes(F.col("words")).alias("w"), of_shapes(n * F.ln(n)).alias("nl"), of_terms(n * size).alias("c"), of_terms(size * n * F.ln(n)).alias("cl")).filter("pages > 1")
+    n, weight = F.col("n"), F.col("weight")
+    tree = features(pages).groupBy(*node).agg(of_shapes(n).alias("pages"), of_shapes(F.lit(1)).alias("styles"), of_shapes(weight).alias("w"), of_shapes(n * F.ln(n)).alias("nl"), of_terms(weight).alias("c"), of_terms(weight * F.ln(n)).alias("cl")).filter("pages > 1")
     content = F.coalesce(F.lit(1.0) - F.col("cl") / (F.col("c") * F.ln("pages")), F.lit(0.0))
     return tree.select(*node, "pages", "styles", (F.lit(1.0) - F.col("nl") / (F.col("pages") * F.ln("pages"))).alias("presentation"), content.alias("content"), (F.col("w") / F.col("pages")).alias("words"))
 
