@@ -142,3 +142,24 @@ def test_roads_that_shapes_share_travel_once(spark, monkeypatch):
         got.setdefault(r.shape_id, []).append(r.edge_id)
     assert alone == ["gap"]
     assert got == {**{f"s{a}": list(range(a, a + 20)) for a in range(5)}, "gap": list(range(20))}
+
+
+def test_roads_travel_once_for_traces_with_gaps(spark, monkeypatch):
+    # gaps of 300 m are matched with the roads near the trace; for traces with gaps of 850 m, the roads within a kilometre are there once for all
+    v = spark.createDataFrame([(k, 40.0, -105.0 + k * 0.002) for k in range(31)], "vertex_id long, lat double, lon double")
+    e = spark.createDataFrame([(k, k, k + 1, 0.1, 30.0) for k in range(30)] + [(100 + k, k + 1, k, 0.1, 30.0) for k in range(30)], "edge_id long, src long, dst long, miles double, speed_mph double")
+    rows = [(f"short{a}", q, 40.0 + ((q * 7 + a) % 5 - 2) * 4e-5, -104.9998 + q * 0.0005) for a in range(12) for q in range(80) if not 20 <= q < 26]
+    rows += [(f"long{a}", q, 40.0 + (a - 6) * 1e-5, -104.9998 + q * 0.01) for a in range(12) for q in range(5)]
+    far, sent = [], []
+
+    def watched(t, *a, f=matching.roads_of_shapes):
+        far.extend(sorted(r[0] for r in t.select("shape_id").distinct().collect()))
+        sent.append(f(t, *a).count())
+        return f(t, *a)
+
+    monkeypatch.setattr(matching, "roads_of_shapes", watched)
+    got = {}
+    for r in matching.match_lcss(spark.createDataFrame(rows, TRACE), v, e).orderBy("shape_id", "seq").collect():
+        got.setdefault(r.shape_id, []).append(r.edge_id)
+    assert far == sorted(f"long{a}" for a in range(12)) and sent[0] <= 4 * 60
+    assert got == {f"{k}{a}": list(range(20)) for k in ("short", "long") for a in range(12)}
