@@ -62,11 +62,12 @@ def placed(rows: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def tiles(vertices: DataFrame, limit: int) -> DataFrame:
-    """(vertex_id, tile): the leaf of a quadtree that each of ``vertices`` (vertex_id, lat, lon) lies in, at most ``limit`` in one."""
+    """(vertex_id, tile, code): the leaf of a quadtree that each of ``vertices`` (vertex_id, lat, lon) lies in, at most ``limit`` in
+    one, and the cell of the last level."""
     known = vertices.select("vertex_id", F.col("lon").alias("x"), F.col("lat").alias("y")).dropna()
     at = known.select("vertex_id", code(F.col("x"), F.col("y"), box_of(known)).alias("code"))
     tree = settle(leaves(at, limit), "tiles")
-    return settle(placed(at, tree).select("vertex_id", F.concat_ws(":", "depth", "prefix").alias("tile")), "tiles")
+    return settle(placed(at, tree).select("vertex_id", F.concat_ws(":", "depth", "prefix").alias("tile"), "code"), "tiles")
 
 
 def dealt(rows: DataFrame, key: str, known: DataFrame, name: str) -> GroupedData:

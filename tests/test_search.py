@@ -150,3 +150,58 @@ def test_network_without_neighbourhoods(spark):
     ods = spark.createDataFrame([("a", 3, 40), ("b", 10, 590)], "od_key string, o long, d long")
     got = {r.od_key: r.path for r in routing.overlay_paths(ods, v, e, 300).collect()}
     assert got == {r.od_key: r.path for r in routing.fastest_paths(ods, e).collect()} and len(got) == 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_fold_equals_plain_search(monkeypatch, seed):
+    monkeypatch.setattr(search, "LEAF_MOVES", 10)
+    rng = np.random.default_rng(seed)
+    n = 120
+    at = rng.random((n, 2))
+    code = sum((((at * 64).astype(int) >> b & 1) @ [1, 2]) << (2 * b) for b in range(6)) << 2 * (cells.DEPTH - 6)
+    roads = [(a, int(b)) for a in range(n) for b in np.argsort(np.hypot(*(at - at[a]).T))[1:4]]
+    moves = [(i, j, rng.random() + 0.01, code[v]) for i, (_, v) in enumerate(roads) for j, (u, _) in enumerate(roads) if u == v]
+    state, after, cost, cell = (np.array(x) for x in zip(*moves))
+    ins, outs = (np.sort(rng.choice(len(roads), 25, replace=False)) for _ in range(2))
+    got = search.fold(state, after, cost, cell, ins, outs, len(roads))
+    want = {(a, b): c for a, b, c, _ in search.ways_inside(state.tolist(), after.tolist(), cost.tolist(), dict.fromkeys(ins.tolist(), outs.tolist()), paths=False)}
+    assert len(want) > 50
+    for i, a in enumerate(ins.tolist()):
+        for j, b in enumerate(outs.tolist()):
+            assert a == b or got[i, j] == pytest.approx(want.get((a, b), np.inf))
+
+
+def test_origins_pass_through_tiles_together(spark, monkeypatch):
+    # no row for each pair of portals and each origin that reached one, but one for each portal and block of origins
+    rng = np.random.default_rng(3)
+    w = 12
+    v = [(k, 40 + (k // w) * 0.002, -105 + (k % w) * 0.002) for k in range(w * w)]
+    e = [(a * 4 + q, a, a + dr * w + dc, float(rng.random()) + 0.2, 30.0, (450.0 - q * 90) % 360) for a in range(w * w) for q, (dr, dc) in enumerate(((0, 1), (1, 0), (0, -1), (-1, 0))) if 0 <= a // w + dr < w and 0 <= a % w + dc < w]
+    ods = [(f"k{o}", o, w * w - 1 - o) for o in range(0, w, 3)] + [("near", 0, 2)]
+    monkeypatch.setattr(search, "least_costs", lambda *a, **k: pytest.fail("joins of labels and pairs of portals"))
+    monkeypatch.setattr(search, "BLOCK", 2)
+    got = search.paths_with_turns(spark.createDataFrame(ods + [("same", 5, 5)], "od_key string, o long, d long"), spark.createDataFrame(e, EDGES), spark.createDataFrame(v, "vertex_id long, lat double, lon double"), 40)
+    got = {r.od_key: (r.minutes, r.edges) for r in got.collect()}
+    assert set(got) == {k for k, _, _ in ods}
+    by = {x[0]: x for x in e}
+    for key, o, d in ods:
+        best, heap = {}, [(2 * x[3], x[0], [x[0]]) for x in e if x[1] == o]
+        while True:
+            c, k, way = heapq.heappop(heap)
+            if by[k][2] == d:
+                break
+            if k not in best:
+                best[k] = c
+                for x in e:
+                    if x[1] == by[k][2] and x[0] not in best:
+                        heapq.heappush(heap, (c + 2 * x[3] + delay(by[k][5], x[5]) / 60, x[0], [*way, x[0]]))
+        assert got[key][0] == pytest.approx(c) and got[key][1] == way
+
+
+def test_turns_without_neighbourhoods(spark, monkeypatch):
+    # nearly all pairs of edges are portals: the search goes by rounds over edges, with the same ways
+    monkeypatch.setattr(search, "TILE_PAIRS", 20)
+    e = network(np.random.default_rng(2), 8, 30)
+    v = spark.createDataFrame([(k, 40.0 + k, -105.0) for k in range(8)], "vertex_id long, lat double, lon double")
+    ods, df = spark.createDataFrame([("a", 0, 5), ("b", 3, 7)], "od_key string, o long, d long"), spark.createDataFrame(e, EDGES)
+    assert {tuple(map(str, r)) for r in search.paths_with_turns(ods, df, v, 4).collect()} == {tuple(map(str, r)) for r in search.paths_with_turns(ods, df).collect()}
